@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import DOCUMENT_COLUMNS, stored, table
+from siftline.llm.packing import pack
 from siftline.llm.quality_classifier import quality_classifier
 from siftline.llm.quality_rules import quality_rules
 from siftline.llm.secret_scan import secret_scan
@@ -44,11 +45,17 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return with_new_text(secret_scan(docs, [c for c in DOCUMENT_COLUMNS if c not in ("text", "n_chars")]), "masked")
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of training sequences."""
+    return pack(docs)
+
+
 STAGES = [
     ("quality rules", clean_lines),
     ("quality classifier", good_documents),
     ("simhash near-dedup", one_of_each_group),
     ("secret scans", without_secrets),
+    ("packing", packed),
 ]
 
 #: SQL can express neither the hashes nor the trained models; tests hold the stages against brute force.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embedding_dedup import embedding_groups
+from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
@@ -24,6 +25,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -34,7 +39,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_simhash_dedup, op5_embedding_dedup, op7_quality_rules, op9_secret_scan, op10_quality_classifier)
+    for f in (
+        op4_simhash_dedup,
+        op5_embedding_dedup,
+        op7_quality_rules,
+        op8_packing,
+        op9_secret_scan,
+        op10_quality_classifier,
+    )
 }
 
 ORACLES: dict[str, str] = {}
