@@ -282,7 +282,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
     # the vocabulary of the tokenizer bounds the terms, whatever the corpus
     df = pieces.filter("term is not null").groupBy("term").agg(F.sum("df").alias("df")).collect()
     sizes = pieces.filter("term is null").agg(
-        F.count_if("start + length = doc_tokens"),
+        F.count_if(F.expr("start + length = doc_tokens")),
         F.sum(F.when(F.col("sketch").isNotNull(), F.col("length"))),
     )
     n, tokens = (x or 0 for x in sizes.first())
