@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embedding_dedup import embedding_groups
+from .lm_scoring import lm_scores
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -13,6 +14,10 @@ from .secret_scan import secret_scan
 from .simhash import simhash_groups
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op4_simhash_dedup,
         op5_embedding_dedup,
         op7_quality_rules,
