@@ -236,5 +236,5 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, carry: Iterable[str]
             yield (score, int(score >= 0.5))
 
     held_out = (remainder_column(F.col("doc_id"), HELD_OUT_MODULUS) == HELD_OUT).alias("held_out")
-    scored = per_text(docs, [("score", "double"), ("predicted", "int")], rows, carry)
+    scored = per_text(docs, [("score", "double"), ("predicted", "integer")], rows, carry)
     return scored.select("*", held_out)
