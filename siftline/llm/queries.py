@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format as chat
 from .common import table
 from .embedding_dedup import embedding_groups
+from .license_scan import license_scan
 from .lm_scoring import lm_scores
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .sentencepiece_nbest import encode_nbest
 from .simhash import simhash_groups
 
 
@@ -18,6 +21,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -26,6 +37,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_nbest(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -46,8 +61,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring,
+        op2_license_scan,
+        op3_chat_format,
         op4_simhash_dedup,
         op5_embedding_dedup,
+        op6_sentencepiece_nbest,
         op7_quality_rules,
         op8_packing,
         op9_secret_scan,
@@ -55,4 +73,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
