@@ -66,7 +66,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.bit_xor("t2").over(before), F.lit(0)).alias("b2"),
     )
     return local.join(starts, same_block(local, starts)).select(
-        local["conv_id"], "place", "role", "text", F.col("l1").bitwiseXOR("b1").alias("h1"), F.col("l2").bitwiseXOR("b2").alias("h2")
+        local["conv_id"], "place", "role", "text", F.col("l1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("l2").bitwiseXOR(F.col("b2")).alias("h2")
     )
 
 
