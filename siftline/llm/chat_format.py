@@ -27,72 +27,71 @@ BLOCK = 1024
 PART = 256
 
 
+#: What a conversation is known by: its id, and whether it has none. Null ids would meet in no join.
+CONV = ["conv", "unnamed"]
+LAST_BLOCK = 1 << 60
+
+
 def prefixes(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, h1, h2): each turn with its place from 1 and the hash of all turns up to it."""
+    """(conv, unnamed, place, role, text, h1, h2): each turn with its place from 1 and the hash of all turns up to it."""
+    turn = F.col("turn").cast("long")
     turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("conv_id").isNull().alias("unnamed"),
+        turn.alias("turn"),
+        F.coalesce(F.floor(turn / BLOCK), F.lit(LAST_BLOCK)).alias("block"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = [F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
-    inside = W.partitionBy("conv_id", "block").orderBy(*order)
-    placed = turns.withColumn("local", F.row_number().over(inside).cast("long"))
-
-    sizes = turns.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
-    before = W.partitionBy("conv_id").orderBy(F.asc_nulls_last("block")).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
-
-    def same_block(a: DataFrame, b: DataFrame):
-        return a["conv_id"].eqNullSafe(b["conv_id"]) & a["block"].eqNullSafe(b["block"])
-
-    placed = placed.join(offsets, same_block(placed, offsets)).select(
-        placed["conv_id"], placed["block"], "local", (F.col("local") + F.col("offset")).alias("place"), "role", "text"
     )
-    hashed = placed.select(
+    inside = W.partitionBy(*CONV, "block").orderBy("turn", "role", "text")
+    before = W.partitionBy(*CONV).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = turns.groupBy(*CONV, "block").agg(F.count("*").alias("size"))
+    offsets = sizes.select(*CONV, "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    placed = turns.withColumn("local", F.row_number().over(inside)).join(offsets, [*CONV, "block"])
+    hashed = placed.select(*CONV, "block", (F.col("local") + F.col("offset")).alias("place"), "role", "text").select(
         "*",
         F.xxhash64(F.lit("a"), "place", "role", "text").alias("x1"),
         F.xxhash64(F.lit("b"), "text", "role", "place").alias("x2"),
     )
-    running = W.partitionBy("conv_id", "block").orderBy("local").rowsBetween(W.unboundedPreceding, 0)
-    local = hashed.select(
-        "conv_id", "block", "place", "role", "text", F.bit_xor("x1").over(running).alias("l1"), F.bit_xor("x2").over(running).alias("l2")
-    )
-    totals = hashed.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("t1"), F.bit_xor("x2").alias("t2"))
+    running = W.partitionBy(*CONV, "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    local = hashed.withColumn("l1", F.bit_xor("x1").over(running)).withColumn("l2", F.bit_xor("x2").over(running))
+    totals = hashed.groupBy(*CONV, "block").agg(F.bit_xor("x1").alias("t1"), F.bit_xor("x2").alias("t2"))
     starts = totals.select(
-        "conv_id",
+        *CONV,
         "block",
         F.coalesce(F.bit_xor("t1").over(before), F.lit(0)).alias("b1"),
         F.coalesce(F.bit_xor("t2").over(before), F.lit(0)).alias("b2"),
     )
-    return local.join(starts, same_block(local, starts)).select(
-        local["conv_id"], "place", "role", "text", F.col("l1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("l2").bitwiseXOR(F.col("b2")).alias("h2")
+    return local.join(starts, [*CONV, "block"]).select(
+        *CONV, "place", "role", "text", F.expr("l1 ^ b1").alias("h1"), F.expr("l2 ^ b2").alias("h2")
     )
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies) of conversations that are no proper prefix of another; the smallest id of equal ones."""
-    ends = turns.groupBy("conv_id").agg(F.max("place").alias("n_turns"))
-    whole = turns.join(ends, turns["conv_id"].eqNullSafe(ends["conv_id"]) & (turns["place"] == ends["n_turns"])).select(
-        turns["conv_id"], "n_turns", "h1", "h2"
-    )
-    distinct = whole.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    longer = turns.join(ends, turns["conv_id"].eqNullSafe(ends["conv_id"]) & (turns["place"] < ends["n_turns"]))
-    longer = longer.select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
-    return distinct.join(longer, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_copies")
+    """(conv, unnamed, n_turns, n_copies) of conversations that are no proper prefix of another; one of equal ones.
+
+    Of equal conversations the smallest id stays, one without an id only if none has one.
+    """
+    ends = turns.groupBy(*CONV).agg(F.max("place").alias("n_turns"))
+    hashes = turns.select(*CONV, "place", "h1", "h2").join(ends, CONV)
+    whole = hashes.filter("place = n_turns").groupBy("n_turns", "h1", "h2")
+    distinct = whole.agg(F.min(F.struct("unnamed", "conv")).alias("least"), F.count("*").alias("n_copies"))
+    longer = hashes.filter("place < n_turns").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
+    kept = distinct.join(longer, ["n_turns", "h1", "h2"], "left_anti")
+    return kept.select("least.conv", "least.unnamed", "n_turns", "n_copies")
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, n_copies, text): maximal conversations as marked-up text, ``PART`` turns a row."""
     turns = stored(prefixes(conversations), "turns")
-    kept = maximal(turns)
-    mine = turns.join(kept, turns["conv_id"].eqNullSafe(kept["conv_id"])).select(
-        turns["conv_id"],
+    line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n"))
+    mine = turns.join(maximal(turns), CONV).select(
+        F.when(~F.col("unnamed"), F.col("conv")).alias("conv_id"),
         F.floor((F.col("place") - 1) / PART).alias("part"),
         "n_turns",
         "n_copies",
         "place",
-        F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n")).alias("line"),
+        line.alias("line"),
     )
     lines = F.array_sort(F.collect_list(F.struct("place", "line")))
     text = F.array_join(F.transform(lines, lambda x: x["line"]), "")
