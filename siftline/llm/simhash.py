@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -59,6 +59,8 @@ def fingerprint(text: bytes) -> int:
 
 #: A key that more fingerprints share than this is cut further by the other half.
 HOT_KEY = 200
+#: So many frequent keys (of eight bytes each) at most are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 50_000
 
 
 def fingerprints(docs: DataFrame, carry: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -72,52 +74,56 @@ def fingerprints(docs: DataFrame, carry: Iterable[str] = ("doc_id",)) -> DataFra
     return per_text(docs, [("bits", "long")], rows, carry)
 
 
-def wildcard_keys(bits: DataFrame) -> DataFrame:
-    """(key, side, bits): 33 keys for each half. side: the bit at the wildcard, or 2 where there is no wildcard.
-
-    A key packs the half, the wildcard's place (32: none) and the half's other bits into one long, without loss.
-    """
-    spark = bits.sparkSession
-    spread = bits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bits")
+def halves(bits: DataFrame) -> DataFrame:
+    """(bits, which, half, other): each fingerprint under its low half (0) and its high half (1)."""
     return (
-        spread.select("bits", F.explode(F.expr("sequence(0L, 65L)")).alias("k"))
-        .selectExpr(
-            "bits",
-            "k",
-            "int(k % 33) place",
-            "if(k < 33, bits & 4294967295L, shiftrightunsigned(bits, 32)) half",
-        )
-        .selectExpr(
-            "shiftleft(k, 32) + if(place = 32, half, half & ~shiftleft(1L, place)) key",
-            "if(place = 32, 2, int(shiftright(half, place) & 1L)) side",
-            "bits",
-        )
-    )
+        bits.selectExpr("bits", "bits & 4294967295L low", "shiftrightunsigned(bits, 32) high")
+        .select("bits", F.explode(F.expr("array(named_struct('which', 0L, 'half', low, 'other', high), named_struct('which', 1L, 'half', high, 'other', low))")).alias("h"))
+        .select("bits", "h.which", "h.half", "h.other")
+    )
+
 
+#: A key packs (33 * which + place) and the half, its bit at the wildcard's place cleared, into one long, without loss.
+#: Place 32 stands for no wildcard.
+KEY = "shiftleft(33 * which + place, 32) + if(place = 32, half, half & ~shiftleft(1L, int(place)))"
+#: For a frequent key: the bytes of the other half, one of which must agree, for the pair differs there at three bits at most.
+QUARTERS = "array(0L, 1L, 2L, 3L)"
 
-def quarter_keys() -> Column:
-    """For a frequent key: the four bytes of the half that the key leaves out, one of which must agree.
 
-    The whole pair differs at three bits at most, so of four bytes one at least is equal.
-    """
-    other = F.expr("if(shiftright(key, 32) < 33, shiftrightunsigned(bits, 32), bits & 4294967295)")
-    return F.array(*(F.lit(256 * (q + 1)) + F.shiftright(other, 8 * q).bitwiseAND(F.lit(255)) for q in range(4)))
+def keys(split: DataFrame, bit: int) -> DataFrame:
+    """(key, bits, other) for no wildcard, and for the wildcards at whose place the half has ``bit``."""
+    places = F.explode(F.expr("sequence(0L, 32L)")).alias("place")
+    found = split.select("bits", "which", "half", "other", places)
+    return found.filter(f"place = 32 or (shiftright(half, int(place)) & 1L) = {bit}").selectExpr(f"{KEY} key", "bits", "other")
+
+
+def frequent_keys(split: DataFrame) -> DataFrame:
+    """Keys that more than HOT_KEY fingerprints may share. A wildcard joins two halves: one of them has half of the rows."""
+    often = split.groupBy("which", "half").count().filter(F.col("count") > HOT_KEY // 2)
+    return often.select("which", "half", F.explode(F.expr("sequence(0L, 32L)")).alias("place")).selectExpr(f"{KEY} key").distinct()
 
 
 def links(bits: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that differ at MAX_DISTANCE bits or fewer. ``bits`` has distinct rows."""
-    keys = wildcard_keys(bits)
-    hot = keys.groupBy("key").count().filter(F.col("count") > HOT_KEY).select("key", F.lit(True).alias("hot"))
-    keys = keys.join(hot, "key", "left").withColumn(
-        "part", F.explode(F.when(F.col("hot"), quarter_keys()).otherwise(F.array(F.lit(0).cast("long"))))
-    )
-    left = keys.filter("side <> 1").select("key", "part", "side", F.col("bits").alias("a"))
-    right = keys.filter("side <> 0").select("key", "part", F.col("side").alias("other"), F.col("bits").alias("b"))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE) & (
-        ((F.col("side") == 0) & (F.col("other") == 1))
-        | ((F.col("side") == 2) & (F.col("other") == 2) & (F.col("a") < F.col("b")))
-    )
-    return left.join(right, ["key", "part"]).filter(near).select("a", "b").distinct()
+    spark = bits.sparkSession
+    split = halves(bits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bits"))
+    hot = stored(frequent_keys(split), "frequent-keys")
+    n_hot = hot.count()
+    left, right = keys(split, 0), keys(split, 1)
+    on = ["key"]
+    if n_hot:
+        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        flagged = few.withColumn("hot", F.lit(True))
+        quarter = F.explode(F.when(F.col("hot"), F.expr(QUARTERS)).otherwise(F.expr("array(4L)"))).alias("quarter")
+        byte = F.expr("if(quarter = 4, 0L, shiftright(other, int(8 * quarter)) & 255L)").alias("byte")
+        left, right = (
+            x.join(flagged, "key", "left").select("key", "bits", "other", quarter).select("key", "bits", "quarter", byte)
+            for x in (left, right)
+        )
+        on += ["quarter", "byte"]
+    near = F.expr(f"bit_count(a ^ b) <= {MAX_DISTANCE} and (shiftright(key, 32) % 33 < 32 or a < b)")
+    pairs = left.select(*on, F.col("bits").alias("a")).join(right.select(*on, F.col("bits").alias("b")), on)
+    return pairs.filter(near).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
