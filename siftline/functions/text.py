@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from . import vocabulary as V
 WHITE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
@@ -54,14 +60,15 @@ def _without(c: Column, patterns: list[str], by: str) -> Column:
 
 def clean_content(c: Column, platform: Column) -> Column:
     """Plain text without page noise, the platform's own noise last; under ten characters become none."""
-    general = _without(strip_html(c), V.NOISE, " ")
-    by_platform = reduce(
-        lambda found, item: F.when(platform == item[0], _without(general, item[1], " ")).otherwise(found),
-        V.PLATFORM_NOISE.items(),
-        general,
-    )
-    out = collapse_ws(by_platform)
-    return F.when(F.char_length(out) < 10, F.lit("")).otherwise(out)
+
+    def by_platform(general: Column) -> Column:
+        found = F.when(F.lit(False), general)
+        for name, noise in V.PLATFORM_NOISE.items():
+            found = found.when(platform == name, _without(general, noise, " "))
+        return collapse_ws(found.otherwise(general))
+
+    cleaned = let(_without(strip_html(c), V.NOISE, " "), by_platform)
+    return let(cleaned, lambda x: F.when(F.char_length(x) < 10, F.lit("")).otherwise(x))
 
 
 def clean_bilibili(c: Column) -> Column:
@@ -146,12 +153,13 @@ def page_title(html: Column) -> Column:
 
 
 def compact_number(n: Column) -> Column:
-    """1.2M, 3.4K or the number itself."""
-    return (
-        F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / F.lit(1_000_000.0)), F.lit("M")))
-        .when(n >= 1_000, F.concat(F.format_string("%.1f", n / F.lit(1_000.0)), F.lit("K")))
-        .otherwise(n.cast("string"))
-    )
+    """1.2M, 3.4K or the whole number itself; tenths are rounded half up."""
+
+    def tenths(unit: int, mark: str) -> Column:
+        t = F.floor((n + unit // 20) / (unit // 10))
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(mark))
+
+    return F.when(n >= 1_000_000, tenths(1_000_000, "M")).when(n >= 1_000, tenths(1_000, "K")).otherwise(n.cast("string"))
 
 
 def minutes_seconds(seconds: Column) -> Column:
