@@ -42,9 +42,8 @@ def content_md5(title: Column, content: Column, cut: int | None = None) -> Colum
 def edge_hash(c: Column) -> Column:
     """A text under ten bytes itself; else its length in bytes, and its first and last five characters."""
     n = F.octet_length(c)
-    return F.when(n < 10, c).otherwise(
-        F.concat_ws("_", n.cast("string"), F.substring(c, 1, 5), F.right(c, F.lit(5)))
-    )
+    ends = F.concat_ws("_", n.cast("string"), F.substring(c, 1, 5), F.right(c, F.lit(5)))
+    return F.when(n < 10, c).when(n >= 10, ends)
 
 
 def strip_html(c: Column) -> Column:

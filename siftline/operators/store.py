@@ -173,13 +173,14 @@ def publish_errors(video: Column, platforms: Column, description: Column, suppor
 
 def registration_errors(name: Column, email: Column, password: Column, again: Column) -> Column:
     """Field -> what is wrong with it; empty if nothing is."""
+    def entry(condition: Column, field: str, what: str) -> Column:
+        return F.when(condition, F.struct(F.lit(field).alias("field"), F.lit(what).alias("what")))
+
+    weak = (F.char_length(password) < 6) | ~password.rlike("[A-Za-z]") | ~password.rlike("[0-9]")
     wrong = F.array(
-        F.when(F.char_length(F.trim(name)) < 3, F.struct(F.lit("username").alias("k"), F.lit("too_short").alias("v"))),
-        F.when(~email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.struct(F.lit("email"), F.lit("malformed"))),
-        F.when(
-            (F.char_length(password) < 6) | ~password.rlike("[A-Za-z]") | ~password.rlike("[0-9]"),
-            F.struct(F.lit("password"), F.lit("too_weak")),
-        ),
-        F.when(password != again, F.struct(F.lit("confirm"), F.lit("differs"))),
+        entry(F.char_length(F.trim(name)) < 3, "username", "too_short"),
+        entry(~email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "email", "malformed"),
+        entry(weak, "password", "too_weak"),
+        entry(password != again, "confirm", "differs"),
     )
     return F.map_from_entries(F.filter(wrong, lambda x: x.isNotNull()))

@@ -122,7 +122,7 @@ def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH t AS (SELECT o_custkey AS team_id, list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1),
       m AS (SELECT team_id, unnest(list_slice(ids, 1, 3)) AS id FROM t)
-    SELECT team_id, array_to_string(list(p_name ORDER BY id), '|') AS names FROM m LEFT JOIN part ON p_partkey = id % 500 + 1 GROUP BY 1"""
+    SELECT team_id, coalesce(array_to_string(list(p_name ORDER BY id), '|'), '') AS names FROM m LEFT JOIN part ON p_partkey = id % 500 + 1 GROUP BY 1"""
 )
 def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     teams = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("team_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +79,7 @@ def backed_up(df: DataFrame, path: str) -> None:
 
 def restored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A backup by its schema; fields that end in _at are times, text that is none becomes null."""
-    texts = StructType([f if not f.name.endswith(("_at", "At")) else type(f)(f.name, "string") for f in schema])
+    texts = StructType([StructField(f.name, StringType()) if f.name.endswith(("_at", "At")) else f for f in schema])
     found = spark.read.schema(texts).json(path)
     times = {f.name: F.try_to_timestamp(F.col(f.name)).cast(f.dataType) for f in schema if f.name.endswith(("_at", "At"))}
     return found.withColumns(times) if times else found
