@@ -13,7 +13,7 @@ from siftline.llm.packing import pack
 from siftline.llm.quality_classifier import quality_classifier
 from siftline.llm.quality_rules import quality_rules
 from siftline.llm.secret_scan import secret_scan
-from siftline.llm.simhash import simhash_groups
+from siftline.llm.simhash import as_hex, fingerprints, simhash_groups
 
 
 def with_new_text(docs: DataFrame, text: str) -> DataFrame:
@@ -33,11 +33,27 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_classifier(docs, table(spark, sf_dir, "labels"), DOCUMENT_COLUMNS).filter("predicted = 1").select(*DOCUMENT_COLUMNS)
 
 
+#: So many ids (of eight bytes each) at most are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; one row of it, if there are several."""
-    kept = simhash_groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.select(*DOCUMENT_COLUMNS).dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near-duplicates.
+
+    A row without an id can't be the smallest of its group, nor be told from others by it: it stays. Where
+    ids repeat, rows are told by id and fingerprint, and one row of each such pair stays. Texts are
+    shuffled only then, or if more documents go than can be broadcast.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    groups = stored(simhash_groups(docs).filter("doc_id is not null"), "groups")
+    n, ids, n_gone = groups.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.expr("doc_id <> component_id"))).first()
+    if n == ids:
+        gone = groups.filter("doc_id <> component_id").select("doc_id")
+        return docs.join(F.broadcast(gone) if n_gone <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    marked = fingerprints(docs, DOCUMENT_COLUMNS).withColumn("fingerprint", as_hex(F.col("bits")))
+    least = groups.filter("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+    named = marked.join(least, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"])
+    return named.unionByName(marked.filter("doc_id is null")).select(*DOCUMENT_COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

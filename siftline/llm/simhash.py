@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -126,6 +126,11 @@ def links(bits: DataFrame) -> DataFrame:
     return pairs.filter(near).select("a", "b").distinct()
 
 
+def as_hex(bits: Column) -> Column:
+    """16 lower-case digits."""
+    return F.lpad(F.lower(F.hex(bits)), 16, "0")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
@@ -134,6 +139,4 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     rooted = distinct.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("bits", "root").join(named, "root").select("bits", "component_id")
-    return marked.join(of, "bits").select(
-        "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return marked.join(of, "bits").select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")

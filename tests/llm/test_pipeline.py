@@ -43,3 +43,12 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == good - {100, 101}
     tokens = {r["doc_id"]: r["doc_tokens"] for r in pieces}
     assert sum(r["length"] for r in pieces) == sum(tokens.values())
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(4)
+    a, b, c = prose(rng), prose(rng), prose(rng)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DDL)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in P.one_of_each_group(spark, docs, "").collect())
+    assert got == sorted([(False, 1, a), (False, 5, b), (True, None, c), (True, None, c)])
