@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format as chat
+from .chat_format import chat_format
 from .common import table
 from .embedding_dedup import embedding_groups
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
+from .oracles import ORACLES
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -26,7 +27,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.chat_format(table(spark, sf_dir, "conversations"))
+    return chat_format(table(spark, sf_dir, "conversations"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +75,3 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
