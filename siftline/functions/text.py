@@ -178,3 +178,42 @@ def interval_label(ms: Column, cron: Column, once: Column) -> Column:
         .when(minutes >= 60, F.concat(F.lit("每"), (minutes / 60).cast("long").cast("string"), F.lit("小时")))
         .otherwise(F.concat(F.lit("每"), minutes.cast("string"), F.lit("分钟")))
     )
+
+
+# How the platforms' own extraction begins its tag lists, and its patterns of video addresses.
+LEADING_TAGS = {"weibo": ["微博", "社交媒体"], "bilibili": ["B站", "视频"], "xiaohongshu": ["小红书", "生活分享", "种草"], "douyin": ["抖音", "短视频"], "news": ["新闻", "资讯"]}
+VIDEO_URLS = [
+    r"https?://[^\s]+\.(mp4|avi|mov|wmv|flv|webm)",
+    r"https?://v\.douyin\.com/[^\s]+",
+    r"https?://www\.bilibili\.com/video/[^\s]+",
+    r"https?://video\.weibo\.com/[^\s]+",
+]
+
+
+def leading_tags(c: Column, query: Column, platform: str) -> Column:
+    """The platform's tags, the query, then hashtags; distinct in order of appearance, without a limit."""
+    own = F.array(*map(F.lit, LEADING_TAGS[platform]))
+    return F.array_distinct(F.concat(own, F.array(query), _all(c, r"#([^#\s]+)#?")))
+
+
+def video_url(c: Column) -> Column:
+    """The first address of a video file in a text, else of a video page of each site in turn."""
+    return F.coalesce(*(_first(c, f"(?i){p}", 0) for p in VIDEO_URLS))
+
+
+def result_video(url: Column, platform: Column) -> Column:
+    """A search result's own address, if its platform is one of videos and the address is that platform's or a video's."""
+    of_site = F.contains(F.lower(url), F.lit("video")) | F.contains(url, F.lit("bilibili.com")) | F.contains(url, F.lit("douyin.com"))
+    return F.when(platform.isin("douyin", "bilibili") & of_site, url).otherwise(F.lit(""))
+
+
+def best_content(cleaned_html: Column, markdown: Column, html: Column) -> Column:
+    """Cleaned HTML of over 50 characters, else Markdown of over 50, else stripped HTML; the raw beginning if that is short."""
+    found = F.when(F.char_length(cleaned_html) > 50, cleaned_html).when(F.char_length(markdown) > 50, markdown).otherwise(strip_html(html))
+    return let(found, lambda x: F.when(F.char_length(x) < 100, F.substring(html, 1, 3000)).otherwise(x))
+
+
+def best_title(given: Column, html: Column) -> Column:
+    """The given title, else the page's if the given one has under five characters, else a default; cleaned."""
+    found = F.when(F.char_length(given) >= 5, given).otherwise(F.nullif(page_title(html), F.lit("")))
+    return clean_title(F.coalesce(found, F.lit("未知标题")))

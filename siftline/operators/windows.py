@@ -29,16 +29,23 @@ def moving_mean(df: DataFrame, value: str, order: list[str], rows: int = 1000, b
 
 
 def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """``__n``: each row's place in a global order, from 1, without a single task that holds all rows.
+    """``__n``: each row's place in a global order, from 1, without a task that holds all rows.
 
-    Rows are sorted by range; a partition's offset is the number of rows in those before it.
+    Quantiles of the first column cut rows into as many ranges as there are shuffle partitions; rows are
+    numbered within their range, after the number of rows in those before it. Nulls come first.
     """
-    sorted_rows = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id())
-    sizes = sorted_rows.groupBy("__p").agg(F.count("*").alias("__size"))
-    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    place = F.col("__k") - F.shiftleft(F.col("__p").cast("long"), 33) + F.col("__before") + 1
-    return sorted_rows.join(F.broadcast(offsets), "__p").withColumn("__n", place).drop("__p", "__k")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col(order[0])
+    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)), F.lit(1.0))
+    found = df.agg(F.percentile_approx(first, shares)).first()[0] or []
+    bounds = F.array(*(F.lit(x) for x in sorted(set(found)))) if found else F.array()
+    place = F.when(first.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= first))) if found else F.lit(-1)
+    ranged = df.withColumn("__range", place)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    local = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__k", local).join(F.broadcast(offsets), "__range").withColumn("__n", F.col("__k") + F.col("__before")).drop("__range", "__k", "__before")
 
 
 def last_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
