@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+_own_dirs: set[str] = set()
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,6 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the process ends in order."""
+    path = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
+    if path not in _own_dirs:
+        _own_dirs.add(path)
+        atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:  # a stopped context can't reach the file system any more
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -42,7 +61,7 @@ def stored(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
     several readers share one computation. Columns that a reader doesn't want are not read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
