@@ -33,14 +33,14 @@ def start(shape: Shape, mass: np.ndarray, seed: int = 1) -> dict[str, np.ndarray
     rng = np.random.default_rng(seed)
     h = HIDDEN
     by_class = np.bincount(shape.class_of, mass, shape.classes)
+    within = np.log(mass[: shape.words] / by_class[shape.class_of[: shape.words]])
     return {
         "x": rng.normal(0, 0.2, (shape.ids, 3 * h)).astype(FLOAT),
         "u": rng.normal(0, 0.25, (h, 3 * h)).astype(FLOAT),
         "b": np.concatenate([np.zeros(h), -np.ones(h), np.zeros(h)]).astype(FLOAT),
-        "c": np.zeros((h, shape.classes), FLOAT),
-        "cb": np.log(by_class / by_class.sum()).astype(FLOAT),
-        "w": np.zeros((shape.words, h), FLOAT),
-        "wb": np.log(mass[: shape.words] / by_class[shape.class_of[: shape.words]]).astype(FLOAT),
+        # the last row of c and the last column of w are biases, for a state that ends with a one
+        "c": np.concatenate([np.zeros((h, shape.classes)), np.log(by_class / by_class.sum())[None, :]]).astype(FLOAT),
+        "w": np.concatenate([np.zeros((shape.words, h)), within[:, None]], axis=1).astype(FLOAT),
     }
 
 
@@ -96,28 +96,39 @@ def log_probabilities(p: dict, shape: Shape, states: np.ndarray, targets: np.nda
     return outputs(p, shape, states, targets, None)[0]
 
 
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of logits, in place; what was taken off them, by row), shifted only if one is too large.
+
+    Logits are log-probabilities and a small change, so this is rare; it costs a pass to shift all.
+    """
+    if logits.max(initial=0.0) < 60:
+        return np.exp(logits, out=logits), np.zeros(len(logits), FLOAT)
+    top = logits.max(1)
+    logits -= top[:, None]
+    return np.exp(logits, out=logits), top
+
+
 def outputs(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray, grads: dict | None):
-    """(log-probabilities, gradient for the states); adds to ``grads`` the gradients of the output parameters.
+    """(log-probabilities, gradient for the states); sets in ``grads`` the gradients of the output parameters.
 
     Gradients are of the summed log-probability.
     """
     classes = shape.class_of[targets]
-    logits = states @ p["c"]
-    logits += p["cb"]
-    logits -= logits.max(1, keepdims=True)
     rows = np.arange(len(targets))
+    ended = np.ones((len(targets), HIDDEN + 1), FLOAT)
+    ended[:, :HIDDEN] = states
+    logits = ended @ p["c"]
     found = logits[rows, classes]
-    np.exp(logits, out=logits)
+    logits, top = exponentials(logits)
     total = logits.sum(1)
-    found = found - np.log(total)
+    found -= np.log(total) + top
     d_states = None
     if grads is not None:
         logits *= (-1 / total)[:, None]
         logits[rows, classes] += 1
-        grads["c"] = states.T @ logits
-        grads["cb"] = logits.sum(0)
+        grads["c"] = ended.T @ logits
         d_states = logits @ p["c"].T
-        grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
+        grads["w"] = np.zeros_like(p["w"])
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(shape.word_classes + 1))
     for k in range(shape.word_classes):
@@ -125,24 +136,21 @@ def outputs(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray, grad
         a, b = shape.edges[k], shape.edges[k + 1]
         if not len(mine) or b - a == 1:
             continue
-        h = states[mine]
+        h = ended[mine]
         w = p["w"][a:b]
         inner = h @ w.T
-        inner += p["wb"][a:b]
-        inner -= inner.max(1, keepdims=True)
         at = targets[mine] - a
-        here = np.arange(len(mine))
+        here = rows[: len(mine)]
         picked = inner[here, at]
-        np.exp(inner, out=inner)
+        inner, top = exponentials(inner)
         total = inner.sum(1)
-        found[mine] += picked - np.log(total)
+        found[mine] += picked - np.log(total) - top
         if grads is not None:
             inner *= (-1 / total)[:, None]
             inner[here, at] += 1
-            grads["w"][a:b] = inner.T @ h
-            grads["wb"][a:b] = inner.sum(0)
+            np.matmul(inner.T, h, out=grads["w"][a:b])
             d_states[mine] += inner @ w
-    return found, d_states
+    return found, None if d_states is None else d_states[:, :HIDDEN]
 
 
 def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -180,7 +188,11 @@ def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np
     order = np.argsort(inputs.ravel(), kind="stable")
     ids = inputs.ravel()[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    grads["x"] = (ids[first], np.add.reduceat(flat_given[order], first, axis=0))
+    # sums of runs as differences of running sums
+    running = np.cumsum(flat_given[order], axis=0, dtype=np.float64)
+    ends = running[np.append(first[1:], len(ids)) - 1]
+    ends[1:] -= ends[:-1].copy()
+    grads["x"] = (ids[first], ends.astype(FLOAT))
     return grads, found, states[-1]
 
 
@@ -215,13 +227,12 @@ class Trainer:
             part = slice(t, t + self.STEPS)
             g, found, h = gradients(self.p, self.shape, grid[0][part], grid[1][part], h, keep[part])
             scale = 64 / found.size
-            for name in ("u", "b", "c", "cb"):
+            for name in ("u", "b", "c"):
                 self.step(name, slice(None), g[name] * scale)
             seen = np.unique(grid[1][part])
             # all words of a class that occurred have a gradient
             rows = np.flatnonzero(np.isin(self.shape.class_of[: self.shape.words], self.shape.class_of[seen]))
             self.step("w", rows, g["w"][rows] * scale)
-            self.step("wb", rows, g["wb"][rows] * scale)
             self.step("x", g["x"][0], g["x"][1] * scale)
             score += float(found.sum())
         self.tokens += total

@@ -100,29 +100,33 @@ class Vocabulary:
             for word, moved in rest[VOCABULARY - 1 : VOCABULARY]:
                 mass, kinds = classes.get(rare_class(word), (0, 0))
                 classes[rare_class(word)] = (mass + moved, kinds + 1)
-        self.tokens, self.types = tokens, types
-        self.counts = dict(head)
         top = head[:VOCABULARY]
-        self.ids = {w: k for k, (w, _) in enumerate(top)}
         size = len(top)
-        self.rare_mass = np.array([classes.get(c, (0, 0))[0] + ALPHA * (classes.get(c, (0, 0))[1] + 1) for c in range(RARE_CLASSES)])
+        of_class = [classes.get(c, (0, 0)) for c in range(RARE_CLASSES)]
+        self.rare_mass = np.array([mass + ALPHA * (kinds + 1) for mass, kinds in of_class])
         word_mass = np.array([n + ALPHA for _, n in top])
         share = np.cumsum(np.sqrt(word_mass))
         groups = min(WORD_CLASSES, size)
         of = np.minimum((share / share[-1] * groups).astype(int), groups - 1)
         self.shape = gru.Shape(np.append(np.unique(of, return_index=True)[1], size), RARE_CLASSES)
         self.mass = np.concatenate([word_mass, self.rare_mass])
-
-    def id_of(self, word: bytes) -> int:
-        k = self.ids.get(word)
-        return len(self.ids) + rare_class(word) if k is None else k
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        found = [get(w, -1) for w in words]
-        out = np.array(found, np.int32)
-        first = len(self.ids)
-        for k in np.flatnonzero(out < 0).tolist():
+        # by place in the head: the model's id, the count, and log10 of the count with alpha, of the word within its class
+        self.place = {w: k for k, (w, _) in enumerate(head)}
+        self.end = self.place[END]
+        self.id = np.array([k if k < size else size + rare_class(w) for k, (w, _) in enumerate(head)], np.int32)
+        self.count = np.array([n for _, n in head], np.int64)
+        self.log = np.log10(self.count + ALPHA)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where each word stands in the head; -1 for rare words."""
+        get = self.place.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+    def numbers(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        """What the model reads: a vocabulary word's id, or the class of another word."""
+        out = self.id[places]
+        first = self.shape.words
+        for k in np.flatnonzero(places < 0).tolist():
             out[k] = first + rare_class(words[k])
         return out
 
@@ -138,7 +142,7 @@ def learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarr
     trainer = gru.Trainer(gru.shaped(p, like), vocabulary.shape)
     waiting: list[np.ndarray] = []
     held = 0
-    end = vocabulary.ids[END]
+    end = vocabulary.end
 
     def go() -> None:
         first = np.zeros(held, bool)
@@ -147,10 +151,9 @@ def learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarr
         waiting.clear()
 
     for batch in batches:
-        for part in pieces_of(batch):
-            for text in as_bytes(part.column(0)):
-                waiting.append(vocabulary.numbers(words_of(text)))
-                held += len(waiting[-1])
+        for numbers in batch.column(0):
+            waiting.append(np.frombuffer(numbers.as_buffer(), NUMBER).astype(np.int32))
+            held += len(waiting[-1])
             if held >= CHUNK_TOKENS:
                 go()
                 held = 0
@@ -196,76 +199,103 @@ def averaged(learned: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["parameters"], np.float64) / r["tokens"] for r in sorted(rows, key=lambda r: r["part"])])
 
 
-SCORED_SCHEMA = (
-    "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model_log double,"
-    " rare_words array<string>, rare_counts array<int>"
-)
+#: A word's number in the model, as it is stored between passes.
+NUMBER = "<i2"
+META = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "within"]
+META_SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, within double"
+META_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
-def score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of SCORED_SCHEMA. Rare words, those outside the head, wait for the join: model_log and head_log lack
-    their log10(count + alpha)."""
-    shape = vocabulary.shape
-    parameters = gru.shaped(p, gru.start(shape, vocabulary.mass))
-    first = len(vocabulary.ids)
-    end = vocabulary.ids[END]
+def encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Rows of META, and of each text what the network reads, and its rare words, those outside the head, with counts.
+
+    head_log sums log10(count + alpha) of the head's words; within sums what words without a vector have within their
+    class. Rare words wait for the join: both lack their log10(count + alpha).
+    """
+    first = vocabulary.shape.words
     row = TaskContext.get().partitionId() << 40
-    counts = vocabulary.counts
     rare_log = np.log10(vocabulary.rare_mass)
-    schema = pa.schema(
-        [pa.field(n, pa.int64()) for n in ("row", "doc_id")]
-        + [pa.field("held_out", pa.bool_()), pa.field("n_tokens", pa.int64()), pa.field("head_known", pa.int64())]
-        + [pa.field(n, pa.float64()) for n in ("head_log", "model_log")]
-        + [pa.field("rare_words", pa.list_(pa.string())), pa.field("rare_counts", pa.list_(pa.int32()))]
-    )
-
-    def done(waiting: list[tuple]) -> pa.RecordBatch:
-        targets = [w[-1] for w in waiting]
-        found = gru.score_documents(parameters, shape, [shifted(x, end) for x in targets], targets) / math.log(10)
-        rows = [(*w[:6], w[6] + f, *w[7:9]) for w, f in zip(waiting, found.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
-        )
-
-    short: list[tuple] = []
-    long: list[tuple] = []
+    types = [*META_TYPES, pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    names = [*META, "numbers", "rare_words", "rare_counts"]
     for batch in batches:
         for part in pieces_of(batch):
+            made = []
             for doc_id, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
                 words = words_of(text)
-                numbers = vocabulary.numbers(words)
-                outside = np.flatnonzero(numbers >= first)
-                known = [counts.get(w, 0) for w in words]
-                head = np.array(known, np.float64)
-                inside = head[head > 0]
-                rare = Counter(words[k] for k in np.flatnonzero(head == 0).tolist())
-                # words of the head that have no vector already have all that their class leaves open
-                within = float(np.log10(head[outside][head[outside] > 0] + ALPHA).sum() - rare_log[numbers[outside] - first].sum())
-                item = (
-                    row,
-                    doc_id,
-                    remainder(doc_id, HELD_OUT_MODULUS) == 0,
-                    len(words),
-                    len(inside),
-                    float(np.log10(inside + ALPHA).sum()),
-                    within,
-                    [w.decode("utf-8", "replace") for w in rare],
-                    list(rare.values()),
-                    numbers,
+                places = vocabulary.places(words)
+                numbers = vocabulary.numbers(words, places)
+                head = places[places >= 0]
+                rare = Counter(words[k] for k in np.flatnonzero(places < 0).tolist())
+                # a word of the head without a vector has all that its class leaves open; a rare one lacks its count
+                within = vocabulary.log[head[head >= first]].sum() - rare_log[numbers[numbers >= first] - first].sum()
+                made.append(
+                    (
+                        row,
+                        doc_id,
+                        remainder(doc_id, HELD_OUT_MODULUS) == 0,
+                        len(words),
+                        int((vocabulary.count[head] > 0).sum()),
+                        float(vocabulary.log[head].sum()),
+                        float(within),
+                        numbers.astype(NUMBER).tobytes(),
+                        [w.decode("utf-8", "replace") for w in rare],
+                        list(rare.values()),
+                    )
                 )
                 row += 1
-                (long if len(words) > LONG else short).append(item)
-            if sum(x[3] for x in short) >= CHUNK_TOKENS:
-                yield done(short)
-                short = []
-            if sum(x[3] for x in long) >= 8 * CHUNK_TOKENS:
-                yield done(long)
-                long = []
-    for waiting in (short, long):
+            columns = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of META and numbers -> rows of META and model_log, log10 of what the network gives, without within."""
+    shape = vocabulary.shape
+    parameters = gru.shaped(p, gru.start(shape, vocabulary.mass))
+
+    def done(waiting: list[tuple]) -> pa.RecordBatch:
+        targets = [w[-1] for w in waiting]
+        found = gru.score_documents(parameters, shape, [shifted(x, vocabulary.end) for x in targets], targets) / math.log(10)
+        columns = [*list(zip(*waiting, strict=True))[:-1], found]
+        types = [*META_TYPES, pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*META, "model_log"])
+
+    kinds: dict[bool, list[tuple]] = {False: [], True: []}  # long documents wait for each other: they are scored abreast
+    held = {False: 0, True: 0}
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[:-1]]
+        for *meta, numbers in zip(*columns, batch.column(len(META)), strict=True):
+            item = np.frombuffer(numbers.as_buffer(), NUMBER).astype(np.int32)
+            long = len(item) > LONG
+            kinds[long].append((*meta, item))
+            held[long] += len(item)
+            if held[long] >= (8 if long else 1) * CHUNK_TOKENS:
+                yield done(kinds[long])
+                kinds[long], held[long] = [], 0
+    for waiting in kinds.values():
         if waiting:
             yield done(waiting)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words and counts of the highest counts, ``most`` at most, most frequent first.
+
+    Counts are cut into 64 steps for each power of two; whole steps are taken from the top as long as they fit, so
+    that no more than these words are sent to the driver.
+    """
+    step = F.floor(F.log2("n") * 64)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
+    least, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    found = counts.filter(step >= least).select("word", "n").collect()
+    return sorted(((r["word"].encode(), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -275,7 +305,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = training.select("text").mapInArrow(count_words, "word string, class int, n long")
     counts = stored(counts.groupBy("word", "class").agg(F.sum("n").alias("n")), "word-counts")
     tokens, types = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    head = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = most_frequent(counts, HEAD)
     top = [w.decode() for w, _ in head[:VOCABULARY]]
     top_words = spark.createDataFrame([(w,) for w in top], "word string")
     classes = counts.join(F.broadcast(top_words), "word", "left_anti").groupBy("class").agg(F.sum("n"), F.count("*")).collect()
@@ -285,35 +315,39 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     vocabulary = Vocabulary(head, {r[0]: (r[1], r[2]) for r in classes}, tokens, types)
     shared = spark.sparkContext.broadcast(vocabulary)
 
+    encoded_schema = f"{META_SCHEMA}, numbers binary, rare_words array<string>, rare_counts array<int>"
+    encoded = stored(given.mapInArrow(lambda x: encode(x, shared.value), encoded_schema), "encoded")
+
     p = gru.flat(gru.start(vocabulary.shape, vocabulary.mass))
     tenth = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(10))
     for low, high in ROUNDS:
         sent = spark.sparkContext.broadcast(p)
-        slice_ = training.filter((tenth >= low) & (tenth < high)).select("text")
-        learned = slice_.mapInArrow(
+        part = encoded.filter((~F.col("held_out")) & (tenth >= low) & (tenth < high)).select("numbers")
+        learned = part.mapInArrow(
             lambda x, sent=sent: learn(x, shared.value, sent.value), "part int, task long, tokens long, parameters binary"
         )
         found = averaged(learned)
         p = p if found is None else found
     final = spark.sparkContext.broadcast(p.astype(np.float32))
 
-    scored = stored(given.mapInArrow(lambda x: score(x, shared.value, final.value), SCORED_SCHEMA), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("w")).select(
+    scored = encoded.select(*META, "numbers").mapInArrow(
+        lambda x: score(x, shared.value, final.value), f"{META_SCHEMA}, model_log double"
+    )
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("w")).select(
         "row", F.col("w.rare_words").alias("word"), F.col("w.rare_counts").alias("times")
     )
-    outside = counts.select("word", "n")
-    joined = rare.join(outside, "word", "left").groupBy("row").agg(
+    joined = rare.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("rare_log"),
     )
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     share = math.log10(tokens + ALPHA * (types + 1))
-    return scored.drop("rare_words", "rare_counts").join(joined, "row", "left").select(
+    return scored.join(joined, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("head_log") + rare_log - F.col("n_tokens") * F.lit(share)).alias("base_score"),
-        (F.col("model_log") + rare_log).alias("score"),
+        (F.col("model_log") + F.col("within") + rare_log).alias("score"),
     )

@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,20 +85,29 @@ def encoded(words: list[str], tool) -> list[bytes]:
 def ids_of(texts: list[bytes], path: str | None = None) -> list[bytes]:
     """Each text's ids and the end id, as little-endian unsigned 32-bit integers.
 
-    Words' ids are kept in two generations, so that what is frequent stays and memory is bounded.
+    Words' ids are kept in two generations, so that what is frequent stays and memory is bounded. The
+    tokenizer puts text in lower case and never joins letters with what follows them, so case and a last
+    full stop or comma make no word of their own here.
     """
     global _recent, _before
     tool = tokenizer(path)
-    split = [x.split() for x in texts]
+    # special tokens are matched before lower case is made
+    split = [(x if b"<|" in x else x.lower()).split() for x in texts]
     if len(_recent) > CACHE_WORDS:
         _recent, _before = {}, _recent
-    new = []
-    for w in {w for words in split for w in words}.difference(_recent):
+    stems, ended, new = {b".", b","}, [], []
+    for w in set(chain.from_iterable(split)).difference(_recent):
+        if w[-1:] in (b".", b",") and w[-2:-1].isalpha():
+            ended.append(w)
+            w = w[:-1]
+        stems.add(w)
+    for w in stems.difference(_recent):
         if (old := _before.get(w)) is None:
             new.append(w)
         else:
             _recent[w] = old
     _recent.update(zip(new, encoded([w.decode("utf-8", "replace") for w in new], tool), strict=True))
+    _recent.update((w, _recent[w[:-1]] + _recent[w[-1:]]) for w in ended)
     end = np.array([END_ID], "<u4").tobytes()
     get = _recent.__getitem__
     return [b"".join(map(get, words)) + end for words in split]
