@@ -20,12 +20,13 @@ tokenizer makes of them. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequen
 _recent: dict[bytes, bytes] = {}
 _before: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
+_ending: dict[object, np.ndarray] = {}
 
 
 def tokenizer(path: str | None):
@@ -68,8 +70,33 @@ def tokenizer(path: str | None):
     return _tokenizers[key]
 
 
+#: Lower-case letters that the tokenizer's normalizer leaves alone: such a word is one run of letters to it.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def ending(tool) -> np.ndarray:
+    """Which ids end a run of letters."""
+    if tool not in _ending:
+        found = np.zeros(tool.get_vocab_size(), bool)
+        found[[k for token, k in tool.get_vocab().items() if token.endswith("</w>")]] = True
+        _ending[tool] = found
+    return _ending[tool]
+
+
+def encoded_plain(words: list[str], tool) -> list[bytes]:
+    """The ids of words of PLAIN letters. Many go through the tokenizer as one text; an id that ends a run ends a word."""
+    out: list[bytes] = []
+    ends = ending(tool)
+    for found in tool.encode_batch_fast([" ".join(words[at : at + 500]) for at in range(0, len(words), 500)], add_special_tokens=False):
+        numbers = np.array(found.ids, "<u4")
+        stops = (4 * (np.flatnonzero(ends[numbers]) + 1)).tolist()
+        ids = numbers.tobytes()
+        out += [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+    return out
+
+
 def encoded(words: list[str], tool) -> list[bytes]:
-    """The ids of each word. Many words go through the tokenizer as one text, which costs less."""
+    """The ids of each word. Many words go through the tokenizer as one text, told apart by their offsets."""
     out: list[bytes] = []
     for at in range(0, len(words), 500):
         some = words[at : at + 500]
@@ -82,35 +109,57 @@ def encoded(words: list[str], tool) -> list[bytes]:
     return out
 
 
-def ids_of(texts: list[bytes], path: str | None = None) -> list[bytes]:
-    """Each text's ids and the end id, as little-endian unsigned 32-bit integers.
+def looked_up(words: list[bytes], tool) -> list[bytes]:
+    """The ids of each of some distinct words.
 
     Words' ids are kept in two generations, so that what is frequent stays and memory is bounded. The
-    tokenizer puts text in lower case and never joins letters with what follows them, so case and a last
-    full stop or comma make no word of their own here.
+    tokenizer puts text in lower case and never joins letters with what follows them, so a last full
+    stop or comma makes no word of its own here.
     """
     global _recent, _before
-    tool = tokenizer(path)
-    # special tokens are matched before lower case is made
-    split = [(x if b"<|" in x else x.lower()).split() for x in texts]
     if len(_recent) > CACHE_WORDS:
         _recent, _before = {}, _recent
-    stems, ended, new = {b".", b","}, [], []
-    for w in set(chain.from_iterable(split)).difference(_recent):
-        if w[-1:] in (b".", b",") and w[-2:-1].isalpha():
-            ended.append(w)
-            w = w[:-1]
-        stems.add(w)
+    stems, ended = {b".", b","}, []
+    for w, ids in zip(words, map(_recent.get, words), strict=True):
+        if ids is None:
+            if w[-1:] in (b".", b",") and w[-2:-1].isalpha():
+                ended.append(w)
+                w = w[:-1]
+            stems.add(w)
+    kinds: dict[bool, list[tuple[bytes, str]]] = {False: [], True: []}
     for w in stems.difference(_recent):
-        if (old := _before.get(w)) is None:
-            new.append(w)
-        else:
+        if (old := _before.get(w)) is not None:
             _recent[w] = old
-    _recent.update(zip(new, encoded([w.decode("utf-8", "replace") for w in new], tool), strict=True))
+        else:
+            word = w.decode("utf-8", "replace")
+            kinds[PLAIN.fullmatch(word) is not None].append((w, word))
+    for plain, how in ((False, encoded), (True, encoded_plain)):
+        _recent.update(zip([w for w, _ in kinds[plain]], how([word for _, word in kinds[plain]], tool), strict=True))
     _recent.update((w, _recent[w[:-1]] + _recent[w[-1:]]) for w in ended)
+    return list(map(_recent.__getitem__, words))
+
+
+def ids_of(texts: list[bytes], path: str | None = None) -> list[bytes]:
+    """Each text's ids and the end id, as little-endian unsigned 32-bit integers.
+
+    Arrow splits texts and tells distinct words; only these meet the cache and the tokenizer.
+    """
+    tool = tokenizer(path)
+    # special tokens are matched before lower case is made
+    lowered = pa.array([x if b"<|" in x else x.lower() for x in texts], pa.binary())
+    words = pc.ascii_split_whitespace(lowered.view(pa.string()))
+    coded = words.flatten().dictionary_encode()
+    ids = looked_up(coded.dictionary.view(pa.binary()).to_pylist(), tool)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begins = np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy()
+    size = sizes[codes]
+    stops = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(stops[-1]) + np.repeat(begins[codes] - stops[:-1], size)
+    found = np.frombuffer(b"".join(ids), "<u4")[place]
+    edges = stops[words.offsets.to_numpy()].tolist()
     end = np.array([END_ID], "<u4").tobytes()
-    get = _recent.__getitem__
-    return [b"".join(map(get, words)) + end for words in split]
+    return [found[a:b].tobytes() + end for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def sketch(distinct: np.ndarray) -> int:
