@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
+#: Output logits are worked out for so many tokens at a time, which a processor's cache holds.
+BLOCK = 2048
 FLOAT = np.float32
 
 
@@ -56,21 +58,17 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def sigmoid(a: np.ndarray) -> np.ndarray:
-    np.negative(a, out=a)
-    np.exp(a, out=a)
-    a += 1
-    return np.reciprocal(a, out=a)
-
-
 def run(p: dict, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None, back: bool = False):
     """States after each input of [steps, lanes], from ``h``; keep: 0 where a lane's state is reset before a step.
 
     Returns (states [steps, lanes, hidden], what ``gradients`` needs or None).
     """
     n = HIDDEN
-    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
-    given = p["x"][inputs] + p["b"]
+    # gates are (1 + tanh(a / 2)) / 2, the logistic function, which needs no guard against overflow
+    half = np.repeat(np.array([0.5, 1], FLOAT), [2 * n, n])
+    u = p["u"] * half
+    u_gates, u_new = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
+    given = ((p["x"] + p["b"]) * half)[inputs]
     states = np.empty((*inputs.shape, n), FLOAT)
     before, gates, new = (np.empty_like(states), np.empty((*inputs.shape, 2 * n), FLOAT), np.empty_like(states)) if back else (None,) * 3
     for t in range(len(inputs)):
@@ -78,8 +76,9 @@ def run(p: dict, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None = No
             h = h * keep[t][:, None]
         g = h @ u_gates
         g += given[t, :, : 2 * n]
-        g = np.clip(g, -30, 30, out=g)
-        g = sigmoid(g)
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
         r, z = g[:, :n], g[:, n:]
         c = (r * h) @ u_new
         c += given[t, :, 2 * n :]
@@ -96,16 +95,17 @@ def log_probabilities(p: dict, shape: Shape, states: np.ndarray, targets: np.nda
     return outputs(p, shape, states, targets, None)[0]
 
 
-def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp of logits, in place; what was taken off them, by row), shifted only if one is too large.
+def exponentials(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """(sums of exp of logits, which it leaves in place; what was taken off them before), by row.
 
-    Logits are log-probabilities and a small change, so this is rare; it costs a pass to shift all.
+    small: no logit can be too large for exp. They are log-probabilities and a small change, so it holds almost always.
     """
-    if logits.max(initial=0.0) < 60:
-        return np.exp(logits, out=logits), np.zeros(len(logits), FLOAT)
-    top = logits.max(1)
-    logits -= top[:, None]
-    return np.exp(logits, out=logits), top
+    top = 0.0
+    if not small:
+        top = logits.max(1)
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype), top
 
 
 def outputs(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray, grads: dict | None):
@@ -114,43 +114,54 @@ def outputs(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray, grad
     Gradients are of the summed log-probability.
     """
     classes = shape.class_of[targets]
-    rows = np.arange(len(targets))
+    order = np.argsort(classes, kind="stable")  # from here on tokens of a class stand together
+    classes, targets = classes[order], targets[order]
+    rows = np.arange(min(len(targets), BLOCK))
     ended = np.ones((len(targets), HIDDEN + 1), FLOAT)
-    ended[:, :HIDDEN] = states
-    logits = ended @ p["c"]
-    found = logits[rows, classes]
-    logits, top = exponentials(logits)
-    total = logits.sum(1)
-    found -= np.log(total) + top
+    ended[:, :HIDDEN] = states[order]
+    found = np.empty(len(targets), FLOAT)
     d_states = None
     if grads is not None:
-        logits *= (-1 / total)[:, None]
-        logits[rows, classes] += 1
-        grads["c"] = ended.T @ logits
-        d_states = logits @ p["c"].T
-        grads["w"] = np.zeros_like(p["w"])
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(shape.word_classes + 1))
+        grads["c"], grads["w"] = np.zeros_like(p["c"]), np.zeros_like(p["w"])
+        d_states = np.empty_like(ended)
+    # states are within -1 and 1
+    small_c = (np.abs(p["c"][:-1]).sum(0) + p["c"][-1]).max() < 60
+    small_w = len(p["w"]) == 0 or (np.abs(p["w"][:, :-1]).sum(1) + p["w"][:, -1]).max() < 60
+    for at in range(0, len(targets), BLOCK):
+        part = slice(at, at + BLOCK)
+        h, k = ended[part], classes[part]
+        here = rows[: len(k)]
+        logits = h @ p["c"]
+        picked = logits[here, k]
+        total, top = exponentials(logits, small_c)
+        found[part] = picked - np.log(total) - top
+        if grads is not None:
+            logits *= (-1 / total)[:, None]
+            logits[here, k] += 1
+            grads["c"] += h.T @ logits
+            np.matmul(logits, p["c"].T, out=d_states[part])
+    cuts = np.searchsorted(classes, np.arange(shape.word_classes + 1)).tolist()
     for k in range(shape.word_classes):
-        mine = order[cuts[k] : cuts[k + 1]]
+        mine = slice(cuts[k], cuts[k + 1])
         a, b = shape.edges[k], shape.edges[k + 1]
-        if not len(mine) or b - a == 1:
+        if cuts[k] == cuts[k + 1] or b - a == 1:
             continue
         h = ended[mine]
         w = p["w"][a:b]
         inner = h @ w.T
         at = targets[mine] - a
-        here = rows[: len(mine)]
+        here = np.arange(len(h))
         picked = inner[here, at]
-        inner, top = exponentials(inner)
-        total = inner.sum(1)
+        total, top = exponentials(inner, small_w)
         found[mine] += picked - np.log(total) - top
         if grads is not None:
             inner *= (-1 / total)[:, None]
             inner[here, at] += 1
             np.matmul(inner.T, h, out=grads["w"][a:b])
             d_states[mine] += inner @ w
-    return found, None if d_states is None else d_states[:, :HIDDEN]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return found[back], None if d_states is None else d_states[back, :HIDDEN]
 
 
 def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -165,6 +176,7 @@ def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np
     u_gates_t, u_new_t = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
     r_all, z_all = gates[:, :, :n], gates[:, :, n:]
     slope_r, slope_z, slope_c = r_all * (1 - r_all) * before, z_all * (1 - z_all) * (new - before), z_all * (1 - new * new)
+    stay = 1 - z_all
     d_h = np.zeros((lanes, n), FLOAT)
     for t in range(steps - 1, -1, -1):
         d_h += d_out[t]
@@ -173,7 +185,9 @@ def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np
         d_rh = d_c @ u_new_t
         np.multiply(d_rh, slope_r[t], out=d[:, :n])
         np.multiply(d_h, slope_z[t], out=d[:, n : 2 * n])
-        d_h = d_h * (1 - z_all[t]) + d_rh * r_all[t] + d[:, : 2 * n] @ u_gates_t
+        d_h *= stay[t]
+        d_h += np.multiply(d_rh, r_all[t], out=d_rh)
+        d_h += d[:, : 2 * n] @ u_gates_t
         if keep is not None:
             d_h *= keep[t][:, None]
     flat_given = d_given.reshape(-1, 3 * n)
@@ -188,11 +202,7 @@ def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np
     order = np.argsort(inputs.ravel(), kind="stable")
     ids = inputs.ravel()[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    # sums of runs as differences of running sums
-    running = np.cumsum(flat_given[order], axis=0, dtype=np.float64)
-    ends = running[np.append(first[1:], len(ids)) - 1]
-    ends[1:] -= ends[:-1].copy()
-    grads["x"] = (ids[first], ends.astype(FLOAT))
+    grads["x"] = (ids[first], np.add.reduceat(flat_given[order], first, axis=0))
     return grads, found, states[-1]
 
 
@@ -240,7 +250,7 @@ class Trainer:
 
 
 def score_documents(
-    p: dict, shape: Shape, inputs: list[np.ndarray], targets: list[np.ndarray], steps: int = 16, rows: int = 8192
+    p: dict, shape: Shape, inputs: list[np.ndarray], targets: list[np.ndarray], steps: int = 16, rows: int = 32_768
 ) -> np.ndarray:
     """The summed log-probability of each document, its state carried from window to window to its end.
 

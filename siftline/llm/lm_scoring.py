@@ -48,6 +48,8 @@ ROUNDS = ((0, 1), (1, 4), (4, 10))
 END = b""
 LONG = 4_096
 CHUNK_TOKENS = 500_000
+#: Documents of so many tokens wait to be scored abreast.
+SCORED_TOKENS = 4_000_000
 PARTS = 16
 
 
@@ -268,7 +270,7 @@ def score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarr
             long = len(item) > LONG
             kinds[long].append((*meta, item))
             held[long] += len(item)
-            if held[long] >= (8 if long else 1) * CHUNK_TOKENS:
+            if held[long] >= SCORED_TOKENS:
                 yield done(kinds[long])
                 kinds[long], held[long] = [], 0
     for waiting in kinds.values():
