@@ -3,8 +3,8 @@
 Base patterns find assignments, access keys and long hexadecimal runs. The method reads every value
 that stands in a credential context and finds the cheapest way to guess it: a minimum-cost
 segmentation into words, dates, repeats, keyboard walks and brute-force spans. A value that would
-take at least ``10 ** MIN_LOG10_GUESSES`` guesses is a secret (kind ``guess``) unless a base span
-covers part of it.
+take at least ``10 ** MIN_LOG10_GUESSES`` guesses is a secret (kind ``guess``) unless base spans
+cover the whole of it.
 
 Defined results: a null text is an empty one and has no spans; spans are in code points, end
 exclusive; equal spans of several kinds all stay; repeated rows give repeated results; a null doc_id
@@ -146,13 +146,22 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def covered(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, sorted by start, leave nothing of ``a`` to ``b``."""
+    for start, _, end in base:
+        if start > a:
+            break
+        a = max(a, end)
+    return a >= b
+
+
 def guess_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(x in low for x in CUES):
         return []
     return [
         (m.start(1), 3, m.end(1))
         for m in CONTEXT.finditer(text)
-        if log10_guesses(m[1]) >= MIN_LOG10_GUESSES and not any(a < m.end(1) and m.start(1) < b for a, _, b in base)
+        if log10_guesses(m[1]) >= MIN_LOG10_GUESSES and not covered(m.start(1), m.end(1), base)
     ]
 
 

@@ -175,6 +175,17 @@ def test_secrets_are_masked_and_prose_is_left():
         assert secret_scan.redacted(text, secret_scan.scan(text)[1]) == masked
 
 
+def test_a_base_span_on_part_of_a_value_leaves_none_of_it():
+    for value in ("Tr0ub4dor.horse!9x&Qz", "zK#deadbeef01234567!Qw&9", "Tr0ub4dor.horse!deadbeef01234567!Q"):
+        text = f'say password = "{value}" here'
+        base, spans = secret_scan.scan(text)
+        assert base and (text.index(value), 3, text.index(value) + len(value)) in spans
+        masked = secret_scan.redacted(text, spans)
+        assert masked.startswith("say ") and masked.endswith('[SECRET]" here') and not any(x in masked for x in ("!", "#", "&"))
+    whole = "password=Tr0ub4dor.horse/9xQz"
+    assert secret_scan.scan(whole)[1] == [(0, 0, len(whole))]
+
+
 # quality classifier
 
 
