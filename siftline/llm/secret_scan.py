@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -37,12 +37,14 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: A text without any of these (in lower case) has neither an assignment nor a credential context.
 CUES = ("pass", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "login")
+#: A cue, whatever letters or digits stand before it, and what leads to its value of at least six characters.
 CONTEXT = re.compile(
-    r"(?i:\b(?:[a-z0-9]+[_-])*(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|"
+    r"(?i:(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|"
     r"api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?|auth|authorization|login)"
-    r"[\"']?\x20*(?:=>|:=|[:=]|\x20is\x20)\x20*(?:bearer\x20|basic\x20)?|\bbearer\x20)[\"']?([^\s\"'<>,;]{6,})",
+    r"[\"']?\x20*(?:=>|:=|[:=]|\x20is\x20)\x20*(?:bearer\x20|basic\x20)?|\bbearer\x20)[\"']?(?=[^\s\"'<>,;]{6})",
     re.ASCII,
 )
+VALUE = re.compile(r"[^\s\"'<>,;]+", re.ASCII)
 
 # Common words of passwords, most common first.
 WORDS = (
@@ -155,14 +157,19 @@ def covered(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
     return a >= b
 
 
+def values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of values in credential contexts. A cue may stand in a value ahead of another; a value in a value is passed over."""
+    last = 0
+    for m in CONTEXT.finditer(text):
+        if m.end() >= last:
+            last = VALUE.match(text, m.end()).end()
+            yield m.end(), last
+
+
 def guess_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(x in low for x in CUES):
         return []
-    return [
-        (m.start(1), 3, m.end(1))
-        for m in CONTEXT.finditer(text)
-        if log10_guesses(m[1]) >= MIN_LOG10_GUESSES and not covered(m.start(1), m.end(1), base)
-    ]
+    return [(a, 3, b) for a, b in values(text) if log10_guesses(text[a:b]) >= MIN_LOG10_GUESSES and not covered(a, b, base)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -186,6 +186,16 @@ def test_a_base_span_on_part_of_a_value_leaves_none_of_it():
     assert secret_scan.scan(whole)[1] == [(0, 0, len(whole))]
 
 
+def test_a_cue_may_follow_any_letters_or_digits():
+    for key in ("dbPassword", "PGPASSWORD", "clientSecret", "accessToken", "authToken", "sessionToken", "dbPass", "x2pwd", "éToken", "my-db_pass"):
+        for text in (f'{{"{key}": "k9#Fz!2pQw7$"}}', f"{key}=k9#Fz!2pQw7$ ", f"{key} => k9#Fz!2pQw7$\n", f"{key}: k9#Fz!2pQw7$;"):
+            masked = secret_scan.redacted(text, secret_scan.scan(text)[1])
+            assert masked == text.replace("k9#Fz!2pQw7$", "[SECRET]"), text
+    # a cue in another's value still counts, a value in a value is part of it
+    assert secret_scan.scan("authToken: dbPassword: k9#Fz!2pQw7$")[1][-1] == (23, 3, 35)
+    assert secret_scan.scan("dbtoken=password=k9#Fz!2pQw7$")[1] == [(8, 3, 29)]
+
+
 # quality classifier
 
 
