@@ -1,25 +1,27 @@
 """Operator 2, license scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line. Sparse multinomial logistic regression over its words and word pairs names a
-licence family or the class of unknown text; probabilities are calibrated by one temperature on notices left out of
-training. A family is reported if its calibrated probability is at least ``LEAST`` and the paragraph
-holds at least ``OVERLAP`` of the word pairs of one of the family's templates.
+A paragraph is a line. Sparse multinomial
+logistic regression over words and word pairs names a licence family or the class of unknown text;
+probabilities are calibrated by one temperature on notices left out of training. A run of at most
+``WINDOW`` words that holds at least ``OVERLAP`` of the word pairs of a family's template is reported
+if the calibrated probability of that family is the highest and at least ``LEAST``.
 
 Notices are learned from the templates below, varied by fixed rules, and from text that is none. The
-training set is fixed; it doesn't grow with the corpus. All paragraphs of all texts are read: one
-without any word that the model knows has no weight but the bias and is unknown without further work;
-a long one is read in windows of ``WINDOW`` words around the words that it knows.
+training set is fixed; it doesn't grow with the corpus. All paragraphs of all texts are read; one
+without any word that the model knows is unknown without further work.
 
 Defined results: a null text is an empty one; blank lines are no paragraphs. Repeated rows give repeated
-results; a null doc_id is passed on. Of overlapping windows that name one family the most probable one
-is reported. Spans are in code points of the text, by paragraph.
+results; a null doc_id is passed on. Overlapping runs of one family are one notice; those apart are
+several. Spans are in code points of the text.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from .common import as_text, per_text
 
 LEAST, OVERLAP, WINDOW = 0.5, 0.6, 60
+#: Word pairs of one notice stand so many words apart at most, beyond those that confirm it.
+GAP = 8
 UNKNOWN = "unknown"
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -126,6 +130,9 @@ class Classifier:
     #: words that occur in no gram known to the classifier change nothing
     anchors: frozenset[str]
     templates: dict[str, list[set[str]]]
+    #: the (family, number) of the templates that hold a word pair, and the pair that each begins with
+    places: dict[str, list[tuple[str, int]]]
+    firsts: dict[tuple[str, int], str]
 
     def probabilities(self, found: set[str]) -> np.ndarray:
         known = [self.weights[g] for g in found if g in self.weights]
@@ -134,47 +141,132 @@ class Classifier:
         return p / p.sum()
 
     def judge(self, words: list[str]) -> tuple[str, float]:
-        """(family, calibrated probability), confirmed by a template; or unknown."""
-        found = grams(words)
-        p = self.probabilities(found)
+        """(most probable family, calibrated probability)."""
+        p = self.probabilities(grams(words))
         k = int(p.argmax())
-        family = self.families[k]
-        if family == UNKNOWN or p[k] < LEAST:
-            return UNKNOWN, float(p[self.families.index(UNKNOWN)])
-        pairs = {g for g in found if " " in g}
-        if not any(len(t & pairs) >= OVERLAP * len(t) for t in self.templates[family]):
-            return UNKNOWN, float(p[self.families.index(UNKNOWN)])
-        return family, float(p[k])
-
-    def windows(self, words: list[str]) -> Iterable[tuple[int, int]]:
-        """Runs of words to be judged: the paragraph, or in a long one those around known words."""
-        if self.anchors.isdisjoint(words):
-            return
-        if len(words) <= WINDOW:
-            yield 0, len(words)
-            return
-        last = -1
-        for k, w in enumerate(words):
-            if w in self.anchors and k > last - WINDOW // 3:
-                yield max(0, k - 3), min(len(words), k - 3 + WINDOW)
-                last = k - 3 + WINDOW
+        return self.families[k], float(p[k])
+
+    def occurrences(self, names: list[str]) -> list[tuple[int, int, str]]:
+        """(first word, end, family) of each run of at most ``WINDOW`` words that holds ``OVERLAP`` of a template's word pairs."""
+        pairs = [f"{a} {b}" for a, b in zip(names, names[1:], strict=False)]
+        known = {}
+        for k, pair in enumerate(pairs):
+            if pair in self.places:
+                known.setdefault(pair, []).append(k)
+        counts = Counter(t for pair in known for t in self.places[pair])
+        found: list[tuple[int, int, str]] = []
+        for (family, t), n in counts.items():
+            template = self.templates[family][t]
+            least = math.ceil(OVERLAP * len(template))
+            if n >= least:
+                hits = sorted(k for pair in template & known.keys() for k in known[pair])
+                found += [(a, b, family) for a, b in runs(hits, pairs, least, self.firsts[family, t])]
+        out: list[tuple[int, int, str]] = []
+        for a, b, family in sorted(found, key=lambda x: (x[2], x[0], x[1])):
+            if out and out[-1][2] == family and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]), family)
+            else:
+                out.append((a, b, family))
+        return out
+
+    def notices(self, names: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, end, family, probability) of what a template and the classifier both find.
+
+        Occurrences that overlap are judged together. Once one family is found, the words of its templates are left out
+        and the rest judged again, so of two notices that share words both are found. What isn't sure by its own
+        words is judged with those around it.
+        """
+        out: list[tuple[int, int, str, float]] = []
+        taken = np.zeros(len(names), bool)
+        left: list[tuple[int, int, str]] = []
+        for rest in overlapping(self.occurrences(names)):
+            self.settle(names, rest, taken, 0, out)
+            left += rest
+        for rest in overlapping(left):
+            self.settle(names, rest, taken, WINDOW, out)
+        return sorted(out)
+
+    def settle(self, names: list[str], rest: list[tuple[int, int, str]], taken: np.ndarray, width: int, out: list[tuple[int, int, str, float]]) -> None:
+        """Move what can be told of ``rest`` to ``out``; words of ``taken`` don't count. Read ``width`` words at least."""
+        while True:
+            rest[:] = [x for x in rest if not taken[x[0] : x[1]].all()]
+            if not rest:
+                return
+            a, b = min(x[0] for x in rest), max(x[1] for x in rest)
+            more = max(0, width - (b - a)) // 2
+            a, b = max(0, a - more), min(len(names), b + more)
+            family, p = self.judge([names[k] for k in range(a, b) if not taken[k]])
+            mine = [x for x in rest if x[2] == family]
+            if p < LEAST or not mine:
+                return
+            out += [(*x, p) for x in mine]
+            rest[:] = [x for x in rest if x[2] != family]
+            for a, b, _ in mine:
+                for k in range(a, b - 1):
+                    if any(f == family for f, _ in self.places.get(f"{names[k]} {names[k + 1]}", ())):
+                        taken[k : k + 2] = True
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, family, probability) of each notice in a text."""
         out: list[tuple[int, int, str, float]] = []
-        at = 0
-        for line in text.split("\n"):
-            if not self.anchors.isdisjoint(WORD.findall(line.lower())):
-                words = words_of(line)
-                best: dict[str, tuple[int, int, str, float]] = {}
-                names = [w for w, _, _ in words]
-                for a, b in self.windows(names):
-                    family, p = self.judge(names[a:b])
-                    if family != UNKNOWN and p > best.get(family, (0, 0, "", 0.0))[3]:
-                        best[family] = (at + words[a][1], at + words[b - 1][2], family, p)
-                out += sorted(best.values())
-            at += len(line) + 1
-        return out
+        for start, paragraph in paragraphs(text):
+            names = WORD.findall(paragraph.lower())
+            if not self.anchors.isdisjoint(names):
+                words = words_of(paragraph)
+                found = self.notices([w for w, _, _ in words])
+                out += [(start + words[a][1], start + words[b - 1][2], family, p) for a, b, family, p in found]
+        return sorted(out)
+
+
+def runs(hits: list[int], pairs: list[str], least: int, first: str) -> Iterator[tuple[int, int]]:
+    """Runs of words, none overlapping, that hold ``least`` distinct ones of the word pairs at ``hits``."""
+    inside: Counter[str] = Counter()
+    left = right = 0
+    while right < len(hits):
+        inside[pairs[hits[right]]] += 1
+        right += 1
+        while hits[right - 1] - hits[left] + 2 > WINDOW or inside[pairs[hits[left]]] > 1:
+            left = dropped(inside, pairs[hits[left]], left)
+        if len(inside) < least:
+            continue
+        at = right
+        while at < len(hits) and hits[at] - hits[right - 1] <= GAP and hits[at] - hits[left] + 2 <= WINDOW and pairs[hits[at]] != first:
+            at += 1
+            if pairs[hits[at - 1]] not in inside or hits[at - 1] == hits[right - 1] + 1:
+                inside.update(pairs[k] for k in hits[right:at])
+                right = at
+        while len(inside) > least and hits[left + 1] - hits[left] > GAP:
+            left = dropped(inside, pairs[hits[left]], left)
+        yield hits[left], hits[right - 1] + 2
+        inside.clear()
+        left = right
+
+
+def overlapping(found: list[tuple[int, int, str]]) -> list[list[tuple[int, int, str]]]:
+    """Groups of runs of words that overlap, directly or by others."""
+    out: list[list[tuple[int, int, str]]] = []
+    end = 0
+    for x in sorted(found):
+        if x[0] >= end:
+            out.append([])
+        out[-1].append(x)
+        end = max(end, x[1])
+    return out
+
+
+def dropped(inside: Counter[str], pair: str, left: int) -> int:
+    inside[pair] -= 1
+    if not inside[pair]:
+        del inside[pair]
+    return left + 1
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, str]]:
+    """(start, text) of each line."""
+    at = 0
+    for line in text.split("\n"):
+        yield at, line
+        at += len(line) + 1
 
 
 def varied(words: list[str], rng: random.Random, filler: list[str]) -> list[str]:
@@ -244,7 +336,13 @@ def train(steps: int = 200, seed: int = 7) -> Classifier:
     common = {"the", "of", "and", "or", "to", "in", "a", "is", "any", "this", "with", "for", "as", "by", "are", "that", "you", "may", "not", "on"}
     anchors = frozenset(g for g in names if " " not in g) - common
     templates = {f: [{g for g in grams(t) if " " in g} for t in ts] for f, ts in split.items()}
-    return Classifier(families, {g: w[k] for g, k in place.items()}, b_alone, temperature, anchors, templates)
+    places: dict[str, list[tuple[str, int]]] = {}
+    for f, ts in templates.items():
+        for k, t in enumerate(ts):
+            for pair in t:
+                places.setdefault(pair, []).append((f, k))
+    firsts = {(f, k): " ".join(t[:2]) for f, ts in split.items() for k, t in enumerate(ts)}
+    return Classifier(families, {g: w[k] for g, k in place.items()}, b_alone, temperature, anchors, templates, places, firsts)
 
 
 def license_scan(docs: DataFrame, carry: Iterable[str] = ("doc_id",)) -> DataFrame:

@@ -516,6 +516,20 @@ def test_a_notice_in_a_very_long_paragraph(licences):
     assert [f for _, _, f, _ in licences.scan(" ".join(words))] == ["mit"]
 
 
+def test_repeated_and_dual_notices(licences):
+    words = ["rain"] * 9500
+    for at in (9000, 5000, 100):
+        words[at:at] = "Released under the MIT License".split()
+    text = " ".join(words)
+    assert [(text[a:b], f) for a, b, f, _ in licences.scan(text)] == [("Released under the MIT License", "mit")] * 3
+    for text in (
+        "licensed under the MIT License or licensed under the Apache License, Version 2.0",
+        "Licensed under the MIT License or the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 or the MIT license",
+    ):
+        assert sorted(f for _, _, f, _ in licences.scan(text)) == ["apache-2.0", "mit"]
+
+
 # N-best segmentation
 
 
