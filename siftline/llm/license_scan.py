@@ -1,10 +1,11 @@
 """Operator 2, license scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line. Sparse multinomial
+A paragraph is a run of lines that aren't blank; signs of comments are no words. Sparse multinomial
 logistic regression over words and word pairs names a licence family or the class of unknown text;
 probabilities are calibrated by one temperature on notices left out of training. A run of at most
 ``WINDOW`` words that holds at least ``OVERLAP`` of the word pairs of a family's template is reported
-if the calibrated probability of that family is the highest and at least ``LEAST``.
+if the calibrated probability of that family is the highest and at least ``LEAST``. SPDX identifiers
+are read by a fixed table.
 
 Notices are learned from the templates below, varied by fixed rules, and from text that is none. The
 training set is fixed; it doesn't grow with the corpus. All paragraphs of all texts are read; one
@@ -111,6 +112,17 @@ OTHERS = [
     "The mit of the gnu is a possible attribution in this international work",
 ]
 
+SPDX = re.compile(r"(?i:(spdx-license-identifier:)[^\S\n]*)[\w.+()-]+(?:[^\S\n]+[\w.+()-]+)*")
+SPDX_ID = re.compile(r"[\w.-]+")
+SPDX_FAMILIES = {
+    family: re.compile(rf"(?i:{known}(?:-only|-or-later)?)")
+    for family, known in {
+        "apache-2.0": r"apache-2\.0", "mit": "mit", "gpl-3.0": r"gpl-3\.0", "gpl-2.0": r"gpl-2\.0", "lgpl": r"lgpl-[\d.]+",
+        "agpl-3.0": r"agpl-3\.0", "bsd": r"0bsd|bsd-\d-clause", "mpl-2.0": r"mpl-2\.0", "cc-by": r"cc-by-[\d.]+", "cc-by-sa": r"cc-by-sa-[\d.]+",
+        "cc-by-nc": r"cc-by-nc-[\d.]+", "cc0": r"cc0-1\.0", "unlicense": "unlicense", "isc": "isc",
+    }.items()
+}
+
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """(word in lower case, start, end)."""
@@ -208,7 +220,7 @@ class Classifier:
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, family, probability) of each notice in a text."""
-        out: list[tuple[int, int, str, float]] = []
+        out = identifiers(text)
         for start, paragraph in paragraphs(text):
             names = WORD.findall(paragraph.lower())
             if not self.anchors.isdisjoint(names):
@@ -262,11 +274,27 @@ def dropped(inside: Counter[str], pair: str, left: int) -> int:
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
-    """(start, text) of each line."""
-    at = 0
+    """(start, text) of each run of lines that aren't blank."""
+    start = at = 0
     for line in text.split("\n"):
-        yield at, line
+        if not line or line.isspace():
+            if start < at:
+                yield start, text[start:at]
+            start = at + len(line) + 1
         at += len(line) + 1
+    if start < at:
+        yield start, text[start:at]
+
+
+def identifiers(text: str) -> list[tuple[int, int, str, float]]:
+    """Notices by SPDX identifiers, every known one of an expression, each from the tag on."""
+    out: dict[tuple[int, str], tuple[int, int, str, float]] = {}
+    for m in SPDX.finditer(text):
+        for x in SPDX_ID.finditer(text, m.end(1), m.end()):
+            for family, known in SPDX_FAMILIES.items():
+                if known.fullmatch(x[0]):
+                    out.setdefault((m.start(), family), (m.start(), x.end(), family, 1.0))
+    return list(out.values())
 
 
 def varied(words: list[str], rng: random.Random, filler: list[str]) -> list[str]:

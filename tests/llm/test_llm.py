@@ -516,6 +516,17 @@ def test_a_notice_in_a_very_long_paragraph(licences):
     assert [f for _, _, f, _ in licences.scan(" ".join(words))] == ["mit"]
 
 
+def test_wrapped_notices_and_identifiers(licences):
+    gpl = "This program is free software: you can redistribute it and/or modify\n{0}it under the terms of the GNU General Public License as published by\n{0}the Free Software Foundation, either version 3 of the License, or\n{0}(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\n{0}modification, are permitted provided that the following conditions\n{0}are met:"
+    for sign in ("", "# ", " * ", "// "):
+        assert [f for _, _, f, _ in licences.scan(sign + gpl.format(sign))] == ["gpl-3.0"]
+        assert [f for _, _, f, _ in licences.scan(sign + bsd.format(sign))] == ["bsd"]
+        text = f"{sign}SPDX-License-Identifier: MIT\nint x;"
+        assert [(text[a:b], f) for a, b, f, _ in licences.scan(text)] == [("SPDX-License-Identifier: MIT", "mit")]
+    assert {f for _, _, f, _ in licences.scan("SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0)")} == {"gpl-2.0", "apache-2.0"}
+
+
 def test_repeated_and_dual_notices(licences):
     words = ["rain"] * 9500
     for at in (9000, 5000, 100):
