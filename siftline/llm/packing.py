@@ -37,8 +37,6 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 SHARD_TOKENS = 1_500_000
-#: A seed is looked up by so many of its words, those of the highest weight.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 CACHE_WORDS = 300_000
 
@@ -217,22 +215,25 @@ class Shard:
         doc, term = pairs >> 32, pairs & 0xFFFFFFFF
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
         self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.term, self.weight = term, weight
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.posted, self.posted_weight = doc[order], weight[order]
         self.terms, at = np.unique(term[order], return_index=True)
         self.at = np.append(at, len(order))
         self.unused = np.ones(n, bool)
+        self.indexed = n
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share one of the seed's foremost words, best first."""
-        mine = slice(self.first[seed], self.first[seed + 1])
-        terms, weight = self.term[mine], self.weight[mine]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-weight, kind="stable")[:QUERY_TERMS]]
-        places = np.searchsorted(self.terms, terms)
-        docs = np.concatenate([self.posted[self.at[p] : self.at[p + 1]] for p in places])
-        weights = np.concatenate([self.posted_weight[self.at[p] : self.at[p + 1]] for p in places])
+        """Unused documents that share one of the seed's words, best first, scored by all words of the seed."""
+        unused = int(self.unused.sum())
+        if 4 * unused < 3 * self.indexed:  # used documents leave the index
+            keep = self.unused[self.posted]
+            self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+            self.posted, self.posted_weight, self.indexed = self.posted[keep], self.posted_weight[keep], unused
+        places = np.searchsorted(self.terms, self.term[self.first[seed] : self.first[seed + 1]])
+        ranges = list(zip(self.at[places].tolist(), self.at[places + 1].tolist(), strict=True))
+        docs = np.concatenate([self.posted[a:b] for a, b in ranges])
+        weights = np.concatenate([self.posted_weight[a:b] for a, b in ranges])
         score = np.bincount(docs, weights, len(self.rests))
         score[~self.unused] = 0
         score[seed] = 0

@@ -400,6 +400,22 @@ def test_neighbours_share_words():
     assert shard.neighbours(0).tolist() == [2]
 
 
+def test_neighbours_are_scored_by_all_words_of_the_seed():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(100, 400, rng.integers(1, 200))) for _ in range(60)]
+    sets[0] = np.arange(100)  # all but the last of its words are the seed's own
+    sets[0][-1] = sets[1][0]
+    idf = rng.random(400) + 0.1
+    idf[:99] = 9.0
+    shard = packing.Shard([(k, 0, len(x), x.astype("<u4").tobytes()) for k, x in enumerate(sets)], idf, 50.0)
+    for gone in (0, 40):
+        shard.unused[5 : 5 + gone] = False
+        for seed in (0, 1, 2, 3):
+            score = {k: sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x) / 50)) for t in np.intersect1d(x, sets[seed])) for k, x in enumerate(sets)}
+            wanted = sorted((k for k in score if k != seed and shard.unused[k] and score[k]), key=lambda k: -score[k])
+            assert wanted and shard.neighbours(seed).tolist() == wanted
+
+
 # language model
 
 
