@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +19,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _own_dirs: set[str] = set()
+_owner: str | None = None
+_dropped_by: list[Callable[[], object]] = []
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where that is unset (tests, notebooks on one machine) a local folder is set.
+    Where that is unset, a local folder is set if the master is local (tests, notebooks on one machine).
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -67,6 +73,25 @@ def stored(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped_by(drop: Callable[[], object]) -> None:
+    """Have ``drop`` called when this process begins to work for another operator."""
+    _dropped_by.append(drop)
+
+
+def begin(owner: str) -> None:
+    """Say at a task's start which operator this Python worker works for now.
+
+    Spark lends a worker to task after task. What one operator keeps between its tasks (words' ids,
+    tokenizers) would otherwise stay beside what the next ones need.
+    """
+    global _owner
+    if owner != _owner:
+        for drop in _dropped_by:
+            drop()
+        pa.default_memory_pool().release_unused()
+        _owner = owner
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -80,11 +105,16 @@ TYPES = {"long": pa.int64(), "integer": pa.int32(), "double": pa.float64(), "boo
 
 
 def in_batches(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType
+    df: DataFrame,
+    rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
+    schema: str | StructType,
+    owner: str = "",
 ) -> DataFrame:
     """Apply ``rows`` to each Arrow batch of ``df``; nothing is kept from one batch to the next."""
+    owner = owner or rows.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         for batch in batches:
             for part in pieces_of(batch):
                 out = rows(part)
@@ -114,7 +144,7 @@ def per_text(
         arrays = [pa.array(x, TYPES[kind]) for x, (_, kind) in zip(made, columns, strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *arrays], names=schema.names)
 
-    return in_batches(given, work, schema)
+    return in_batches(given, work, schema, rows.__module__)
 
 
 def pieces_of(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces_of, stored
+from .common import as_bytes, begin, dropped_by, pieces_of, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -68,6 +68,13 @@ def tokenizer(path: str | None):
     return _tokenizers[key]
 
 
+@dropped_by
+def drop_words() -> None:
+    """Forget tokenizers and words."""
+    for kept in (_recent, _before, _tokenizers, _ending):
+        kept.clear()
+
+
 #: Lower-case letters that the tokenizer's normalizer leaves alone: such a word is one run of letters to it.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
@@ -172,6 +179,7 @@ def cut(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) ->
         [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "crc", "doc_tokens", "sketch")]
         + [pa.field("ids", pa.binary()), pa.field("term", pa.int32()), pa.field("df", pa.int64())]
     )
+    begin(__name__)
     df = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for part in pieces_of(batch):
@@ -208,14 +216,14 @@ class Shard:
         n = len(rests)
         self.begin = np.zeros(n, np.int64)
         self.end = np.array([len(r[3]) // 4 for r in rests], np.int64)
-        lengths = self.end.astype(float)
-        all_ids = np.concatenate([np.frombuffer(r[3], "<u4") for r in rests]).astype(np.int64)
-        doc = np.repeat(np.arange(n), self.end)
-        pairs, tf = np.unique(doc << 32 | all_ids, return_counts=True)
-        doc, term = pairs >> 32, pairs & 0xFFFFFFFF
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
-        self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.term = term
+        # text by text, so that no array of all tokens with their documents is sorted
+        found = [np.unique(np.frombuffer(r[3], "<u4"), return_counts=True) for r in rests]
+        self.first = np.cumsum([0, *(len(x) for x, _ in found)])
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        self.term = term = np.concatenate([x for x, _ in found])
+        tf = np.concatenate([x for _, x in found])
+        del found
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.end[doc] / mean_length))
         order = np.argsort(term, kind="stable")
         self.posted, self.posted_weight = doc[order], weight[order]
         self.terms, at = np.unique(term[order], return_index=True)
@@ -293,6 +301,7 @@ class Shard:
 
 def packed(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean_length: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Full windows and rests of one partition -> pieces with their sequence and offset."""
+    begin(__name__)
     sequence = TaskContext.get().partitionId() << 36
     kinds = [pa.int64()] * 7 + ([pa.binary()] if with_ids else [])
     names = PIECE_COLUMNS + (["ids"] if with_ids else [])
