@@ -7,13 +7,14 @@ set free (their state is summed over, not held). The marginals of the forward-ba
 by line length, average to a document's share of good text, which a logistic curve fitted on the
 training documents turns into the score.
 
-The training sample is bounded: ``MAX_TRAIN_DOCS`` labelled documents, chosen by a hash of the id, and
-``MAX_TRAIN_LINES`` lines of each; the driver holds only their features. All documents are scored,
-over all their lines.
+The training sample is bounded: ``MAX_TRAIN_DOCS`` labelled documents, chosen by a hash of the id. The
+chain learns from ``MAX_TRAIN_RUNS`` runs of ``RUN_LINES`` lines of them, chosen by a hash over all places
+of the whole texts; only their features reach the driver. The curve is fitted on good shares of the whole
+texts, which tasks work out. All documents are scored, over all their lines.
 
 Defined results: a null or blank text has no lines and takes the score of a document of which half is
 good; without labels, or with labels of one kind only, every score is the labels' mean (0.5 without
-any). Several labels of a document count by their mean; labels without quality don't count. Rows are
+any). Several labels of a document count by their mean, several texts of one by that of the least hash; labels without quality don't count. Rows are
 scored one by one, so repeated rows give repeated results, and a null doc_id is passed on (it counts
 as held out if the crc32 of the empty text says so).
 """
@@ -21,19 +22,21 @@ as held out if the crc32 of the empty text says so).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, per_text, remainder_column
+from .common import as_bytes, in_batches, per_text, remainder_column, stored
 from .quality_rules import LOWER, UPPER, count
 
 MAX_TRAIN_DOCS = 3000
-MAX_TRAIN_LINES = 200
+RUN_LINES = 64
+MAX_TRAIN_RUNS = 5000
 HELD_OUT_MODULUS, HELD_OUT = 3, 1
 STEPS = 80
 OWN_FEATURES = 10
@@ -42,9 +45,13 @@ SYMBOLS = b"#*$%&<>@~^_=+\\/{}"
 DIGITS = b"0123456789"
 
 
+#: So many lines' features at a time are held as Python numbers.
+BLOCK_LINES = 2048
+
+
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(features of each line that has a word, its neighbours' included; the lines' lengths in bytes)."""
-    own, sizes = [], []
+    blocks, own, sizes = [], [], []
     for line in text.split(b"\n"):
         words = line.split()
         n = len(words)
@@ -67,9 +74,14 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             )
         )
         sizes.append(size)
-    if not own:
+        if len(own) == BLOCK_LINES:
+            blocks.append(np.asarray(own, np.float32))
+            own.clear()
+    if own:
+        blocks.append(np.asarray(own, np.float32))
+    if not blocks:
         return np.zeros((0, WIDTH), np.float32), np.zeros(0)
-    x = np.asarray(own, np.float32)
+    x = np.concatenate(blocks)
     out = np.zeros((len(x), WIDTH), np.float32)
     out[:, :OWN_FEATURES] = x
     out[1:, OWN_FEATURES : 2 * OWN_FEATURES] = x[:-1]
@@ -152,13 +164,10 @@ def expected(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray) -> tup
     return state, pairs
 
 
-def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS) -> LineModel:
-    """Fit the chain, then the curve. documents: what line_features gives; labels: 0 or 1 each."""
-    mean = float(labels.mean()) if len(labels) else 0.5
-    if not len(labels) or mean in (0.0, 1.0):
-        return LineModel(np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0), mean)
-    order = sorted((k for k in range(len(labels)) if len(documents[k][0])), key=lambda k: -len(documents[k][0]))
-    xs, y = [documents[k][0] for k in order], labels[order].astype(int)
+def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> LineModel:
+    """Fit the chain. documents: the features of runs of lines; labels: 0 or 1 each, of both kinds."""
+    order = sorted((k for k in range(len(labels)) if len(documents[k])), key=lambda k: -len(documents[k]))
+    xs, y = [documents[k] for k in order], labels[order].astype(int)
     lengths = np.array([len(x) for x in xs])
     t_of, c_of = np.concatenate([np.arange(n) for n in lengths]), np.repeat(np.arange(len(xs)), lengths)
     x = np.concatenate(xs).astype(np.float64)
@@ -181,9 +190,14 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, st
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         model = LineModel(theta[:WIDTH].copy(), theta[WIDTH:].reshape(2, 2).copy(), (1.0, 0.0))
-    share = np.array([model.good_share(*d) for d in documents])
+    return model
+
+
+def curve(share: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """A logistic curve over the good shares of documents; both kinds of documents weigh the same."""
+    mean = float(labels.mean())
     a, b = 4.0, -2.0
-    for _ in range(400):  # a logistic curve over one number; classes weigh the same
+    for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(a * share + b, -30, 30)))
         weight = np.where(labels == 1, 0.5 / mean, 0.5 / (1 - mean))
         d = weight * (labels - p)
@@ -193,12 +207,11 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, st
         a, b = a + step[0], b + step[1]
         if abs(step).max() < 1e-6:
             break
-    model.curve = (float(a), float(b))
-    return model
+    return float(a), float(b)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and labels of the bounded training sample; only features reach the driver."""
+def training_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, good, text) of the bounded sample of labelled documents, one row an id: of several texts that of the least hash."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .filter(remainder_column(F.col("doc_id"), HELD_OUT_MODULUS) != HELD_OUT)
@@ -207,28 +220,52 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.n
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_TRAIN_DOCS)
     )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    chosen = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), "doc_id")
+    one = chosen.groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", "good", F.col("least.text").alias("text"))
+
+
+def training_runs(chosen: DataFrame) -> list[tuple[np.ndarray, int]]:
+    """(features, label) of ``MAX_TRAIN_RUNS`` runs of ``RUN_LINES`` lines at most, chosen by a hash."""
+    schema = "doc_id string, good int, place int, x binary"
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for doc_id, good, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+            x, _ = line_features(text)
+            out += [(doc_id, good, at, x[at : at + RUN_LINES].tobytes()) for at in range(0, len(x), RUN_LINES)]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "good", "place", "x"])
+
+    runs = in_batches(chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "good", "text"), rows, schema)
+    found = runs.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(MAX_TRAIN_RUNS).collect()
+    return [(np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH), r["good"]) for r in found]
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> LineModel:
+    """The model of the labelled documents. The chain learns from runs of lines, the curve from whole texts."""
+    chosen = stored(training_documents(docs, labels), "training-documents")
+    kinds = {r["good"]: r["n"] for r in chosen.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    nothing = LineModel(np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0))
+    if len(kinds) < 2:
+        return replace(nothing, constant=float(next(iter(kinds), 0.5)))
+    runs = training_runs(chosen)
+    y = np.array([good for _, good in runs], float)
+    model = train([x for x, _ in runs], y) if 0 < y.sum() < len(y) else nothing
 
     def rows(texts):
         for text in as_bytes(texts):
-            x, sizes = line_features(text)
-            yield (x[:MAX_TRAIN_LINES].tobytes().hex(), ",".join(f"{s:.0f}" for s in sizes[:MAX_TRAIN_LINES]))
-
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    found = per_text(chosen, [("x", "string"), ("sizes", "string")], rows, ("doc_id", "good")).collect()
-    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: r["doc_id"])
-    features = [
-        (
-            np.frombuffer(bytes.fromhex(r["x"]), np.float32).reshape(-1, WIDTH),
-            np.array([float(s) for s in r["sizes"].split(",") if s]),
-        )
-        for r in found
-    ]
-    return features, np.array([r["good"] for r in found], float)
+            yield (model.good_share(*line_features(text)),)
+
+    shares = sorted((r["doc_id"], r["share"], r["good"]) for r in per_text(chosen, [("share", "double")], rows, ("doc_id", "good")).collect())
+    return replace(model, curve=curve(np.array([x for _, x, _ in shares]), np.array([x for *_, x in shares], float)))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, carry: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of each document, whether it is held out, its score and the predicted label."""
-    model = train(*training_sample(docs, labels))
+    model = fitted(docs, labels)
 
     def rows(texts):
         for text in as_bytes(texts):
