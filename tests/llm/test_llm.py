@@ -246,6 +246,24 @@ def test_quality_classifier_on_held_out_documents(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 1000}) == 1
 
 
+def test_quality_classifier_with_repeated_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "RUN_LINES", 4)
+    rows = good_and_bad()
+    twice = [(i, "ANOTHER!! TEXT!! " * 9) for i, _, y in rows if y and i % 5 == 0]
+    texts = [(i, t) for i, t, _ in rows] + twice + [(4, "\n".join([rows[4][1]] * 1800))]
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+
+    def scores(given):
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+        return sorted((r["doc_id"], r["score"]) for r in rows_of(quality_classifier.quality_classifier(docs, labels)))
+
+    assert scores(texts) == scores(texts[::-1])
+    features, sizes = quality_classifier.line_features(texts[-1][1].encode())
+    own, _ = quality_classifier.line_features(rows[4][1].encode())
+    assert len(features) == len(sizes) == 1800 * len(own) > quality_classifier.BLOCK_LINES
+    assert np.array_equal(features[:1, :10], own[:1, :10]) and np.array_equal(features[-1:, :20], own[-1:, :20])
+
+
 @pytest.mark.parametrize(("labels", "score"), [([], 0.5), ([(10, 1, 0), (11, 1, 0)], 1.0), ([(10, 0, 0)], 0.0)])
 def test_quality_classifier_without_two_kinds_of_labels(spark, docs, labels, score):
     kept = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 3 != 1] or labels
@@ -566,35 +584,56 @@ def lattice():
 
 
 def all_segmentations(lattice, text):
+    """(score, number of ids, ids) of every segmentation, best first; of equal scores fewer ids first."""
     text = sentencepiece_nbest.MARK + text.replace(" ", sentencepiece_nbest.MARK) if text else ""
     found = []
 
-    def go(at, score, count):
+    def go(at, value, ids):
         if at == len(text):
-            found.append((score, count))
+            units = (value + len(ids)) // sentencepiece_nbest.FINE
+            found.append((-units, len(ids), ids))
             return
         single = False
         for end in range(at + 1, min(len(text), at + lattice.longest) + 1):
             p = lattice.pieces.get(text[at:end])
             if p:
-                go(end, score + p[1], count + 1)
+                go(end, value + p[1], (*ids, p[0]))
                 single |= end == at + 1
         if not single:
-            n = len(text[at].encode())
-            go(at + 1, score + lattice.unknown * n, count + n)
+            own = [lattice.bytes[x] for x in text[at].encode()]
+            go(at + 1, value + lattice.unknown * len(own), (*ids, *own))
 
-    go(0, 0.0, 0)
-    return sorted((-s, c) for s, c in found)
+    go(0, 0, ())
+    return [(-u * sentencepiece_nbest.UNIT, n, ids) for u, n, ids in sorted(found)]
 
 
 def test_nbest_against_all_segmentations(lattice):
     rng = random.Random(2)
-    texts = ["hello a", "", "x\nth re", "☃ of", " a", "  ", "été à"] + ["".join(rng.choice("thean on") for _ in range(10)) for _ in range(25)]
-    for text in texts:
-        found = lattice.encode(text)
-        assert [-s for s, _ in found] == [s for s, _ in all_segmentations(lattice, text)[:4]]
-        assert len({ids for _, ids in found}) == len(found)
-        assert all(lattice.decode(ids) == text for _, ids in found)
+    texts = ["hello a", "", "x\nth re", "☃ of", " a", "  ", "été à", "一 你好😀", "aaaaaaaaaa"]
+    texts += ["".join(rng.choice("thean on") for _ in range(10)) for _ in range(25)]
+    texts += ["".join(rng.choice(["a", " ", "\n", "ing", "Ä", "你", "😀", "ss"]) for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    for text, (found, _) in zip(texts, lattice.encoded(texts), strict=True):
+        every = all_segmentations(lattice, text)
+        ids = [tuple(np.frombuffer(b"".join(runs), "<u4").tolist()) for *_, runs in found]
+        assert [(s, n) for s, n, _ in found] == [(s, n) for s, n, _ in every[:4]]
+        known = {x: (s, n) for s, n, x in every}
+        assert [known[x] for x in ids] == [(s, n) for s, n, _ in found] and len(set(ids)) == len(ids)
+        assert all(lattice.decode(list(x)) == text for x in ids)
+        assert lattice.encode(text) == [(s, b"".join(runs)) for s, _, runs in found]
+
+
+def test_merges_are_the_models_own(lattice):
+    texts = [t or "" for _, t, *_ in made_docs()] + ["x\n\ny  z", " \n", "\t\u00a0你好 😀a", "a▁b", "foo\nbar baz\n  qux"]
+    for text, (_, merged) in zip(texts, lattice.encoded(texts), strict=True):
+        assert np.frombuffer(merged, "<u4").tolist() == lattice.model.encode(text)
+
+
+def test_long_words_take_linear_steps(lattice):
+    rng = random.Random(5)
+    for word, n in (("a" * 20_000, 4), ("".join(rng.choice("abcXYZ019+/") for _ in range(20_000)), 4), ("你好" * 10_000, 1)):
+        found, _ = next(lattice.encoded([word]))
+        assert len(found) == n and all(a[0] >= b[0] for a, b in zip(found, found[1:], strict=False))
+        assert all(lattice.decode(b"".join(runs)) == word for *_, runs in found)
 
 
 def test_nbest_round_trip(spark, docs):
