@@ -164,9 +164,7 @@ class Lattice:
         """(what the second best segmentation costs, the best one's value, its ids) of each word, in values."""
         e = self.edges(words)
         nodes = int(e.last[-1]) + 1
-        spans = np.zeros(nodes + 1, np.int64)
-        np.add.at(spans, e.start + 1, 1)
-        np.add.at(spans, e.end, -1)
+        spans = np.bincount(e.start + 1, minlength=nodes + 1) - np.bincount(e.end, minlength=nodes + 1)
         apart = np.cumsum(spans)[:nodes] == 0  # no piece spans these nodes: a run of pieces begins there, or a word does
         begin = np.maximum.accumulate(np.where(apart, np.arange(nodes), 0))
         run = begin[e.start]
@@ -217,8 +215,7 @@ class Lattice:
         for k in np.flatnonzero(piece[own] < 0).tolist():
             raw = self.raw(int(e.points[start[own[k]] - word[own[k]]]))
             ids[at[k] : at[k] + len(raw)] = raw
-        counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, word[own], sizes)
+        counts = np.bincount(word[own], sizes, minlength=len(words)).astype(np.int64)
         cuts = [0, *(4 * np.cumsum(counts)).tolist()]
         coded = ids.astype("<u4").tobytes()
         return [(g, v, coded[a:b]) for g, v, a, b in zip(gap.tolist(), whole.tolist(), cuts, cuts[1:], strict=False)]
@@ -227,11 +224,20 @@ class Lattice:
         """The byte pieces of a character."""
         return [self.bytes[x] for x in chr(point).encode("utf-8", "surrogatepass")]
 
-    def segmentations(self, word: str) -> list[tuple[int, bytes]]:
-        """The N best (value, ids as little-endian 32-bit integers) of a word, best first."""
-        e = self.edges([word])
+    def searched_words(self, words: list[str]) -> list[list[tuple[int, bytes]]]:
+        """The N best segmentations of each of some words."""
+        e = self.edges(words)
+        word = np.searchsorted(e.first, e.start, side="right") - 1
+        order = np.argsort(word, kind="stable")
+        own = e.first[word[order]]
+        edges = list(zip(*((x[order] - o).tolist() for x, o in ((e.start, own), (e.end, own), (e.value, 0), (e.piece, 0))), strict=True))
+        cuts = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
+        return [self.segmentations(w, edges[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False)]
+
+    def segmentations(self, word: str, edges: list[tuple[int, int, int, int]]) -> list[tuple[int, bytes]]:
+        """The N best (value, ids as little-endian 32-bit integers) of a word with these edges, best first."""
         ends: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
-        for start, end, value, piece in zip(e.start.tolist(), e.end.tolist(), e.value.tolist(), e.piece.tolist(), strict=True):
+        for start, end, value, piece in edges:
             ends[end].append((start, value, (piece,) if piece >= 0 else tuple(self.raw(ord(word[start])))))
         best = [0] * len(ends)
         for end in range(1, len(ends)):
@@ -282,43 +288,45 @@ class Lattice:
         cache.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
         return [cache.get(w) or fresh[w] for w in words]
 
-    def choices(self, word: str) -> list[tuple[int, bytes]]:
-        found = self.searched.get(word)
-        if found is None:
-            found = self.segmentations(word)
-            if len(word) <= LONG_WORD:
-                self.searched[word] = found
-        return found
+    def choices(self, words: set[str]) -> dict[str, list[tuple[int, bytes]]]:
+        """The N best segmentations of each word; those of short ones are kept."""
+        new = sorted(words.difference(self.searched))
+        found = dict(zip(new, self.searched_words(new), strict=True)) if new else {}
+        self.searched.update((w, x) for w, x in found.items() if len(w) <= LONG_WORD)
+        return {w: found.get(w) or self.searched[w] for w in words}
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[list[tuple[float, int, list[bytes]]], bytes]]:
         """For each text the N best (score, number of ids, ids in parts), and the ids that merges make."""
         parts = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         coded = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = self.looked_up(words)
+        found = self.looked_up(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
         gap = np.fromiter((x[0] for x in found), np.int64, len(found))[codes]
         value = np.fromiter((x[1] for x in found), np.int64, len(found))[codes]
         sums = np.concatenate([[0], np.cumsum(value)])
-        at = 0
-        for own in parts:
-            to = at + len(own)
-            here = codes[at:to].tolist()
-            yield self.ranked(own, [found[k] for k in here], gap[at:to], int(sums[to] - sums[at])), b"".join([found[k][3] for k in here])
-            at = to
-
-    def ranked(self, own: list[str], found: list[tuple[int, int, bytes, bytes]], gap: np.ndarray, whole: int) -> list[tuple[float, int, list[bytes]]]:
-        """The N best of a text of the words ``own``."""
-        loose = np.argpartition(gap, self.n - 2)[: self.n - 1] if 1 < self.n <= len(gap) else np.arange(len(gap) if self.n > 1 else 0)
-        loose = sorted(k for k in loose.tolist() if gap[k] < -FAR)
-        open_words = [self.choices(own[k]) for k in loose]
-        lost = ((sum(w[0][0] - w[c][0] for w, c in zip(open_words, choice, strict=True)), choice) for choice in product(*map(range, map(len, open_words))))
-        ids = [x[2] for x in found]
-        between = [b"".join(ids[a:b]) for a, b in zip([0, *(k + 1 for k in loose)], [*loose, len(ids)], strict=True)]
+        stops = np.cumsum([0, *map(len, parts)]).tolist()
+        loose = [self.loosest(gap[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
+        choices = self.choices({own[k] for own, some in zip(parts, loose, strict=True) for k in some})
+        ids, merged = [x[2] for x in found], [x[3] for x in found]
+        for own, some, a, b in zip(parts, loose, stops, stops[1:], strict=False):
+            here = codes[a:b].tolist()
+            best = self.ranked([choices[own[k]] for k in some], some, [ids[k] for k in here], int(sums[b] - sums[a]))
+            yield best, b"".join([merged[k] for k in here])
+
+    def loosest(self, gap: np.ndarray) -> list[int]:
+        """The places of the N - 1 words whose second best segmentations cost least."""
+        most = self.n - 1
+        places = np.argpartition(gap, most - 1)[:most] if 0 < most < len(gap) else np.arange(min(most, len(gap)))
+        return sorted(k for k in places.tolist() if gap[k] < -FAR)
+
+    def ranked(self, words: list[list[tuple[int, bytes]]], places: list[int], ids: list[bytes], whole: int) -> list[tuple[float, int, list[bytes]]]:
+        """The N best of a text with these ids and value, by the segmentations of the words at ``places``."""
+        lost = ((sum(w[0][0] - w[c][0] for w, c in zip(words, choice, strict=True)), choice) for choice in product(*map(range, map(len, words))))
+        between = [b"".join(ids[a:b]) for a, b in zip([0, *(k + 1 for k in places)], [*places, len(ids)], strict=True)]
         out = []
         for less, choice in heapq.nsmallest(self.n, lost):
             runs = [between[0]]
-            for w, c, after in zip(open_words, choice, between[1:], strict=True):
+            for w, c, after in zip(words, choice, between[1:], strict=True):
                 runs += [w[c][1], after]
             size = sum(map(len, runs)) // 4
             out.append(((whole - less + size) // FINE * UNIT, size, runs))
