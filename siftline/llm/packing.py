@@ -39,6 +39,8 @@ TOKENIZER = "word_bpe_49k.json"
 SHARD_TOKENS = 1_500_000
 K1, B = 1.2, 0.75
 CACHE_WORDS = 300_000
+#: So much text is tokenized at a time.
+PART_BYTES = 4 << 20
 
 CUT_SCHEMA = (
     "doc_id long, start long, length long, crc long, doc_tokens long, sketch long, ids binary, term int, df long"
@@ -182,7 +184,7 @@ def cut(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) ->
     begin(__name__)
     df = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for part in pieces_of(batch):
+        for part in pieces_of(batch, PART_BYTES):
             out: list[tuple] = []
             ids_here = part.column(0).to_pylist()
             for doc_id, ids in zip(ids_here, ids_of(as_bytes(part.column(1)), path), strict=True):
