@@ -3,13 +3,14 @@
 Unit vectors are quantised to int8 codes; a vector's error is the length of what its code leaves out.
 For two vectors with codes p, q and errors d, e the cosine lies within d + e + d*e of the codes'
 product (Cauchy-Schwarz), so most pairs are decided by integer products of tiles alone: surely below
-the threshold, or surely linked. Only the pairs between are computed again, from the full vectors in
-double precision.
+the threshold, or surely linked. The pairs between are computed by second codes, of what the first leave
+out, with bounds about a hundred times as narrow; only what is open then is computed again, from the full
+vectors in double precision.
 
 Work is dealt in tiles: vectors of a label are cut into blocks of about ``BLOCK`` and every pair of
 blocks is one group, so a label that holds a third of all rows becomes many groups of bounded size.
 Equal vectors of a label are one class with a count before any tile. A tile returns link counts by
-class and a spanning forest of its sure links, not its pairs.
+class and a star of each component of its sure links, not its pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing (n_links 0, component_id their own id, kept). Vectors of
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import begin, stored
 from .components import components
 
 THRESHOLD = 0.93
@@ -34,23 +35,70 @@ SLACK = 1e-6
 
 
 def quantised(batches):
-    """Arrow batches (class_id, label, dim, n, embedding) -> the same without embedding, with code, scale and error."""
+    """Arrow batches (class_id, label, dim, n, embedding) -> the same with codes of the unit vector for the embedding.
+
+    code, scale: the vector in int8; fine, fine_scale: what that leaves out, in int8 again; error, fine_error: the lengths
+    of what is left out then.
+    """
+    begin(__name__)
+    names = ["class_id", "label", "dim", "n", "code", "scale", "error", "fine", "fine_scale", "fine_error"]
     for batch in batches:
         rows = batch.to_pydict()
-        codes, scales, errors = [], [], []
+        made = []
         for values in rows["embedding"]:
             x = np.asarray(values, np.float64)
             x = x / np.abs(x).max()  # no overflow of the squares
             x = x / np.sqrt(x @ x)
-            scale = np.abs(x).max() / 127
-            code = np.rint(x / scale).astype(np.int8)
-            codes.append(code.tobytes())
-            scales.append(scale)
-            errors.append(float(np.sqrt(((x - scale * code) ** 2).sum())) + SLACK)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in range(4)), pa.array(codes, pa.binary()), pa.array(scales), pa.array(errors)],
-            names=["class_id", "label", "dim", "n", "code", "scale", "error"],
-        )
+            row = []
+            for _ in range(2):
+                scale = float(np.abs(x).max()) / 127 or 1.0
+                code = np.rint(x / scale)
+                x = x - scale * code
+                row += [code.astype(np.int8).tobytes(), scale, float(np.sqrt(x @ x)) + SLACK]
+            made.append(row)
+        columns = list(zip(*made, strict=True)) or [()] * 6
+        kinds = [pa.binary(), pa.float64(), pa.float64()] * 2
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *arrays], names=names)
+
+
+#: So many pairs of a tile at a time are computed by fine codes.
+PAIRS = 65_536
+
+
+def refined(r: np.ndarray, c: np.ndarray, vectors: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(surely linked, perhaps linked) of pairs of places, by vectors of both codes and their errors."""
+    sure, maybe = np.zeros(len(r), bool), np.zeros(len(r), bool)
+    for at in range(0, len(r), PAIRS):
+        x, y = r[at : at + PAIRS], c[at : at + PAIRS]
+        about = np.einsum("ij,ij->i", vectors[x], vectors[y])
+        off = error[x] + error[y] + error[x] * error[y]
+        sure[at : at + PAIRS] = about - off >= THRESHOLD
+        maybe[at : at + PAIRS] = about + off >= THRESHOLD
+    return sure, maybe & ~sure
+
+
+def stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of a boolean tile: (first row, whether the other is a column, the other's place) as a star for each.
+
+    Whole rows and columns are read at once, each of them once, however many links there are.
+    """
+    new_row, new_column = linked.any(1), linked.any(0)
+    out: list[tuple[int, bool, int]] = []
+    for first in range(len(linked)):
+        if not new_row[first]:
+            continue
+        new_row[first] = False
+        rows = np.array([first])
+        while len(rows):
+            columns = np.flatnonzero(linked[rows].any(0) & new_column)
+            new_column[columns] = False
+            out += [(first, True, k) for k in columns.tolist()]
+            rows = np.flatnonzero(linked[:, columns].any(1) & new_row) if len(columns) else columns
+            new_row[rows] = False
+            out += [(first, False, k) for k in rows.tolist()]
+    found = np.array(out, np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1].astype(bool), found[:, 2]
 
 
 def tile(table: pa.Table) -> pa.Table:
@@ -62,20 +110,13 @@ def tile(table: pa.Table) -> pa.Table:
     block = table.column("block").to_numpy()
     ids, n = table.column("class_id").to_numpy(), table.column("n").to_numpy()
     d = table.column("dim")[0].as_py()
-    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(-1, d)
+    code, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int8).reshape(-1, d) for c in ("code", "fine"))
     kind = np.float32 if d * 127 * 127 < 1 << 24 else np.float64  # the products are whole numbers, exact in either
-    scale, error = table.column("scale").to_numpy(), table.column("error").to_numpy()
+    scale, error, fine_scale, fine_error = (table.column(c).to_numpy() for c in ("scale", "error", "fine_scale", "fine_error"))
+    vectors = scale[:, None] * code + fine_scale[:, None] * fine
     one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    linked = np.zeros(len(ids), np.int64)
-    root = np.arange(len(ids))
-    open_a, open_b, tree_a, tree_b = [], [], [], []
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    linked = np.zeros((len(one), len(two)), bool)
+    open_a, open_b = [], []
     codes_two = code[two].astype(kind).T
     for at in range(0, len(one), 256):
         rows = one[at : at + 256]
@@ -84,32 +125,35 @@ def tile(table: pa.Table) -> pa.Table:
         if i == j:
             about[np.arange(at, at + len(rows))[:, None] >= np.arange(len(two))[None, :]] = -9.0
         sure = about - off >= THRESHOLD
-        maybe = (about + off >= THRESHOLD) & ~sure
-        linked[rows] += sure @ n[two]
-        linked[two] += n[rows] @ sure
-        for r, c in zip(*np.nonzero(sure), strict=True):
-            x, y = find(rows[r]), find(two[c])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                tree_a.append(ids[rows[r]])
-                tree_b.append(ids[two[c]])
-        r, c = np.nonzero(maybe)
-        open_a.append(ids[rows[r]])
-        open_b.append(ids[two[c]])
-    counted = np.flatnonzero(linked)
-    a = np.concatenate([*open_a, np.array(tree_a, np.int64), ids[counted]]).astype(np.int64)
+        r, c = np.nonzero((about + off >= THRESHOLD) & ~sure)
+        also, still = refined(rows[r], two[c], vectors, fine_error)
+        sure[r[also], c[also]] = True
+        linked[at : at + len(rows)] = sure
+        open_a.append(ids[rows[r[still]]])
+        open_b.append(ids[two[c[still]]])
+    others = np.zeros(len(ids), np.int64)
+    others[one] += linked @ n[two]
+    others[two] += n[one] @ linked
+    if i == j:  # each vector is a row and a column
+        linked |= linked.T
+        np.fill_diagonal(linked, linked.any(1))
+    first, is_column, place = stars(linked)
+    root, leaf = ids[one[first]], np.where(is_column, ids[two[np.where(is_column, place, 0)]], ids[one[np.where(is_column, 0, place)]])
+    root, leaf = root[root != leaf], leaf[root != leaf]
+    counted = np.flatnonzero(others)
+    a = np.concatenate([*open_a, root, ids[counted]]).astype(np.int64)
+    b = np.concatenate([*open_b, leaf, ids[counted]]).astype(np.int64)
     pairs = sum(map(len, open_a))
-    b = np.concatenate([*open_b, np.array(tree_b, np.int64), ids[counted]]).astype(np.int64)
-    kinds = np.repeat([0, 1, 2], [pairs, len(tree_a), len(counted)]).astype(np.int32)
-    amount = np.concatenate([np.zeros(pairs + len(tree_a), np.int64), linked[counted]])
+    kinds = np.repeat([0, 1, 2], [pairs, len(root), len(counted)]).astype(np.int32)
+    amount = np.concatenate([np.zeros(pairs + len(root), np.int64), others[counted]])
     return pa.table({"a": a, "b": b, "kind": kinds, "n": amount})
 
 
 def cosine(x: str, y: str):
-    """Of two array columns, in double precision, in the JVM."""
+    """Of two array columns, scaled to a largest component of 1, in double precision, in the JVM."""
 
     def dot(u: str, v: str) -> str:
-        return f"aggregate(zip_with({u}, {v}, (p, q) -> double(p) * double(q)), 0d, (s, t) -> s + t)"
+        return f"aggregate(zip_with({u}, {v}, (p, q) -> p * q), 0d, (s, t) -> s + t)"
 
     return F.expr(f"{dot(x, y)} / sqrt({dot(x, x)}) / sqrt({dot(y, y)})")
 
@@ -134,7 +178,7 @@ def embedding_groups(vectors: DataFrame) -> DataFrame:
 
     label_type = classes.schema["label"].dataType.simpleString()
     codes = classes.select("class_id", "label", "dim", "n", "embedding").mapInArrow(
-        quantised, f"class_id long, label {label_type}, dim int, n long, code binary, scale double, error double"
+        quantised, f"class_id long, label {label_type}, dim int, n long, code binary, scale double, error double, fine binary, fine_scale double, fine_error double"
     )
     blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
@@ -147,7 +191,8 @@ def embedding_groups(vectors: DataFrame) -> DataFrame:
     found = dealt.groupBy("label", "dim", "i", "j").applyInArrow(tile, "a long, b long, kind int, n long")
     found = stored(found, "tiles")
 
-    full = classes.select("class_id", "n", "embedding")
+    peaks = classes.withColumn("peak", F.expr("array_max(transform(embedding, p -> abs(p)))"))
+    full = peaks.select("class_id", "n", F.expr("transform(embedding, p -> p / peak)").alias("embedding"))
     again = (
         found.filter("kind = 0")
         .join(full.selectExpr("class_id a", "n na", "embedding x"), "a")
