@@ -6,9 +6,10 @@ hashes: the exclusive-or of 2 x 64 bits of each turn's place, role and text, so
 is one column beside its last turn. An anti-join of whole conversations with the distinct prefix
 hashes of longer ones leaves the maximal ones.
 
-No conversation is gathered in one task: turns are numbered and hashed within blocks of ``BLOCK`` turn
-numbers, and blocks are put together by a window over one row a block. A conversation is rendered in parts
-of ``PART`` turns.
+No conversation is gathered in one task: turns are sorted by range, numbered and hashed within the part of a
+conversation that a range holds, and parts are put together by a window over one row a part. Repeated
+turns and turns without a number or an id are dealt out like any others. A conversation is rendered in
+parts of ``PART`` turns.
 
 Defined results: turns are ordered by number (null last), role and text; repeated rows are turns of their
 own. A null role or text is an empty one. Rows with a null conv_id are one conversation. A table without
@@ -23,31 +24,37 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK = 1024
 PART = 256
 
 
 #: What a conversation is known by: its id, and whether it has none. Null ids would meet in no join.
 CONV = ["conv", "unnamed"]
-LAST_BLOCK = 1 << 60
+#: How many bits of a row's number tell its place within a partition.
+PLACE_BITS = 33
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
     """(conv, unnamed, place, role, text, h1, h2): each turn with its place from 1 and the hash of all turns up to it."""
-    turn = F.col("turn").cast("long")
+    spark = conversations.sparkSession
     turns = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
         F.col("conv_id").isNull().alias("unnamed"),
-        turn.alias("turn"),
-        F.coalesce(F.floor(turn / BLOCK), F.lit(LAST_BLOCK)).alias("block"),
+        F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    inside = W.partitionBy(*CONV, "block").orderBy("turn", "role", "text")
+    # equal rows differ by their number alone, so that a range may end among them
+    order = [*CONV, F.asc_nulls_last("turn"), "role", "text", "row"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = turns.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    sorted_turns = stored(ranged.select(*CONV, "role", "text", F.monotonically_increasing_id().alias("at")), "sorted-turns")
+    turns = sorted_turns.select(
+        *CONV, "role", "text", F.shiftright("at", PLACE_BITS).alias("block"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at")
+    )
     before = W.partitionBy(*CONV).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sizes = turns.groupBy(*CONV, "block").agg(F.count("*").alias("size"))
-    offsets = sizes.select(*CONV, "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    placed = turns.withColumn("local", F.row_number().over(inside)).join(offsets, [*CONV, "block"])
+    sizes = turns.groupBy(*CONV, "block").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    offsets = sizes.select(*CONV, "block", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    placed = turns.join(offsets, [*CONV, "block"]).withColumn("local", F.col("at") - F.col("first") + 1)
     hashed = placed.select(*CONV, "block", (F.col("local") + F.col("offset")).alias("place"), "role", "text").select(
         "*",
         F.xxhash64(F.lit("a"), "place", "role", "text").alias("x1"),
