@@ -9,12 +9,14 @@ cover the whole of it.
 Defined results: a null text is an empty one and has no spans; spans are in code points, end
 exclusive; equal spans of several kinds all stay; repeated rows give repeated results; a null doc_id
 is passed on. Whole texts are read, values of any length included: the programme's time is linear in
-the value's length, for segments other than brute force are bounded by rule.
+the value's length. Words are fixed ones and then those of a public vocabulary by rank (its path is a
+parameter of ``ranks``), so that costs don't depend on the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -22,7 +24,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import as_text, per_text
+from .common import as_text, dropped_by, per_text
 
 MIN_LOG10_GUESSES = 10.0
 
@@ -47,67 +49,76 @@ CONTEXT = re.compile(
 VALUE = re.compile(r"[^\s\"'<>,;]+", re.ASCII)
 
 # Common words of passwords, most common first.
-WORDS = (
-    "password 123456 qwerty admin welcome login letmein monkey dragon master abc iloveyou football baseball sunshine "
-    "princess shadow superman trustno hello freedom whatever ninja access flower secret summer winter spring autumn "
-    "love pass test user guest root default changeme example sample token key api server data base system public "
-    "private the and you for that with this from have your house home work world money music happy orange apple "
-    "banana cookie coffee computer internet google windows linux android mobile phone mail email charlie michael "
-    "jordan daniel thomas george jessica ashley andrew robert matthew joshua hunter soccer hockey batman tigger "
-    "ginger pepper killer buster maggie cheese correct horse battery staple"
-).split()
-RANKS = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
-#: The rows of a keyboard and the alphabet; a walk goes along one of them, either way.
-ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-STEPS = {pair for row in ROWS for pair in zip(row, row[1:], strict=False)}
-STEPS |= {(b, a) for a, b in STEPS}
+WORDS = [
+    "password", "123456", "qwerty", "admin", "welcome", "login", "letmein", "monkey", "dragon", "master", "abc", "iloveyou",
+    "football", "baseball", "sunshine", "princess", "shadow", "superman", "trustno", "hello", "freedom", "whatever", "ninja",
+    "access", "flower", "secret", "summer", "winter", "spring", "autumn", "love", "pass", "test", "user", "guest", "root",
+    "default", "changeme", "example", "sample", "token", "key", "api", "server", "data", "base", "system", "public", "private",
+]
+#: A public vocabulary whose whole words, in the order of its ids, are taken as further words by frequency.
+VOCABULARY = "word_bpe_49k.json"
+WORD_END = "</w>"
+#: The rows of a keyboard, and how far each is shifted to the right, in quarters of a key.
+ROWS = (("`1234567890-=", 0), ("qwertyuiop[]", 6), ("asdfghjkl;'", 7), ("zxcvbnm,./", 9))
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
+DAY, MONTH, YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+#: Forms of dates, and how many there are of each.
+DATES = [
+    (re.compile(YEAR), 120),
+    (re.compile(f"{YEAR}[-/._]?{MONTH}"), 120 * 12),
+    (re.compile(f"{YEAR}[-/._]?{MONTH}[-/._]?{DAY}"), 120 * 365),
+    (re.compile(f"{DAY}{MONTH}{YEAR}"), 120 * 365),
+    (re.compile(rf"(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._]{YEAR}"), 120 * 365),
+    (re.compile(r"(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._]\d\d"), 100 * 365),
+]
 LONGEST_PERIOD = 8
 #: What each further segment costs: an attacker must guess where it begins.
 CUT = 1.0
+#: What the number of repeats, or the length of a walk, costs; how a walk begins, and each turn of it; and how a run
+#: of letters or digits in their order does.
+TIMES, LENGTH, BEGIN, TURN, ORDER = 1.0, 0.7, math.log10(47), math.log10(6), math.log10(36 * 2)
+
+
+def _steps() -> dict[tuple[str, str], tuple[int, int]]:
+    """Neighbouring keys -> the direction from the first to the second."""
+    at = {c: (shift + 4 * k, row) for row, (keys, shift) in enumerate(ROWS) for k, c in enumerate(keys)}
+    found = {}
+    for a, (x, y) in at.items():
+        for b, (u, v) in at.items():
+            if (y == v and abs(u - x) == 4) or (abs(v - y) == 1 and abs(u - x) < 4):
+                found[a, b] = ((u > x) - (u < x), v - y)
+    return found
 
 
-def span_costs(value: str) -> list[list[tuple[int, float]]]:
-    """For each start the (end, cost) of words, dates, repeats and keyboard walks that begin there."""
-    low = value.lower()
-    plain = low.translate(LEET)
-    n = len(value)
-    walk_end = list(range(1, n + 1))
-    walk_way: list[tuple[str, str] | None] = [None] * n
-    for i in range(n - 2, -1, -1):
-        pair = (low[i], low[i + 1])
-        if pair in STEPS:
-            forward = ord(low[i + 1]) - ord(low[i])
-            follows = i + 2 < n and (low[i + 1], low[i + 2]) in STEPS and low[i + 2] != low[i]
-            walk_end[i] = walk_end[i + 1] if follows else i + 2
-            walk_way[i] = ("seq" if abs(forward) == 1 else "row", low[i])
-    #: same[p]: how far value[i:] agrees with value[i+p:]
-    same = {p: [0] * (n + 1) for p in range(1, min(LONGEST_PERIOD, n // 2) + 1)}
-    for p, run in same.items():
-        for i in range(n - p - 1, -1, -1):
-            run[i] = run[i + 1] + 1 if value[i] == value[i + p] else 0
-    found: list[list[tuple[int, float]]] = []
-    for i in range(n):
-        here: list[tuple[int, float]] = []
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank, changed = RANKS.get(low[i:j]), 0
-            if rank is None:
-                rank, changed = RANKS.get(plain[i:j]), 1
-            if rank is not None:
-                case = 0 if value[i:j] == low[i:j] else 1
-                here.append((j, math.log10(rank + 1) + 0.3 * (case + 2 * changed)))
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            here.append((m.end(), math.log10(120.0 * (365 if m.end() - i > 4 else 1))))
-        if walk_end[i] - i >= 3:
-            here.append((walk_end[i], math.log10(50.0 * (walk_end[i] - i))))
-        for p, run in same.items():
-            if run[i] >= p:
-                times = run[i] // p + 1
-                here.append((i + p * times, p * math.log10(alphabet(value[i : i + p])) + math.log10(times)))
-        found.append(here)
-    return found
+STEPS = _steps()
+
+
+@lru_cache(maxsize=2)
+def ranks(path: str | None = None) -> tuple[dict[str, int], int]:
+    """(place of each word by frequency, from 1; the longest word's length)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        ids = json.load(file)["model"]["vocab"]
+    more = (w.removesuffix(WORD_END) for w in sorted(ids, key=ids.get) if w.endswith(WORD_END))
+    words = dict.fromkeys([*WORDS, *(w for w in more if len(w) >= 3 and w.isalpha())])
+    return {w: k + 1 for k, w in enumerate(words)}, max(map(len, words))
+
+
+dropped_by(ranks.cache_clear)
+
+
+def word_spans(value: str, low: str, plain: str, i: int) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the words that begin at ``i``, in any case, also with digits and signs for letters."""
+    place, longest = ranks()
+    for j in range(i + 3, min(len(value), i + longest) + 1):
+        rank, changed = place.get(low[i:j]), 0
+        if rank is None:
+            rank, changed = place.get(plain[i:j]), 1
+        if rank is not None:
+            yield j, math.log10(rank + 1) + 0.3 * ((value[i:j] != low[i:j]) + 2 * changed)
 
 
 def alphabet(text: str) -> int:
@@ -117,23 +128,66 @@ def alphabet(text: str) -> int:
     return max(10, size + 100 * (not text.isascii()))
 
 
+def in_order(a: str, b: str) -> int:
+    """1 or -1 if two letters or digits follow each other in their order or against it, else 0."""
+    return ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 and a.isalnum() and b.isalnum() else 0
+
+
 @lru_cache(maxsize=4096)
 def log10_guesses(value: str) -> float:
-    """The cost of the cheapest segmentation of ``value``, as log10 of the guesses it takes."""
+    """The cost of the cheapest segmentation of ``value``, as log10 of the guesses it takes.
+
+    Segments are words, dates, repeats of up to LONGEST_PERIOD characters (two times at least, the last one perhaps
+    cut), keyboard walks and orders of three characters at least, and brute force. Every end of each is
+    admitted: repeats, walks and orders go on from character to character as states of the programme.
+    """
     n = len(value)
     if not n:
         return 0.0
     each = math.log10(alphabet(value))
-    spans = span_costs(value)
-    # best[i][0]: the cheapest way to have guessed value[:i]; best[i][1]: the same, amid a brute-force span
-    cheap, amid = [math.inf] * (n + 1), [math.inf] * (n + 1)
-    cheap[0] = 0.0
+    low = value.lower()
+    low = low if len(low) == n else value
+    plain = low.translate(LEET)
+    never = math.inf
+    # cheap[i]: the cheapest way to have guessed value[:i]; begun[i]: the same, and to begin another segment there
+    cheap, begun = [never] * (n + 1), [never] * (n + 1)
+    cheap[0] = begun[0] = 0.0
+    amid = never  # in a brute-force span
+    periods = range(1, min(LONGEST_PERIOD, n // 2) + 1)
+    equal, repeated = [0] * (LONGEST_PERIOD + 1), [never] * (LONGEST_PERIOD + 1)
+    way: tuple[int, int] | None = None
+    turn = 0
+    walk_two = walk = order_two = order = never
     for i in range(n):
-        cut = CUT if i else 0.0
-        amid[i + 1] = min(amid[i + 1], cheap[i] + cut + each, amid[i] + each)
-        cheap[i + 1] = min(cheap[i + 1], amid[i + 1])
-        for end, cost in spans[i]:
-            cheap[end] = min(cheap[end], cheap[i] + cut + cost)
+        j = i + 1
+        # what has begun before i is settled; spans from i are put forward
+        begun[i] = cheap[i] + (CUT if i else 0.0)
+        for end, cost in word_spans(value, low, plain, i):
+            cheap[end] = min(cheap[end], begun[i] + cost)
+        if value[i].isdigit():
+            for form, count in DATES:
+                if m := form.match(value, i):
+                    cheap[m.end()] = min(cheap[m.end()], begun[i] + math.log10(count))
+        amid = min(amid, begun[i]) + each
+        ways = [amid]
+        for p in periods:
+            same = i >= p and value[i] == value[i - p]
+            equal[p] = equal[p] + 1 if same else 0
+            repeated[p] = repeated[p] if same else never
+            if equal[p] >= p:
+                repeated[p] = min(repeated[p], begun[j - 2 * p] + p * each + TIMES)
+                ways.append(repeated[p])
+        if i:
+            new_way = STEPS.get((low[i - 1], low[i]))
+            walk = min(walk, walk_two) + (TURN if new_way != way else 0.0) if new_way else never
+            walk_two = begun[i - 1] + BEGIN + LENGTH if new_way else never
+            way = new_way
+            new_turn = in_order(low[i - 1], low[i])
+            order = min(order, order_two) if new_turn and new_turn == turn else never
+            order_two = begun[i - 1] + ORDER + LENGTH if new_turn else never
+            turn = new_turn
+            ways += [walk, order]
+        cheap[j] = min(cheap[j], *ways)
     return cheap[n]
 
 
