@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat_format import ORACLE as CHAT_FORMAT
 from .embedding_dedup import THRESHOLD
-from .quality_rules import BOILERPLATE, MARKS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS
+from .quality_rules import MARKS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MENU, MIN_WORDS, PHRASES
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,6 +19,9 @@ def only(kept: str, column: str = "line") -> str:
     return f"length(regexp_replace({column}, '[^{kept}]', '', 'g'))"
 
 
+IN_MENU = ", ".join(f"'{x.decode()}'" for x in MENU)
+PHRASE = " OR ".join(f"(n <= {3 * size} AND regexp_matches(lower(line), '{x.pattern.decode()}'))" for size, x in PHRASES.items())
+
 QUALITY_RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
   w AS (SELECT k, doc_id, t, regexp_extract_all(t, '{WORD}') AS ws, string_split(t, chr(10)) AS lines FROM d),
@@ -26,7 +29,7 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FRO
   twice AS (SELECT k, i FROM g QUALIFY count(*) OVER (PARTITION BY k, three) > 1),
   inside AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY k),
   l AS (SELECT k, line, regexp_extract_all(line, '{WORD}') AS ws FROM (SELECT k, unnest(lines) AS line FROM w)),
-  c AS (SELECT k, line, len(ws) AS n, len(list_distinct(ws)) AS kinds, {only("#*$%&|<>")} AS symbols, {only("|")} AS pipes,
+  c AS (SELECT k, line, len(ws) AS n, len(list_distinct(ws)) AS kinds, ws, len(list_filter(ws, lambda x: lower(x) IN ({IN_MENU}))) AS menu, {only("#*$%&|<>")} AS symbols, {only("|")} AS pipes,
     {only("!")} AS cries, {only("A-Z")} AS upper, {only("a-z")} AS lower FROM l),
   f AS (SELECT k, length(line) AS size, n > 0 AND (
       (n >= 3 AND 4 * pipes >= n)
@@ -34,7 +37,8 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FRO
       OR (n >= 3 AND 2 * cries > n)
       OR (n >= 3 AND upper >= 12 AND upper > 2 * lower)
       OR (n >= 10 AND 3 * kinds < n)
-      OR (n <= 20 AND {held(BOILERPLATE, "lower(line)")})
+      OR (n >= 3 AND 3 * menu >= 2 * n AND right(ws[-1], 1) NOT IN ('.', '!', '?'))
+      OR {PHRASE}
       OR (n >= 30 AND NOT {held(MARKS, "line")})) AS failed FROM c),
   s AS (SELECT k, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed_lines,
     CAST(coalesce(sum(size) FILTER (failed), 0) AS BIGINT) AS lost_chars, CAST(sum(size) AS BIGINT) AS total FROM f GROUP BY k),

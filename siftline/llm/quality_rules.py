@@ -12,6 +12,7 @@ repeated rows give repeated results; a null doc_id is passed on. Columns other t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,10 +28,10 @@ MAX_LOST_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
-#: A long line of prose holds one of these at least.
-MARKS = (b".", b"!", b"?", b":", b";", b",", "…".encode(), "。".encode())
-#: Lines that hold one of these phrases and few other words are page furniture.
-BOILERPLATE = (
+#: A long line of prose holds one of these marks at least, whatever its script.
+MARKS = tuple(x.encode() for x in ".!?:;,…。！？，；：、।॥۔؟،؛։።፡။།។·")
+#: Lines are page furniture if such a phrase makes up a third of their words.
+BOILERPLATE = [
     b"all rights reserved",
     b"terms of use",
     b"terms of service",
@@ -44,7 +45,45 @@ BOILERPLATE = (
     b"subscribe to our",
     b"share this",
     b"read more",
-)
+    b"skip to content",
+    b"back to top",
+    b"log in",
+    b"sign up",
+    b"add to cart",
+    b"follow us",
+    b"page not found",
+]
+#: Phrases by their number of words; a phrase stands alone, not in other words.
+PHRASES = {
+    size: re.compile(rb"(?:^|[^a-z0-9])(?:" + b"|".join(x for x in BOILERPLATE if x.count(b" ") == size - 1) + rb")(?:[^a-z0-9]|$)")
+    for size in sorted({x.count(b" ") + 1 for x in BOILERPLATE})
+}
+LONGEST_BOILERPLATE = 3 * max(PHRASES)
+#: A line without an end mark is a menu if two thirds of its words, three at least, are such.
+MENU = [
+    b"home",
+    b"about",
+    b"contact",
+    b"login",
+    b"logout",
+    b"register",
+    b"help",
+    b"search",
+    b"menu",
+    b"sitemap",
+    b"faq",
+    b"news",
+    b"products",
+    b"services",
+    b"blog",
+    b"shop",
+    b"cart",
+    b"support",
+    b"careers",
+    b"next",
+    b"previous",
+]
+IN_MENU = frozenset(MENU)
 
 COLUMNS = [
     ("n_words", "long"),
@@ -77,8 +116,9 @@ def line_fails(line: bytes) -> str:
     if not n:
         return ""
     symbols = count(line, SYMBOLS)
-    pipes = line.count(b"|")
-    if n >= 3 and 4 * pipes >= n:
+    if n >= 3 and 4 * line.count(b"|") >= n:
+        return "navigation"
+    if n >= 3 and 3 * sum(w.lower() in IN_MENU for w in words) >= 2 * n and words[-1][-1:] not in b".!?":
         return "navigation"
     if symbols >= 3 and 8 * symbols > len(line):
         return "punctuation"
@@ -88,10 +128,8 @@ def line_fails(line: bytes) -> str:
         return "punctuation"
     if n >= 10 and 3 * len(set(words)) < n:
         return "repetition"
-    if n <= 20:
-        low = line.lower()
-        if any(x in low for x in BOILERPLATE):
-            return "boilerplate"
+    if n <= LONGEST_BOILERPLATE and any(3 * size >= n and x.search(line.lower()) for size, x in PHRASES.items()):
+        return "boilerplate"
     if n >= 30 and not any(x in line for x in MARKS):
         return "punctuation"
     return ""
