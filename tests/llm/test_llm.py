@@ -111,6 +111,12 @@ def test_repeated_words_of_many_kinds():
         (b"so so so so so so so so so so so", "repetition"),
         (b"2020 Example Inc. All rights reserved.", "boilerplate"),
         (b"A quiet sentence about nothing at all.", ""),
+        (b"She had always wanted to read more.", ""),
+        (b"The plague spread more widely.", ""),
+        (b"Read more", "boilerplate"),
+        (b"Home About Contact Help", "navigation"),
+        (b"Please contact us at home.", ""),
+        ("\u092f\u0939 " .encode() * 20 + "\u0939\u0948 \u0915\u0939\u093e \u0925\u093e \u092a\u0930 \u0938\u092c \u0932\u094b\u0917 \u0906\u090f \u0914\u0930 \u0917\u090f \u0964".encode(), ""),
         (b"", ""),
     ],
 )
@@ -169,6 +175,57 @@ def test_guess_costs():
         assert cost(v) <= len(v) * math.log10(secret_scan.alphabet(v)) + 1e-9
 
 
+def test_weak_passwords_are_cheap():
+    cost = secret_scan.log10_guesses
+    for weak in ("Liverpool1", "manchester99", "1qaz2wsx3edc", "zaq1xsw2cde3", "basketballchampion", "aaaaasdferty", "31121999", "p4ssw0rd2024"):
+        assert cost(weak) < secret_scan.MIN_LOG10_GUESSES, (weak, cost(weak))
+    for strong in ("k9#Fz!2pQw7$", "Tr0ub4dor.horse!9x&Qz", "hunZ7vPq2LmW4c"):
+        assert cost(strong) > secret_scan.MIN_LOG10_GUESSES, (strong, cost(strong))
+    assert cost("a" * 100_000) < 4  # in linear time
+
+
+def cheapest_span(value, i, j):
+    """The cheapest single segment that is value[i:j], by the definitions alone."""
+    v = value[i:j]
+    low = v.lower()
+    each = math.log10(secret_scan.alphabet(value))
+    costs = [len(v) * each]
+    place, longest = secret_scan.ranks()
+    if 3 <= len(v) <= longest:
+        for form, changed in ((low, 0), (low.translate(secret_scan.LEET), 1)):
+            if form in place:
+                costs.append(math.log10(place[form] + 1) + 0.3 * ((v != low) + 2 * changed))
+                break
+    costs += [math.log10(n) for form, n in secret_scan.DATES if form.fullmatch(v)]
+    for p in range(1, min(secret_scan.LONGEST_PERIOD, len(v) // 2) + 1):
+        if all(v[k] == v[k - p] for k in range(p, len(v))):
+            costs.append(p * each + secret_scan.TIMES)
+    if len(v) >= 3:
+        ways = [secret_scan.STEPS.get(x) for x in zip(low, low[1:])]
+        if all(ways):
+            costs.append(secret_scan.BEGIN + secret_scan.LENGTH + secret_scan.TURN * sum(a != b for a, b in zip(ways, ways[1:])))
+        turns = {secret_scan.in_order(a, b) for a, b in zip(low, low[1:])}
+        if turns in ({1}, {-1}):
+            costs.append(secret_scan.ORDER + secret_scan.LENGTH)
+    return min(costs)
+
+
+def test_guess_costs_against_all_segmentations():
+    rng = random.Random(6)
+    pool = ["abc", "qaz", "123", "the", "2024", "01", "aa", "xyx", "L0v3", "!", "Q", "zse4", "love"]
+    values = ["".join(rng.choice(pool) for _ in range(4))[: rng.randrange(1, 11)] for _ in range(150)]
+    values += ["".join(rng.choice("ab12sdA") for _ in range(rng.randrange(1, 10))) for _ in range(150)]
+    for value in values:
+        n = len(value)
+        spans = {(i, j): cheapest_span(value, i, j) for i in range(n) for j in range(i + 1, n + 1)}
+        every = []
+        for cuts in range(n):
+            for places in itertools.combinations(range(1, n), cuts):
+                edges = [0, *places, n]
+                every.append(secret_scan.CUT * cuts + sum(spans[e] for e in zip(edges, edges[1:])))
+        assert math.isclose(secret_scan.log10_guesses(value), min(every)), value
+
+
 def test_secrets_are_masked_and_prose_is_left():
     strong, weak, prose = "the pwd=xK9#mQ2$vLpp ok", "the pwd=qwertyuiop ok", "He is the author of a secret: love."
     for text, masked in ((strong, "the pwd=[SECRET] ok"), (weak, weak), (prose, prose)):
@@ -509,7 +566,6 @@ def test_lm_learns_what_follows_what(spark):
 
 
 def test_chat_snapshots(spark, monkeypatch):
-    monkeypatch.setattr(chat_format, "BLOCK", 2)
     monkeypatch.setattr(chat_format, "PART", 3)
     talk = [("user", "hi"), ("assistant", "hello"), ("user", "bye"), ("assistant", None), (None, "x")]
     rows = []
@@ -522,6 +578,31 @@ def test_chat_snapshots(spark, monkeypatch):
     assert text == "".join(f"<|{r or ''}|>\n{t or ''}<|end|>\n" for r, t in talk)
 
 
+def test_chat_with_hot_conversations_against_plain_prefixes(spark):
+    """Rows without id or number, and one row many times, are dealt over several tasks; results are as of lists."""
+    rng = random.Random(9)
+    rows = [(None, None, "user", "again") for _ in range(400)] + [(None, k % 3, "user", rng.choice("ab")) for k in range(90)]
+    rows += [(1, 1, "user", "same") for _ in range(300)]
+    talk = [(rng.choice(["user", "assistant"]), rng.choice("xyz")) for _ in range(60)]
+    for conv in range(2, 40):
+        rows += [(conv, k, *t) for k, t in enumerate(talk[: rng.randrange(1, 60)])]
+    rng.shuffle(rows)
+    talks = defaultdict(list)
+    for conv, turn, role, text in rows:
+        talks[conv].append((turn is None, turn or 0, role, text))
+    lists = {c: tuple((r, t) for _, _, r, t in sorted(x)) for c, x in talks.items()}
+    want = {}
+    for c, own in lists.items():
+        equal = [d for d, x in lists.items() if x == own]
+        if c == min(equal, key=lambda d: (d is None, d or 0)) and not any(len(x) > len(own) and x[: len(own)] == own for x in lists.values()):
+            want[c] = (len(own), len(equal), "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in own))
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    parts = defaultdict(list)
+    for r in rows_of(chat_format.chat_format(df)):
+        parts[r["conv_id"]].append((r["part"], r["n_turns"], r["n_copies"], r["text"]))
+    assert {c: (*sorted(x)[0][1:3], "".join(y[3] for y in sorted(x))) for c, x in parts.items()} == want
+
+
 def test_chat_without_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert rows_of(chat_format.chat_format(empty)) == []
