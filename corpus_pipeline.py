@@ -41,7 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document with the smallest id of each group of near-duplicates.
 
     A row without an id can't be the smallest of its group, nor be told from others by it: it stays. Where
-    ids repeat, rows are told by id and fingerprint, and one row of each such pair stays. Texts are
+    ids repeat, rows are told by id and fingerprint, and the row of the least text hash of each such pair stays. Texts are
     shuffled only then, or if more documents go than can be broadcast.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
@@ -52,8 +52,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs.join(F.broadcast(gone) if n_gone <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
     marked = fingerprints(docs, DOCUMENT_COLUMNS).withColumn("fingerprint", as_hex(F.col("bits")))
     least = groups.filter("doc_id = component_id").select("doc_id", "fingerprint").distinct()
-    named = marked.join(least, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"])
-    return named.unionByName(marked.filter("doc_id is null")).select(*DOCUMENT_COLUMNS)
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), *DOCUMENT_COLUMNS)).alias("first")
+    named = marked.join(least, ["doc_id", "fingerprint"], "left_semi").groupBy("doc_id", "fingerprint").agg(first).select("first.*")
+    return named.select(*DOCUMENT_COLUMNS).unionByName(marked.filter("doc_id is null").select(*DOCUMENT_COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
