@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .text import trim_ws
+from .text import let, trim_ws
 from .urls import has_any
 
 
@@ -60,12 +60,21 @@ def page_error(title: Column, content: Column, platform: Column) -> Column:
 
 def crawl_error(message: Column, platform: Column) -> Column:
     """struct(type, severity, strategy, suggestion) of an error message, by the first group that fits."""
-    low = F.lower(message)
-    kinds = [F.when(F.lit(False), F.lit("")) for _ in range(3)]
-    for name, severity, strategy, phrases in V.CRAWL_ERRORS:
-        fits = has_any(low, phrases)
-        kinds = [k.when(fits, F.lit(x)) for k, x in zip(kinds, (name, severity, strategy), strict=True)]
-    kind, severity, strategy = (k.otherwise(F.lit(x)) for k, x in zip(kinds, ("unknown", "medium", "default_retry"), strict=True))
+
+    def group(low: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(0))
+        for k, (*_, phrases) in enumerate(V.CRAWL_ERRORS):
+            found = found.when(has_any(low, phrases), F.lit(k))
+        return found.otherwise(F.lit(len(V.CRAWL_ERRORS)))
+
+    def result(k: Column) -> Column:
+        groups = [*(x[:3] for x in V.CRAWL_ERRORS), ("unknown", "medium", "default_retry")]
+        return _error(*(F.get(F.array(*(F.lit(x[at]) for x in groups)), k) for at in range(3)), platform)
+
+    return let(let(F.lower(message), group), result)
+
+
+def _error(kind: Column, severity: Column, strategy: Column, platform: Column) -> Column:
     hints = F.create_map(*(F.lit(x) for (p, t), text in V.SUGGESTIONS.items() for x in (f"{p}/{t}", text)))
     hint = F.coalesce(F.try_element_at(hints, F.concat(platform, F.lit("/"), kind)), F.lit(V.DEFAULT_SUGGESTION))
     return F.struct(kind.alias("type"), severity.alias("severity"), strategy.alias("strategy"), hint.alias("suggestion"))
@@ -78,6 +87,22 @@ def retry_wait(strategy: Column, attempt: Column) -> Column:
     return F.get(F.coalesce(F.try_element_at(waits, strategy), default), F.least(attempt, F.lit(2)))
 
 
+def retry_limits(kind: Column, attempt: Column, platform: Column) -> Column:
+    """struct(timeout_ms, delay_s) of a retry by the kind of error; longer for platforms that are slow."""
+    timeout, delay = (F.when(F.lit(False), F.lit(x)) for x in (0, 0.0))
+    for name, (first, more, wait, longer) in V.RETRY_TIMEOUTS.items():
+        timeout = timeout.when(kind == name, first + more * attempt)
+        delay = delay.when(kind == name, (wait + longer * attempt).cast("double"))
+    step = F.least(attempt, F.lit(len(V.OTHER_TIMEOUTS) - 1))
+    timeout = timeout.otherwise(F.get(F.array(*(F.lit(t) for t, _ in V.OTHER_TIMEOUTS)), step))
+    delay = delay.otherwise(F.get(F.array(*(F.lit(float(d)) for _, d in V.OTHER_TIMEOUTS)), step))
+    slow = platform.isin(V.SLOW_PLATFORMS)
+    return F.struct(
+        F.when(slow, F.floor(timeout * V.SLOW_TIMEOUT)).otherwise(timeout).cast("long").alias("timeout_ms"),
+        F.when(slow, delay * V.SLOW_DELAY).otherwise(delay).alias("delay_s"),
+    )
+
+
 def content_type(title: Column, content: Column) -> Column:
     low = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
     static, dynamic, weibo = (count_of(w, *low).cast("string") for w in (V.STATIC_TYPE, V.DYNAMIC_TYPE, V.WEIBO_TYPE))
@@ -154,31 +179,31 @@ def related(title: Column, description: Column, query: str, keywords: list[str])
     return has_any(both, [query.lower(), *keywords])
 
 
-# Words that make a result no news; words and paths of static pages; words of dynamic ones.
-NEWS_EXCLUDED = ["广告", "ad", "推广", "招聘"]
-RESULT_STATIC = (
-    "首页 home index 主页 官网 关于 about 联系 contact 帮助 help 登录 login 注册 register 下载 download "
-    "条款 terms 隐私 privacy 免责 disclaimer 导航 navigation 菜单 menu 404 error"
-).split()
-RESULT_DYNAMIC = (
-    "发布 更新 最新 动态 帖子 post 视频 video 直播 live 分享 share 评论 comment 点赞 like 转发 repost "
-    "话题 topic 热门 trending 今日 today 用户 user 博主 blogger 创作者 creator"
-).split()
-RESULT_PATHS = "/about /help /contact /terms /privacy /login /register /index /home".split()
-
-
 def news_related(title: Column, description: Column, query: str) -> Column:
     """A title of 11 to 199 bytes; the query, and no excluded word, in title and description."""
     both = F.lower(F.concat_ws(" ", title, description))
     size = F.octet_length(title)
-    return ~has_any(both, NEWS_EXCLUDED) & (size > 10) & (size < 200) & F.contains(both, F.lit(query.lower()))
+    return ~has_any(both, V.NEWS_EXCLUDED) & (size > 10) & (size < 200) & F.contains(both, F.lit(query.lower()))
 
 
-def dynamic_result(title: Column, abstract: Column, url: Column, least: int = 1) -> Column:
-    """A search result with no static word or path, not a site's root, with enough dynamic words."""
-    both = F.lower(F.concat_ws(" ", title, abstract))
-    static = has_any(both, RESULT_STATIC) | has_any(F.lower(url), RESULT_PATHS) | url.rlike("^https?://[^/]+/?$")
-    return ~F.coalesce(static, F.lit(False)) & (count_of(RESULT_DYNAMIC, both) >= least)
+#: By platform: static words, static parts of addresses, whether a site's root is static, dynamic words, how many at
+#: least, and what stands between title and description.
+RESULT_RULES = {
+    "weibo": (V.RESULT_STATIC, V.RESULT_PATHS, True, V.RESULT_DYNAMIC, 1, " "),
+    "douyin": (V.DOUYIN_STATIC, V.DOUYIN_PATHS, True, V.DOUYIN_DYNAMIC, 2, " "),
+    "xiaohongshu": (V.NOTE_STATIC, V.NOTE_PATHS, False, V.XHS_DYNAMIC, 1, ""),
+    "bilibili": (V.NOTE_STATIC, V.NOTE_PATHS, False, V.BILIBILI_DYNAMIC, 1, ""),
+}
+
+
+def dynamic_result(title: Column, description: Column, url: Column, platform: str = "weibo") -> Column:
+    """A search result with no static word or address and enough dynamic words, by the platform's own lists."""
+    static_words, paths, root, dynamic_words, least, between = RESULT_RULES[platform]
+    both = F.lower(F.concat(title, F.lit(between), description))
+    static = has_any(both, static_words) | has_any(F.lower(url), paths)
+    if root:
+        static = static | url.rlike("^https?://[^/]+/?$")
+    return ~F.coalesce(static, F.lit(False)) & (count_of(dynamic_words, both) >= least)
 
 
 def valid_html(html: Column, least: int = 100, tags: tuple[str, ...] = ("html", "body")) -> Column:
@@ -188,6 +213,23 @@ def valid_html(html: Column, least: int = 100, tags: tuple[str, ...] = ("html",
     return F.coalesce(fine, F.lit(False))
 
 
+def fallback_service(first: Column, first_failed: Column) -> Column:
+    """struct(service, fallback_from): the other service after the first one failed, and which that was."""
+    other = F.when(first == "browser", "local").otherwise("browser")
+    return F.struct(
+        F.when(first_failed, other).otherwise(first).alias("service"), F.when(first_failed, first).alias("fallback_from")
+    )
+
+
+def login_state(html: Column, url: Column, user_selectors: list[str], login_words: list[str], login_paths: list[str]) -> Column:
+    """logged_in, logged_out or unknown, by ordered rules: what only users see, what asks to log in, then the address."""
+    return (
+        F.when(has_any(html, user_selectors), "logged_in")
+        .when(has_any(html, login_words) | has_any(F.lower(url), login_paths), "logged_out")
+        .otherwise("unknown")
+    )
+
+
 def fetch_service(needs_script: Column, selector: Column, host: Column, wait: Column, script_hosts: list[str]) -> Column:
     """Which service a page is asked from first."""
     browser = needs_script | (F.coalesce(selector, F.lit("")) != "") | host.isin(script_hosts) | (F.coalesce(wait, F.lit("")) != "")

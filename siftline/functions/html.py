@@ -7,19 +7,19 @@ are tags, .class, #id, [attr], [attr*="x"] and descendants of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-# What is no content, where content is looked for first, and parts of addresses of decoration.
-DROPPED = ("script", "style", "nav", "header", "footer", "aside")
-CONTENT = ("article", "main", ".content", "#content", ".post-content", ".article-content", ".entry-content", ".post", ".main-content")
-DECORATION = ("icon", "logo", "avatar", "button")
+from . import vocabulary as V
+
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
 SCHEMA = (
     "title string, content string, text string, "
@@ -132,16 +132,33 @@ def line_text(node: Node) -> str:
     return "\n".join(p for line in whole.splitlines() for x in line.strip().split("  ") if (p := x.strip()))
 
 
-def extracted(html: str | None, url: str | None, css: str | None = None) -> tuple:
-    """The values of SCHEMA for one page; empty ones for a null page."""
+def prune(root: Node, dropped: list[str]) -> None:
+    """Take elements by these tags, and all in them, out of a tree."""
+    for node in root.walk():
+        node.children = [x for x in node.children if isinstance(x, str) or x.tag not in dropped]
+
+
+def main_text(root: Node, css: str | None = None) -> str:
+    """The text of all that a selector finds, else of the first place of content; then what is no content is gone from the tree."""
+    found = list(select(root, css)) if css else []
+    if found:
+        return " ".join(map(joined_text, found))
+    prune(root, V.NO_CONTENT)
+    place = next((n for s in V.CONTENT_SELECTORS for n in select(root, s)), None) or next(select(root, "body"), None) or root
+    return joined_text(place)
+
+
+def extracted(html: str | None, url: str | None, css: str | None = None, pruned: bool = False) -> tuple:
+    """The values of SCHEMA for one page; empty ones for a null page. pruned: all but the title is of what ``main_text`` leaves."""
     root = Tree(html or "").root
     found = next(select(root, "title"), None)
     title = "".join(found.texts()).strip() if found else ""
-    if css:
-        content = " ".join(joined_text(n) for n in select(root, css))
+    if pruned:
+        content = main_text(root, css)
+        whole = joined_text(root)
     else:
-        place = next((n for s in CONTENT for n in select(root, s)), None) or next(select(root, "body"), None) or root
-        content = joined_text(place, DROPPED)
+        whole = line_text(root)
+        content = main_text(Tree(html or "").root, css)
     base = url or ""
     links, images, meta = [], [], {}
     seen: set[str] = set()
@@ -155,23 +172,23 @@ def extracted(html: str | None, url: str | None, css: str | None = None) -> tupl
         elif node.tag == "img":
             src = a.get("src") or a.get("data-src") or a.get("data-original") or ""
             src = urljoin(base, src) if base and src else src
-            if src and not any(x in src.lower() for x in DECORATION):
+            if src and not any(x in src.lower() for x in V.DECORATION):
                 images.append({"url": src, "alt": a.get("alt", ""), "title": a.get("title", "")})
         elif node.tag == "meta" and (name := a.get("name") or a.get("property")) and a.get("content"):
             meta.setdefault(f"meta_{name}", a["content"])
     meta |= {"url": base, "domain": urlsplit(base).netloc, "title": title}
-    return title, content, line_text(root), links, images, list(meta.items())
+    return title, content, whole, links, images, list(meta.items())
 
 
-def page_extract(pages: DataFrame, css: str | None = None) -> DataFrame:
-    """page_id, url and the columns of SCHEMA. A page is parsed once, whatever is read from it."""
+def page_extract(pages: DataFrame, css: str | None = None, pruned: bool = False) -> DataFrame:
+    """page_id, url and the columns of SCHEMA. text: all text by lines; of pruned pages without anything between its pieces."""
     struct = {k: pa.list_(pa.struct([(n, pa.string()) for n in names])) for k, names in (("links", ("url", "text", "title")), ("images", ("url", "alt", "title")))}
     kinds = [pa.string()] * 3 + [struct["links"], struct["images"], pa.map_(pa.string(), pa.string())]
     names = ["page_id", "url", "title", "content", "text", "links", "images", "metadata"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [extracted(h, u, css) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [extracted(h, u, css, pruned) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = list(zip(*made, strict=True)) or [[] for _ in kinds]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=names)
@@ -179,6 +196,35 @@ def page_extract(pages: DataFrame, css: str | None = None) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(rows, f"page_id long, url string, {SCHEMA}")
 
 
+def per_page(pages: DataFrame, read: Callable[[str, str], object], kind: str) -> DataFrame:
+    """(page_id, found): what ``read`` makes of each page's HTML and address, both empty for null; of the SQL type ``kind``."""
+    schema = StructType().add("page_id", pages.schema["page_id"].dataType).add("found", DataType.fromDDL(kind))
+    arrow = to_arrow_type(schema["found"].dataType)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [read(h or "", u or "") for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, arrow)], names=["page_id", "found"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(rows, schema)
+
+
+def page_fields(pages: DataFrame, selectors: dict[str, str], many: tuple[str, ...] = ("images", "comments", "tags")) -> DataFrame:
+    """(page_id, one, many): maps of what each selector finds, the fields of ``many`` as arrays."""
+
+    def read(page: str, _: str) -> dict:
+        found = fields(page, selectors, many)
+        return {"one": {k: v for k, v in found.items() if k not in many}, "many": {k: v for k, v in found.items() if k in many}}
+
+    found = per_page(pages, read, "struct<one:map<string,string>,many:map<string,array<string>>>")
+    return found.select("page_id", "found.*")
+
+
+def page_markdown(pages: DataFrame) -> DataFrame:
+    """(page_id, markdown)."""
+    return per_page(pages, lambda page, _: markdown(page), "string").withColumnRenamed("found", "markdown")
+
+
 def fields(html: str, selectors: dict[str, str], many: tuple[str, ...] = ("images", "comments", "tags")) -> dict:
     """A value by selector for each field: text of the first hit, of all hits for ``many``; "" or [] without any."""
     root = Tree(html).root

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,12 +20,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+WHITE_BUT_BLANK = "[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: The characters of WHITE.
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def collapse_ws(c: Column) -> Column:
-    return trim_ws(F.regexp_replace(c, f"{WHITE}+", " "))
+    """White space as single blanks; a text in which it is so already is only looked at."""
+
+    def collapsed(x: Column) -> Column:
+        return F.when(x.rlike(f"  |{WHITE_BUT_BLANK}"), F.regexp_replace(x, f"{WHITE}+", " ")).otherwise(x)
+
+    return trim_ws(let(c, collapsed))
 
 
 def content_sha256(title: Column, content: Column) -> Column:
@@ -50,11 +61,29 @@ def strip_html(c: Column) -> Column:
     """Scripts and styles go, tags become blanks, white space is collapsed."""
     without = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", "")
     without = F.regexp_replace(without, r"(?is)<style[^>]*>.*?</style>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(without, r"<[^>]+>", " "), r"\s+", " "))
+    tagless = F.when(F.contains(c, F.lit("<")), F.regexp_replace(without, r"<[^>]+>", " ")).otherwise(c)
+    return F.trim(F.regexp_replace(tagless, r"\s+", " "))
+
+
+def _head(pattern: str) -> str:
+    """The letters that every match of a pattern begins with, in lower case."""
+    found = re.match(r"[^\W_]*", pattern)[0]
+    return (found[:-1] if pattern[len(found) :][:1] in ("*", "?", "{") else found).lower()
 
 
 def _without(c: Column, patterns: list[str], by: str) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, f"(?i){p}", by), patterns, c)
+    """Patterns replaced one after the other; a text is only searched for those of which it holds the beginning."""
+    heads = F.array(*(F.lit(h) for h in sorted({_head(p) for p in patterns})))
+
+    def step(text: Column, p: str) -> Column:
+        head = F.lit(_head(p))
+        return let(text, lambda x: F.when(F.contains(F.lower(x), head), F.regexp_replace(x, f"(?i){p}", by)).otherwise(x))
+
+    def all_steps(text: Column) -> Column:
+        held = let(F.lower(text), lambda low: F.exists(heads, lambda h: F.contains(low, h)))
+        return F.when(held, reduce(step, patterns, text)).otherwise(text)
+
+    return let(c, all_steps)
 
 
 def clean_content(c: Column, platform: Column) -> Column:

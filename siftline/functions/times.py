@@ -15,6 +15,7 @@ FORMATS = [
     "yyyy-MM-dd",
     "MM/dd/yyyy",
 ]
+ZONED_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
 RECORD_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ssXXX",
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -28,6 +29,11 @@ def parse_time(c: Column, formats: list[str] = FORMATS) -> Column:
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats)).cast("timestamp_ntz")
 
 
+def zoned_time(c: Column) -> Column:
+    """A time with its zone, in UTC; null for any other text."""
+    return F.when(c.rlike(r"[Zz]$|[+-]\d\d:\d\d$"), F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in ZONED_FORMATS))).cast("timestamp_ntz")
+
+
 def _number(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, pattern, group).try_cast("int")
 

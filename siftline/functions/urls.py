@@ -22,7 +22,6 @@ SERVICE_HOSTS = [
     ("xiaohongshu", ["xiaohongshu.com", "xhslink.com"]),
     ("douyin", ["douyin.com", "iesdouyin.com"]),
 ]
-RESERVED = "admin api www mail ftp localhost test weibo sina home index login register".split()
 DEFAULT_QUERIES = {"weibo": "热门微博", "bilibili": "精彩视频", "xiaohongshu": "生活分享", "douyin": "热门短视频"}
 SEARCH_ENGINES = {
     "baidu": "https://www.baidu.com/s?wd=",
@@ -161,7 +160,7 @@ def weibo_pages(identifier: Column) -> Column:
         F.concat(site, F.lit("u/"), identifier, F.lit("?tabtype=feed")),
         F.concat(site, identifier, F.lit("?is_all=1")),
     )
-    named = F.char_length(identifier).between(3, 30) & ~F.lower(identifier).isin(RESERVED)
+    named = F.char_length(identifier).between(3, 30) & ~F.lower(identifier).isin(V.RESERVED_NAMES)
     return F.when(identifier.rlike("[^a-zA-Z0-9_-]"), F.when(nick != "", by_nick)).when(named, by_name)
 
 

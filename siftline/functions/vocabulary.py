@@ -397,3 +397,241 @@ STATIC_URLS = [
     r"\.(css|js|png|jpg|jpeg|gif|ico)$",
 ]
 WEIBO_FORBIDDEN = ["/hot/search", "/hot/", "/search", "/login", "/register", "/home", "/index", "/about", "/help"]
+
+# Names of weibo that are no user's.
+RESERVED_NAMES = ["admin", "api", "www", "mail", "ftp", "localhost", "test", "weibo", "sina", "home", "index", "login", "register"]
+
+# Words that make a search result no news; words and paths of static results; words of dynamic ones.
+NEWS_EXCLUDED = ["广告", "ad", "推广", "招聘"]
+RESULT_STATIC = [
+    "首页",
+    "home",
+    "index",
+    "主页",
+    "官网",
+    "关于",
+    "about",
+    "联系",
+    "contact",
+    "帮助",
+    "help",
+    "登录",
+    "login",
+    "注册",
+    "register",
+    "下载",
+    "download",
+    "条款",
+    "terms",
+    "隐私",
+    "privacy",
+    "免责",
+    "disclaimer",
+    "导航",
+    "navigation",
+    "菜单",
+    "menu",
+    "404",
+    "error",
+]
+RESULT_DYNAMIC = [
+    "发布",
+    "更新",
+    "最新",
+    "动态",
+    "帖子",
+    "post",
+    "视频",
+    "video",
+    "直播",
+    "live",
+    "分享",
+    "share",
+    "评论",
+    "comment",
+    "点赞",
+    "like",
+    "转发",
+    "repost",
+    "话题",
+    "topic",
+    "热门",
+    "trending",
+    "今日",
+    "today",
+    "用户",
+    "user",
+    "博主",
+    "blogger",
+    "创作者",
+    "creator",
+]
+RESULT_PATHS = ["/about", "/help", "/contact", "/terms", "/privacy", "/login", "/register", "/index", "/home"]
+
+# Where a page's content is looked for, in this order, and what in it is none.
+CONTENT_SELECTORS = [
+    "main",
+    "article",
+    ".content",
+    ".post-content",
+    ".article-content",
+    ".news-content",
+    "#content",
+    ".entry-content",
+    ".post-body",
+]
+NO_CONTENT = ["script", "style", "nav", "header", "footer", "aside"]
+# Parts of image addresses that mean decoration.
+DECORATION = ["icon", "logo", "avatar", "button"]
+
+# The same lists for results of video pages, and for notes and videos of two more platforms.
+DOUYIN_STATIC = [
+    "首页",
+    "home",
+    "index",
+    "主页",
+    "官网",
+    "下载",
+    "关于",
+    "about",
+    "联系",
+    "contact",
+    "帮助",
+    "help",
+    "登录",
+    "login",
+    "注册",
+    "register",
+    "设置",
+    "settings",
+    "条款",
+    "terms",
+    "隐私",
+    "privacy",
+    "版权",
+    "copyright",
+]
+DOUYIN_DYNAMIC = [
+    "视频",
+    "video",
+    "短视频",
+    "抖音",
+    "douyin",
+    "tiktok",
+    "播放",
+    "play",
+    "观看",
+    "watch",
+    "直播",
+    "live",
+    "创作者",
+    "creator",
+    "博主",
+    "blogger",
+    "达人",
+    "发布",
+    "post",
+    "更新",
+    "update",
+    "最新",
+    "latest",
+    "热门",
+    "trending",
+    "推荐",
+    "recommend",
+    "分享",
+    "share",
+]
+DOUYIN_PATHS = ["/about", "/help", "/contact", "/terms", "/privacy", "/login", "/register", "/download", "/index", "/home"]
+NOTE_STATIC = ["首页", "主页", "登录", "注册", "帮助", "关于我们", "服务条款", "隐私政策", "导航", "菜单"]
+NOTE_PATHS = ["/home", "/index", "/main", "/login", "/register", "/help", "/about"]
+XHS_DYNAMIC = ["小红书", "xiaohongshu", "笔记", "种草", "分享", "测评", "推荐", "体验", "使用心得", "好物"]
+BILIBILI_DYNAMIC = ["bilibili", "b站", "哔哩哔哩", "up主", "视频", "番剧", "直播", "动画", "游戏", "科技"]
+
+# What stands in title or description of a platform's results; without a list everything passes.
+RESULT_WORDS = {"weibo": ["微博", "weibo"], "douyin": ["抖音", "douyin", "tiktok", "短视频"]}
+# Records of results: the author without another, what a missing description is made of, and the first tags.
+RESULT_AUTHORS = {"weibo": "微博用户", "douyin": "抖音创作者", "xiaohongshu": "小红书博主", "bilibili": "B站UP主"}
+RESULT_LEADS = {
+    "weibo": "微博动态：",
+    "douyin": "抖音短视频：",
+    "xiaohongshu": "小红书笔记：",
+    "bilibili": "B站视频：",
+    "news": "新闻报道：",
+}
+RESULT_TAGS = {
+    "weibo": ["微博", "社交媒体"],
+    "douyin": ["抖音", "短视频"],
+    "xiaohongshu": ["小红书", "生活分享", "种草"],
+    "bilibili": ["B站", "视频", "bilibili"],
+    "news": ["新闻", "资讯"],
+}
+NEWS_SOURCES = {"without": "新闻编辑部", "too_long": "新闻媒体"}
+# The service's own authors of results.
+SERVICE_AUTHORS = {"weibo": "微博用户", "douyin": "抖音创作者", "xiaohongshu": "小红书博主", "bilibili": "B站UP主", "news": "新闻编辑"}
+SERVICE_AUTHOR = "创作者"
+
+# Where results stand on the pages of search engines: a result, its linked title, its text.
+ENGINE_RESULTS = {
+    "baidu": (".result.c-container", "h3 a", ".c-abstract"),
+    "sogou": (".results .result", ".title a", ".content"),
+    "bing": (".b_algo", "h2 a", ".b_caption p"),
+}
+RESULT_NAVIGATION = ["登录", "注册", "首页"]
+RESULT_TEXT = "相关搜索结果"
+
+# Where a page's author stands, in this order, and who it is by the page's address.
+AUTHOR_SELECTORS = [
+    '[rel="author"]',
+    ".author",
+    ".author-name",
+    ".byline",
+    ".post-author",
+    '[class*="author"]',
+    '[class*="writer"]',
+]
+URL_AUTHORS = {"weibo.com": "微博用户", "bilibili.com": "B站UP主", "xiaohongshu.com": "小红书用户", "douyin.com": "抖音用户"}
+URL_AUTHOR = "未知作者"
+# Titles by parts of an address's path; an empty part fits every path.
+URL_TITLES = {
+    "weibo": [("/u/", "微博用户动态"), ("/status/", "微博动态")],
+    "bilibili": [("/video/", "B站视频"), ("/space/", "B站用户空间")],
+    "xiaohongshu": [("", "小红书笔记")],
+    "douyin": [("", "抖音视频")],
+}
+
+# Requests and console messages: parts of addresses of interfaces, of watchful sites; of messages of a block.
+API_PARTS = ["/api/", "/ajax/", "/json", ".json"]
+SUSPICIOUS_PARTS = [
+    "captcha",
+    "verify",
+    "challenge",
+    "protection",
+    "security",
+    "anti-bot",
+    "bot-detection",
+    "fingerprint",
+    "tracking",
+]
+BLOCKED_MESSAGES = [
+    "access denied",
+    "blocked",
+    "captcha",
+    "verification required",
+    "bot detected",
+    "suspicious activity",
+    "rate limit exceeded",
+]
+# Retries by the kind of error and the attempt (the third and later ones alike): page timeout in milliseconds, and
+# seconds of delay, at first and more for each attempt; then those of other kinds, attempt by attempt.
+RETRY_TIMEOUTS = {
+    "network": (120_000, 60_000, 10, 5),
+    "timeout": (180_000, 90_000, 20, 10),
+    "bot_detection": (240_000, 0, 25, 15),
+    "resource": (90_000, 0, 5, 0),
+    "auth": (120_000, 0, 15, 0),
+    "parsing": (60_000, 0, 3, 0),
+}
+OTHER_TIMEOUTS = [(90_000, 5), (180_000, 20), (240_000, 30)]
+SLOW_PLATFORMS = ["weibo", "xiaohongshu", "douyin", "bilibili"]
+SLOW_TIMEOUT, SLOW_DELAY = 1.5, 1.2
