@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.classify import basic_quality, relevance
-from siftline.functions.text import content_md5
+from siftline.functions.text import content_md5, edge_hash
 
 YEAR = "interval 365 days"
 
@@ -20,12 +20,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 
 
 def relevant(df: DataFrame, query: str, pos: str = "pos", least: int = 3) -> DataFrame:
-    """Rows with a score, and of those without one such as are among the first three rows.
+    """Rows with a score, and of those without one such as are among the first three rows (or at a place of theirs).
 
     The first three come from a limit, not from a window over all rows, which would be one task.
     """
     scored = df.withColumn("score", relevance(F.col("title"), F.col("content"), query))
-    first = scored.select(pos).orderBy(pos).limit(least).withColumn("__first", F.lit(True))
+    first = scored.select(pos).orderBy(pos).limit(least).distinct().withColumn("__first", F.lit(True))
     return scored.join(F.broadcast(first), pos, "left").filter((F.col("score") > 0) | F.col("__first")).drop("__first")
 
 
@@ -78,6 +78,33 @@ def new_contents(batch: DataFrame, history: DataFrame) -> DataFrame:
     return keep_first(named, ["url", "platform"], ["pos"]).unionByName(once.filter("coalesce(url, '') = ''"))
 
 
+def saved(batch: DataFrame, history: DataFrame, as_of: int) -> DataFrame:
+    """What a batch adds to history, once each; without an id of its own a row is named by its hash and the time."""
+    fresh = new_contents(batch, history)
+    made = F.concat(F.substring("content_hash", 1, 8), F.lit(f"_{as_of}"))
+    return fresh.withColumn("origin_id", F.coalesce(F.nullif("origin_id", F.lit("")), made))
+
+
+def save_counts(batch: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row: rows of a batch, those saved, and those left out."""
+    rows = batch.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    kept = fresh.agg(F.count("*").alias("saved")).withColumn("one", F.lit(1))
+    return rows.join(kept, "one").select("total", "saved", (F.col("total") - F.col("saved")).alias("skipped"))
+
+
+def incremental(posts: DataFrame, history: DataFrame) -> DataFrame:
+    """Posts of creators that history has neither by the hash of title and content nor by creator and a post id of its own; once each.
+
+    Columns of posts: pos, creator_id, post_id, title, content; of history: creator_id, post_id, content_hash.
+    """
+    hashed = posts.withColumn("content_hash", edge_hash(F.concat_ws("|", "title", "content")))
+    by_hash = hashed.join(history.select("content_hash"), "content_hash", "left_anti")
+    known = history.filter("post_id <> ''").select("creator_id", "post_id")
+    fresh = keep_first(by_hash.join(known, ["creator_id", "post_id"], "left_anti"), ["content_hash"], ["pos"])
+    named = fresh.filter("post_id <> ''")
+    return keep_first(named, ["creator_id", "post_id"], ["pos"]).unionByName(fresh.filter("coalesce(post_id, '') = ''"))
+
+
 def violations(df: DataFrame, keys: list[str], sparse: bool = False) -> DataFrame:
     """Keys that more than one row has; sparse keys pass rows without any of them."""
     if sparse:

@@ -51,10 +51,10 @@ def parsed(contents: DataFrame) -> DataFrame:
 
 
 def crawled(pages: DataFrame, threshold: int = 10, most_links: int = 50) -> DataFrame:
-    """Pages as crawl records: the content, or the whole text where the content has under ``threshold`` words."""
-    words = F.size(F.split("content", r"\s+"))
+    """Pages as crawl records: the content, or all text that is left of the page where the content has under ``threshold`` words."""
+    words = F.size(F.filter(F.split("content", text.WHITE), lambda x: x != ""))
     content = F.when(words < threshold, F.col("text")).otherwise(F.col("content"))
-    return page_extract(pages).select(
+    return page_extract(pages, pruned=True).select(
         "page_id",
         "url",
         F.coalesce(F.nullif("title", F.lit("")), F.lit("未知标题")).alias("title"),
@@ -101,11 +101,16 @@ def batch_summary(results: DataFrame) -> DataFrame:
         F.round(good / F.count("*"), 6).alias("success_rate"),
         F.round(F.avg("duration"), 4).alias("mean_duration"),
         F.sum("posts").alias("posts"),
+        F.round(F.sum("posts") / F.nullif(F.sum("duration"), F.lit(0.0)), 4).alias("posts_per_second"),
     )
 
 
 def all_there(requests: DataFrame, known: DataFrame, key: str, ids: str, known_id: str) -> DataFrame:
     """For each request whether every id of its array is known; one without ids isn't complete."""
-    wanted = requests.select(key, F.explode_outer(ids).alias(known_id))
+    return all_pairs_there(requests.select(key, F.explode_outer(ids).alias(known_id)), known, key, known_id)
+
+
+def all_pairs_there(wanted: DataFrame, known: DataFrame, key: str, known_id: str) -> DataFrame:
+    """The same of requests that come as one row an id; no request is gathered in one row."""
     hit = known.select(known_id).distinct().withColumn("__hit", F.lit(True))
     return wanted.join(hit, known_id, "left").groupBy(key).agg(F.bool_and(F.coalesce("__hit", F.lit(False))).alias("complete"))

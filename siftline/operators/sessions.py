@@ -54,6 +54,32 @@ def closed(instances: DataFrame, gone: Column, as_of: Column) -> DataFrame:
     )
 
 
+def logged_in(sessions: DataFrame, news: DataFrame, as_of: Column) -> DataFrame:
+    """Sessions by the last news of their login (columns: session_id, seq, is_logged_in, login_user), active from now on."""
+    last = news.groupBy("session_id").agg(F.max_by(F.struct("is_logged_in", "login_user"), "seq").alias("__last"))
+    hit = sessions.join(last, "session_id", "left")
+    told = F.col("__last").isNotNull()
+    return hit.withColumns(
+        {
+            "is_logged_in": F.when(told, F.col("__last.is_logged_in")).otherwise(F.col("is_logged_in")),
+            "login_user": F.when(told, F.coalesce("__last.login_user", "login_user")).otherwise(F.col("login_user")),
+            "last_activity": F.when(told, as_of).otherwise(F.col("last_activity")),
+        }
+    ).select(sessions.columns)
+
+
+def restored_cookies(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Cookie rows of a backup, still encrypted; missing times become now, a missing end so many days from now."""
+    until = as_of + F.make_dt_interval(days=F.lit(days))
+    now = {c: F.coalesce(c, as_of) for c in ("created_at", "updated_at")}
+    return rows.withColumns(now | {"expires_at": F.coalesce("expires_at", until)})
+
+
+def without_sessions(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows that belong to no session that is gone."""
+    return rows.join(gone.select("session_id").distinct(), "session_id", "left_anti")
+
+
 def extended(sessions: DataFrame, ids: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Sessions that are asked for expire so many hours from now, whatever they had left."""
     hit = sessions.join(ids.select("session_id").distinct().withColumn("__hit", F.lit(True)), "session_id", "left")
@@ -112,9 +138,13 @@ def nested(items: DataFrame, category: str, name: str) -> DataFrame:
 
 
 def evicted_everywhere(instances: DataFrame, order: list[str], cap: int = 20) -> DataFrame:
-    """The least recently used of all instances that stand in the way of one more; no window over all rows."""
-    over = instances.count() - cap + 1
-    return instances.orderBy(*order).limit(max(0, over))
+    """The least recently used of all instances that stand in the way of one more. ``order`` tells rows apart.
+
+    The newest ones that stay are few; what is older than all of them goes, without a window over all rows.
+    """
+    place = F.struct(*order)
+    newest = instances.orderBy(*(F.desc(c) for c in order)).limit(cap - 1).agg(F.min(place).alias("__oldest_kept"))
+    return instances.crossJoin(F.broadcast(newest)).filter(place < F.col("__oldest_kept")).drop("__oldest_kept")
 
 
 def system_stats(parts: dict[str, DataFrame]) -> DataFrame:

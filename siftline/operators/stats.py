@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import is_active_session
+from siftline.functions import vocabulary as V
+from siftline.functions.urls import has_any
+
+from .store import is_active_session, is_unread
 
 
 def session_stats(sessions: DataFrame, as_of: Column) -> DataFrame:
@@ -42,11 +45,14 @@ def request_metrics(requests: DataFrame, last: int = 1000) -> DataFrame:
     return totals.crossJoin(tail).withColumn("mean_latency", F.round(F.coalesce("mean_latency", F.lit(0.0)), 4))
 
 
-def publish_outcome(results: DataFrame, task: str, ok: str) -> DataFrame:
-    """By task: published without errors, partial with some, failed with nothing else."""
-    counted = results.groupBy(task).agg(
-        F.count_if(F.col(ok)).alias("succeeded"), F.count_if(~F.col(ok)).alias("failed")
+def publish_outcome(results: DataFrame, tasks: DataFrame, task: str, ok: str, message: str) -> DataFrame:
+    """By task: published without errors (also without any platform), partial with some, failed with nothing else; with the errors."""
+    errors = F.array_sort(F.collect_list(F.when(~F.col(ok), F.col(message))))  # a task has a platform once: few
+    found = results.groupBy(task).agg(
+        F.count_if(F.col(ok)).alias("succeeded"), F.count_if(~F.col(ok)).alias("failed"), errors.alias("errors")
     )
+    none = {"succeeded": F.lit(0), "failed": F.lit(0), "errors": F.array().cast("array<string>")}
+    counted = tasks.select(task).join(found, task, "left").withColumns({k: F.coalesce(k, v) for k, v in none.items()})
     outcome = F.when(F.col("failed") == 0, "published").when(F.col("succeeded") > 0, "partial").otherwise("failed")
     return counted.withColumn("outcome", outcome)
 
@@ -63,25 +69,54 @@ def overview(events: DataFrame, as_of: Column, days: int) -> DataFrame:
     return found.withColumn("growth", growth)
 
 
-# Classes of requests, and parts of addresses that mean an API or a watchful site.
-API_PARTS = "/api/|/ajax/|/json|\\.json"
-SUSPICIOUS = "captcha|verify|challenge|protection|security|anti-bot|bot-detection|fingerprint|tracking"
+def _held(c: Column, parts: list[str]) -> Column:
+    return has_any(F.lower(c), parts)
+
 
+def request_flags(requests: DataFrame) -> DataFrame:
+    """Requests with what they are: failed, scripted, api, image, script, suspicious, slow, and signs of their platform.
 
-def network_summary(requests: DataFrame, page: str) -> DataFrame:
-    """By page: requests of each class, failed, suspicious and slow ones. Columns: resource_type, method, url, status_code, response_time."""
-    kind, url = F.lower("resource_type"), F.lower("url")
+    Columns: platform, resource_type, method, url, status_code, response_time and any others.
+    """
+    kind, url = F.lower("resource_type"), F.col("url")
     scripted = kind.isin("fetch", "xhr") | F.upper("method").isin("POST", "PUT", "PATCH")
-    return requests.groupBy(page).agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("status_code") >= 400).alias("failed"),
-        F.count_if(scripted).alias("xhr"),
-        F.count_if(scripted & url.rlike(API_PARTS)).alias("api"),
-        F.count_if(~scripted & kind.isin("image", "imageset")).alias("images"),
-        F.count_if(~scripted & kind.isin("script", "javascript")).alias("scripts"),
-        F.count_if(url.rlike(SUSPICIOUS)).alias("suspicious"),
-        F.count_if(F.col("response_time") > 5000).alias("slow"),
+    weibo, bilibili = F.col("platform") == "weibo", F.col("platform") == "bilibili"
+    flags = {
+        "failed": F.col("status_code") >= 400,
+        "xhr": scripted,
+        "api": scripted & _held(url, V.API_PARTS),
+        "images": ~scripted & kind.isin("image", "imageset"),
+        "scripts": ~scripted & kind.isin("script", "javascript"),
+        "suspicious": _held(url, V.SUSPICIOUS_PARTS),
+        "slow": F.col("response_time") > 5000,
+        "weibo_api": weibo & _held(url, ["weibo.com/ajax", "weibo.com/api"]),
+        "logins": weibo & _held(url, ["login", "passport"]),
+        "rate_limited": weibo & ((F.col("status_code") == 429) | _held(url, ["rate limit"])),
+        "video_api": bilibili & _held(url, ["bilibili.com/x/web-interface/view"]),
+        "user_api": bilibili & _held(url, ["bilibili.com/x/space", "bilibili.com/x/relation"]),
+        "cdn": bilibili & _held(url, ["hdslb.com", "bilivideo.com"]),
+    }
+    return requests.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+
+
+FLAGS = ["failed", "xhr", "api", "images", "scripts", "suspicious", "slow", "weibo_api", "logins", "rate_limited", "video_api", "user_api", "cdn"]
+
+
+def network_summary(requests: DataFrame, messages: DataFrame, page: str) -> DataFrame:
+    """By page: requests in all and by flag, console errors and warnings, and errors that tell of a block.
+
+    The requests behind a number are rows of ``request_flags``; they aren't gathered in one row a page.
+    Columns of messages: page, type, text.
+    """
+    counted = request_flags(requests).groupBy(page).agg(F.count("*").alias("total"), *(F.count_if(F.col(f)).alias(f) for f in FLAGS))
+    kind = F.lower("type")
+    console = messages.groupBy(page).agg(
+        F.count_if(kind == "error").alias("console_errors"),
+        F.count_if(kind == "warning").alias("console_warnings"),
+        F.count_if((kind == "error") & _held(F.col("text"), V.BLOCKED_MESSAGES)).alias("blocked"),
     )
+    joined = counted.join(console, page, "full")
+    return joined.na.fill(0, [x for x in joined.columns if x != page])
 
 
 def network_advice(summary: DataFrame) -> DataFrame:
@@ -90,5 +125,50 @@ def network_advice(summary: DataFrame) -> DataFrame:
         F.when(F.col("failed") > F.col("total") * 0.3, "many_failures"),
         F.when(F.col("suspicious") > 0, "suspicious_requests"),
         F.when(F.col("slow") > 0, "slow_requests"),
+        F.when(F.col("console_errors") > 5, "console_errors"),
+        F.when(F.col("blocked") > 0, "blocked"),
+        F.when(F.col("rate_limited") > 0, "rate_limited"),
     )
     return summary.withColumn("advice", F.filter(advice, lambda x: x.isNotNull()))
+
+
+def scheduler_cards(tasks: DataFrame) -> DataFrame:
+    """One row: tasks, running ones, their runs that succeeded and failed, and the mean of their mean durations."""
+    return tasks.agg(
+        F.count("*").alias("tasks"),
+        F.count_if(F.col("status") == "running").alias("running"),
+        F.coalesce(F.sum("successful_runs"), F.lit(0)).alias("succeeded"),
+        F.coalesce(F.sum("failed_runs"), F.lit(0)).alias("failed"),
+        F.round(F.avg("average_duration"), 4).alias("mean_duration"),
+    )
+
+
+def workflow_cards(workflows: DataFrame) -> DataFrame:
+    """One row: active workflows, their executions and the time saved, where a missing number counts as none."""
+    total = {name: F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("execution_count", "time_saved")}
+    return workflows.agg(F.count_if(F.col("status") == "active").alias("active"), *total.values())
+
+
+def integration_cards(integrations: DataFrame) -> DataFrame:
+    """One row: how many categories, and integrations that are connected."""
+    return integrations.agg(F.count_distinct("category").alias("categories"), F.count_if(F.col("status") == "connected").alias("connected"))
+
+
+def alert_cards(alerts: DataFrame) -> DataFrame:
+    """One row: alerts that are active, critical and active, and unread."""
+    active = F.col("status") == "active"
+    return alerts.agg(
+        F.count_if(active).alias("active"),
+        F.count_if(active & (F.col("severity") == "critical")).alias("critical"),
+        F.count_if(is_unread(F.col("read"))).alias("unread"),
+    )
+
+
+def platform_overview(posts: DataFrame) -> DataFrame:
+    """By platform: posts, views, engagement per view in percent, and the share that succeeded. Columns: platform, views, engaged, ok."""
+    return posts.groupBy("platform").agg(
+        F.count("*").alias("posts"),
+        F.sum("views").alias("views"),
+        F.round(F.sum("engaged") * 100.0 / F.nullif(F.sum("views"), F.lit(0)), 4).alias("engagement_rate"),
+        F.round(F.count_if(F.col("ok")) * 100.0 / F.count("*"), 4).alias("success_rate"),
+    )

@@ -111,6 +111,60 @@ def expired_tasks(tasks: DataFrame, as_of: Column, days: int = 7) -> Column:
     return ended & (F.col("completed_at") < as_of - F.make_dt_interval(days=F.lit(days)))
 
 
+def expired(as_of: Column) -> Column:
+    """Sessions, instances and cookies that go: expired or no longer active."""
+    return (F.col("expires_at") < as_of) | ~F.col("is_active")
+
+
+def older_than(time: Column, as_of: Column, days: int = 30) -> Column:
+    """What retention removes."""
+    return time < as_of - F.make_dt_interval(days=F.lit(days))
+
+
+def publishing(requests: DataFrame, outcomes: DataFrame, task: str = "task_id") -> DataFrame:
+    """Publish tasks by how far they have come: pending, processing once they are taken up, then as they end.
+
+    Columns: task, taken_up; task, outcome.
+    """
+    state = F.coalesce("outcome", F.when(F.col("taken_up"), "processing"), F.lit("pending"))
+    return requests.join(outcomes.select(task, "outcome"), task, "left").withColumn("status", state).drop("outcome")
+
+
+def taken_up(creators: DataFrame, as_of: Column, at_once: int = 3) -> DataFrame:
+    """Of the creators that are due the ones waiting longest, so many at once as may run beside those under way."""
+    running = creators.filter("crawl_status = 'crawling'").limit(at_once).count()
+    due = creators.filter(is_due(F.col("auto_crawl_enabled"), F.col("crawl_status"), F.col("next_crawl_at"), as_of))
+    return due.orderBy(F.asc_nulls_first("next_crawl_at"), "id").limit(at_once - running)
+
+
+def string_at(document: Column, key: str) -> Column:
+    """The text under a key of a JSON document, only if it is a text; else an empty one."""
+    value = F.try_variant_get(F.try_parse_json(document), f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.lit(""))
+
+
+def strings_at(document: Column, key: str) -> Column:
+    """The texts in the array under a key of a JSON document; what is no text is left out."""
+    values = F.try_variant_get(F.try_parse_json(document), f"$.{key}", "array<variant>")
+    texts = F.transform(F.filter(values, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.coalesce(texts, F.array().cast("array<string>"))
+
+
+def as_texts(df: DataFrame) -> DataFrame:
+    """Every column as text, times as ISO text; what is nested becomes JSON."""
+    def text(name: str, kind: str) -> Column:
+        if kind.startswith("timestamp"):
+            return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.to_json(name) if kind.startswith(("struct", "array", "map")) else F.col(name).cast("string")
+
+    return df.select(*(text(n, k).alias(n) for n, k in df.dtypes))
+
+
+def enabled(configurations: DataFrame, platform: str | None = None) -> DataFrame:
+    """Configurations that are enabled, of one platform if it is named."""
+    return equal_where_given(configurations.filter(F.coalesce("enabled", F.lit(False))), platform=platform)
+
+
 def with_status(tasks: DataFrame, events: DataFrame, key: str = "task_id") -> DataFrame:
     """Tasks by their last event: running sets the start, an end sets the end; an empty error changes nothing.
 

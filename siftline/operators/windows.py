@@ -9,14 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from siftline.sources.shared import stored
 
 
 def moving_mean(df: DataFrame, value: str, order: list[str], rows: int = 1000, block: int = 100_000) -> DataFrame:
     """``mean``: of the last ``rows`` rows, this one included, in the order given.
 
-    One global order is one task as a window. Here rows are dealt in ranges of the order, numbered, and cut
-    into blocks of ``block`` rows; a block also gets the last rows of the one before, and the window runs
-    within blocks.
+    One global order is one task as a window. Here rows are numbered by ``row_numbers`` and cut into blocks of
+    ``block`` rows; a block also gets the last rows of the one before, and windows run within blocks. Sums of
+    whole numbers are exact in any order, so their mean is the difference of two running sums; other numbers
+    are summed anew for each row.
     """
     numbered = row_numbers(df, order)
     own = (F.floor((F.col("__n") - 1) / block)).alias("__block")
@@ -24,28 +28,41 @@ def moving_mean(df: DataFrame, value: str, order: list[str], rows: int = 1000, b
     lead = numbered.filter(((F.col("__n") - 1) % block) >= block - rows + 1).select(
         "*", (F.floor((F.col("__n") - 1) / block) + 1).alias("__block"), F.lit(False).alias("__own")
     )
-    within = W.partitionBy("__block").orderBy("__n").rowsBetween(1 - rows, 0)
-    return spread.unionByName(lead).withColumn("mean", F.avg(value).over(within)).filter("__own").drop("__n", "__block", "__own")
-
-
-def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """``__n``: each row's place in a global order, from 1, without a task that holds all rows.
-
-    Quantiles of the first column cut rows into as many ranges as there are shuffle partitions; rows are
-    numbered within their range, after the number of rows in those before it. Nulls come first.
+    within = W.partitionBy("__block").orderBy("__n")
+    both = spread.unionByName(lead)
+    if isinstance(df.schema[value].dataType, IntegralType):
+        running = both.withColumn("__sum", F.sum(value).over(within)).withColumn("__count", F.count(value).over(within))
+        before = {c: F.coalesce(F.lag(c, rows).over(within), F.lit(0)) for c in ("__sum", "__count")}
+        held = F.nullif(F.col("__count") - before["__count"], F.lit(0))
+        mean = (F.col("__sum") - before["__sum"]).cast("double") / held
+        found = running.withColumn("mean", mean).drop("__sum", "__count")
+    else:
+        found = both.withColumn("mean", F.avg(value).over(within.rowsBetween(1 - rows, 0)))
+    return found.filter("__own").drop("__n", "__block", "__own")
+
+
+def row_numbers(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFrame:
+    """``__n``: each row's place in an order, of all rows or of those equal in ``by``, from 1; nulls come first.
+
+    No task holds all rows, nor all of a group: rows are sorted by range of ``by`` and ``order`` together, and a row's
+    place is that within its part, after what earlier parts hold of its group. The sorted rows are written
+    to the shared folder first, so that counting and numbering see the same parts.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col(order[0])
-    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)), F.lit(1.0))
-    found = df.agg(F.percentile_approx(first, shares)).first()[0] or []
-    bounds = F.array(*(F.lit(x) for x in sorted(set(found)))) if found else F.array()
-    place = F.when(first.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= first))) if found else F.lit(-1)
-    ranged = df.withColumn("__range", place)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(W.partitionBy("__range").orderBy(*order))
-    return ranged.withColumn("__k", local).join(F.broadcast(offsets), "__range").withColumn("__n", F.col("__k") + F.col("__before")).drop("__range", "__k", "__before")
+    spark = df.sparkSession
+    by = list(by)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    ranged = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    part, place = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.select(*by, part, place.alias("__place")).groupBy(*by, "__part").agg(F.count("*").alias("__size"), F.min("__place").alias("__first"))
+    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a part and group
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    renamed = offsets.select(F.col("__part").alias("__p"), "__first", "__before", *(F.col(c).alias(f"__{c}") for c in by))
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = ranged.withColumn("__part", part).join(renamed, same)
+    return joined.withColumn("__n", F.col("__before") + place - F.col("__first") + 1).select(*df.columns, "__n")
 
 
 def last_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -59,16 +76,26 @@ def status_changes(df: DataFrame, key: str, order: list[str], status: str) -> Da
 
 
 def evicted(df: DataFrame, platform: str, order: list[str], platform_cap: int = 5) -> DataFrame:
-    """The least recently used rows of each platform that stand in the way of one more."""
-    by_age = W.partitionBy(platform).orderBy(*order)
-    ranked = df.withColumn("age_rank", F.row_number().over(by_age)).withColumn("held", F.count("*").over(W.partitionBy(platform)))
-    return ranked.filter(F.col("age_rank") <= F.col("held") - platform_cap + 1)
+    """The least recently used rows of each platform that stand in the way of one more. ``order`` tells rows apart.
+
+    What stays of a platform is a handful of newest rows, which Spark cuts before it shuffles; what is older than
+    all of them goes. No task holds a platform.
+    """
+    if platform_cap <= 1:
+        return df
+    place = F.struct(*order)
+    rank = F.row_number().over(W.partitionBy(platform).orderBy(*(F.desc(c) for c in order)))
+    newest = df.withColumn("__rank", rank).filter(F.col("__rank") < platform_cap)
+    oldest = newest.groupBy(F.col(platform).alias("__platform")).agg(F.min(place).alias("__oldest_kept"))
+    older = F.col(platform).eqNullSafe(F.col("__platform")) & (place < F.col("__oldest_kept"))
+    return df.join(oldest, older).select(df.columns)
 
 
 def dated(df: DataFrame, time: str, as_of: Column, pos: str, batch: str) -> DataFrame:
     """Rows without a time get one: an hour before for each place in their batch."""
-    place = F.row_number().over(W.partitionBy(batch).orderBy(pos))
-    return df.withColumn(time, F.coalesce(F.col(time), as_of - F.make_dt_interval(hours=place)))
+    placed = row_numbers(df, [pos], [batch])
+    hours = F.make_dt_interval(hours=F.col("__n").cast("int"))
+    return placed.withColumn(time, F.coalesce(F.col(time), as_of - hours)).drop("__n")
 
 
 def rate_limited(df: DataFrame, client: str, rate: int, window: timedelta) -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,27 @@ def with_prefix(files: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
     return files.filter(F.startswith("path", F.lit(prefix))).orderBy("path").limit(limit if limit > 0 else 20)
 
 
+def by_hash_in_path(files: DataFrame, hash_text: str) -> DataFrame:
+    """The first file whose name holds a hash."""
+    return files.filter(F.contains("path", F.lit(hash_text))).orderBy("path").limit(1)
+
+
+def listing(files: DataFrame, folder: str) -> DataFrame:
+    """(path, is_folder, size, total_count): the files right in a folder and its folders, these with size 0.
+
+    The count is joined as one row.
+    """
+    below = files.filter(F.startswith("path", F.lit(folder.rstrip("/") + "/")))
+    rest = F.substring("path", len(folder.rstrip("/")) + 2, 1 << 20)
+    name = F.substring_index(rest, "/", 1)
+    found = below.groupBy(F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("path")).agg(
+        F.bool_or(F.contains(rest, F.lit("/"))).alias("is_folder"), F.max("size").alias("size")
+    )
+    total = found.agg(F.count("*").alias("total_count"))
+    sized = found.withColumn("size", F.when(F.col("is_folder"), 0).otherwise(F.col("size")))
+    return sized.crossJoin(F.broadcast(total))
+
+
 def by_content_hash(files: DataFrame, known: DataFrame, folder: str, as_of: int) -> DataFrame:
     """New contents with a key made of their MD5; known hashes, and later copies, are left out."""
     hashed = files.withColumn("hash", F.md5("content"))
@@ -78,11 +99,28 @@ def backed_up(df: DataFrame, path: str) -> None:
 
 
 def restored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A backup by its schema; fields that end in _at are times, text that is none becomes null."""
-    texts = StructType([StructField(f.name, StringType()) if f.name.endswith(("_at", "At")) else f for f in schema])
-    found = spark.read.schema(texts).json(path)
-    times = {f.name: F.try_to_timestamp(F.col(f.name)).cast(f.dataType) for f in schema if f.name.endswith(("_at", "At"))}
-    return found.withColumns(times) if times else found
+    """A backup by its schema; fields that end in _at are times, in nested documents too, text that is none becomes null."""
+    found = spark.read.schema(_as_text(schema)).json(path)
+    return found.select(*(_with_times(F.col(f.name), f.dataType, f.name).alias(f.name) for f in schema))
+
+
+def _is_time(name: str) -> bool:
+    return name.endswith(("_at", "At"))
+
+
+def _as_text(schema: StructType) -> StructType:
+    """The schema in which times are texts."""
+    def kind(f: StructField) -> DataType:
+        return StringType() if _is_time(f.name) else _as_text(f.dataType) if isinstance(f.dataType, StructType) else f.dataType
+
+    return StructType([StructField(f.name, kind(f)) for f in schema])
+
+
+def _with_times(c: Column, kind: DataType, name: str) -> Column:
+    if isinstance(kind, StructType):
+        inner = F.struct(*(_with_times(c.getField(f.name), f.dataType, f.name).alias(f.name) for f in kind))
+        return F.when(c.isNotNull(), inner)
+    return F.try_to_timestamp(c).cast(kind) if _is_time(name) else c
 
 
 def settings(path: str, default: dict) -> dict:

@@ -55,8 +55,8 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Metrics that break a threshold rule. Columns: metric, value; metric, comparison, threshold, severity."""
-    joined = metrics.join(F.broadcast(rules), "metric")
+    """Metrics that break a threshold rule; Spark sees from their size whether rules are broadcast. Columns: metric, value; metric, comparison, threshold, severity."""
+    joined = metrics.join(rules, "metric")
     over = (F.col("comparison") == "greater_than") & (F.col("value") > F.col("threshold"))
     under = (F.col("comparison") == "less_than") & (F.col("value") < F.col("threshold"))
     return joined.filter(over | under)

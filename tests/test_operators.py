@@ -217,10 +217,11 @@ def test_after_crawls(spark):
 
 
 def test_publish_outcomes(spark):
-    rows = [(1, True), (1, True), (2, True), (2, False), (3, False)]
-    df = spark.createDataFrame(rows, "task int, ok boolean")
-    got = {r["task"]: r["outcome"] for r in stats.publish_outcome(df, "task", "ok").collect()}
-    assert got == {1: "published", 2: "partial", 3: "failed"}
+    rows = [(1, True, ""), (1, True, ""), (2, True, ""), (2, False, "b"), (2, False, "a"), (3, False, "x")]
+    df = spark.createDataFrame(rows, "task int, ok boolean, message string")
+    tasks = spark.createDataFrame([(k,) for k in range(1, 5)], "task int")
+    got = {r["task"]: (r["outcome"], r["errors"]) for r in stats.publish_outcome(df, tasks, "task", "ok", "message").collect()}
+    assert got == {1: ("published", []), 2: ("partial", ["a", "b"]), 3: ("failed", ["x"]), 4: ("published", [])}
 
 
 def test_validators(spark):
