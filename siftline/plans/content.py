@@ -144,16 +144,44 @@ def hashtags_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def distinct_sql(items: str, most: int = 10) -> str:
+    return f"array_to_string(list_slice(list_filter({items}, lambda x, i: list_position({items}, x) = i), 1, {most}), '|')"
+
+
+TOPICS_SQL = f"list_filter(list_transform(regexp_extract_all(content, '#([^#]+)#', 1), lambda x: {trimmed('x')}), lambda x: x <> '')"
+MENTIONS_SQL = "list_transform(regexp_extract_all(content, '@{}', 1), lambda x: '@' || x)"
+XHS_SQL = "list_filter([" + ", ".join(f"'{w}'" for w in V.XHS_TAG_WORDS) + "], lambda x: contains(content, x))"
+TAGS_SQL = {
+    "xiaohongshu": f"list_concat({TOPICS_SQL}, {XHS_SQL})",
+    "bilibili": "list_concat([" + ", ".join(f"'{w}'" for w in V.BILIBILI_TAGS) + f"], {TOPICS_SQL})",
+    "weibo": f"list_concat({TOPICS_SQL}, {MENTIONS_SQL.format(chr(40) + '[^' + chr(92) + 's]+)')})",
+}
+TAGS_SQL["douyin"] = TAGS_SQL["weibo"]
+GENERAL_TAGS_SQL = r"list_concat(regexp_extract_all(content, '#([^#\s]+)#?', 1), " + MENTIONS_SQL.format(r"([^\s@]+)") + ")"
+
+
+@query(
+    f"WITH {CONTENTS_SQL}, t AS (SELECT id, platform, CASE platform "
+    + " ".join(f"WHEN '{p}' THEN {x}" for p, x in TAGS_SQL.items())
+    + f" ELSE {GENERAL_TAGS_SQL} END AS tags FROM contents) SELECT id, platform, {distinct_sql('tags')} AS tags FROM t"
+)
 def content_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
     by_platform = F.when(F.lit(False), F.array().cast("array<string>"))
     for p in ("weibo", "bilibili", "xiaohongshu", "douyin"):
         by_platform = by_platform.when(F.col("platform") == p, text.platform_tags(c, p))
-    return contents(spark, sf_dir).select("id", "platform", by_platform.otherwise(text.hashtags(c)).alias("tags"))
+    return contents(spark, sf_dir).select("id", "platform", by_platform.otherwise(text.hashtags(c)).alias("tags")).withColumn("tags", F.array_join("tags", "|"))
 
 
-@query()
+def author_sql(platform: str) -> str:
+    patterns, in_url, before, default = V.AUTHORS[platform]
+    found = [f"nullif(regexp_extract(content, '{p}', 1), '')" for p in patterns]
+    if in_url:
+        found.append(f"'{before}' || nullif(regexp_extract(url, '{in_url}', 1), '')")
+    return f"coalesce({', '.join(found)}, '{default}')"
+
+
+@query(f"WITH {CONTENTS_SQL} SELECT id, platform, CASE platform " + " ".join(f"WHEN '{p}' THEN {author_sql(p)}" for p in V.AUTHORS) + " ELSE author END AS author FROM contents")
 def content_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.when(F.lit(False), F.lit(""))
     for p in V.AUTHORS:
@@ -276,7 +304,18 @@ def quality_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.join(labels, "id").groupBy("quality", "worth", "basic").agg(F.count("*").alias("n"))
 
 
-@query()
+GREEDY_SQL = f"""WITH RECURSIVE {CONTENTS_SQL},
+ p AS (SELECT CAST(pos // 30 AS BIGINT) AS batch_id, pos, url, md5(lower({trimmed("title || content")})) AS content_hash,
+   row_number() OVER (PARTITION BY pos // 30 ORDER BY pos) AS k FROM contents WHERE {BASIC_SQL}),
+ r AS (SELECT batch_id, pos, url, content_hash, k, true AS kept, [url] AS urls, [content_hash] AS hashes FROM p WHERE k = 1
+   UNION ALL SELECT p.batch_id, p.pos, p.url, p.content_hash, p.k, NOT (list_contains(urls, p.url) OR list_contains(hashes, p.content_hash)),
+     CASE WHEN list_contains(urls, p.url) OR list_contains(hashes, p.content_hash) THEN urls ELSE list_append(urls, p.url) END,
+     CASE WHEN list_contains(urls, p.url) OR list_contains(hashes, p.content_hash) THEN hashes ELSE list_append(hashes, p.content_hash) END
+   FROM r JOIN p ON p.batch_id = r.batch_id AND p.k = r.k + 1)
+SELECT batch_id, pos, url, content_hash FROM r WHERE kept"""
+
+
+@query(GREEDY_SQL)
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     title, content = F.col("title"), F.col("content")
     posts = contents(spark, sf_dir).filter(classify.basic_quality(title, content))

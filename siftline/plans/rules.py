@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import classify, text, urls
 from siftline.functions import vocabulary as V
 from siftline.operators import records, store
-from siftline.plans.content import BASIC_SQL, TEXT_TITLE, WORTH_SQL, any_sql, count_sql, trimmed
+from siftline.plans.content import BASIC_SQL, CLEAN_SQL, GENERAL_TAGS_SQL, TAGS_SQL, TEXT_TITLE, WORTH_SQL, any_sql, author_sql, count_sql, distinct_sql, trimmed
 from siftline.plans.registry import CONTENTS_SQL, as_of, contents, query
 from siftline.plans.tables import TASKS_SQL, tasks
 from siftline.sources.tables import by_id, table, with_creator_defaults
@@ -35,8 +35,8 @@ BOTH = "lower(title || ' ' || substring(content, 1, 200))"
 
 
 @query(
-    f"""WITH {CONTENTS_SQL} SELECT id, NOT {any_sql(classify.NEWS_EXCLUDED, BOTH)} AND strlen(title) > 10 AND strlen(title) < 200 AND contains({BOTH}, 'the') AS news,
-      {any_sql(["that", "weibo", "热搜"], BOTH)} AS related, {count_sql(classify.RESULT_DYNAMIC, BOTH)} >= 1 AND NOT {any_sql(classify.RESULT_STATIC, BOTH)} AS dynamic
+    f"""WITH {CONTENTS_SQL} SELECT id, NOT {any_sql(V.NEWS_EXCLUDED, BOTH)} AND strlen(title) > 10 AND strlen(title) < 200 AND contains({BOTH}, 'the') AS news,
+      {any_sql(["that", "weibo", "热搜"], BOTH)} AS related, {count_sql(V.RESULT_DYNAMIC, BOTH)} >= 1 AND NOT {any_sql(V.RESULT_STATIC, BOTH)} AS dynamic
     FROM contents"""
 )
 def result_relatedness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +64,30 @@ def platform_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents(spark, sf_dir).select("id", "platform", fine.alias("fine"))
 
 
-@query()
+def _parse_sql() -> str:
+    fits = " ".join(
+        f"WHEN '{p}' THEN {count_sql(V.FEATURES[p][0], *TEXT_TITLE)} >= {V.FEATURES[p][1]} AND length(clean) >= {least}" for p, least in records.LEAST_CONTENT.items()
+    )
+    author = " ".join(f"WHEN '{p}' THEN {author_sql(p)}" for p in records.LEAST_CONTENT)
+    tags = " ".join(f"WHEN '{p}' THEN {TAGS_SQL[p]}" for p in records.LEAST_CONTENT)
+    videos = ", ".join(
+        f"nullif(CASE WHEN starts_with(regexp_extract(content, '{p}'), 'http') OR regexp_extract(content, '{p}') = '' THEN '' ELSE 'https://www.bilibili.com/video/' END || regexp_extract(content, '{p}'), '')"
+        for p in V.BILIBILI_VIDEOS
+    )
+    images = f"regexp_extract_all(content, '(?i){V.IMAGE_URL}')"
+    title = trimmed(f"regexp_replace(regexp_replace(substring(title, 1, {records.MOST_TITLE}), '{V.TITLE_SUFFIX}', '', 'g'), '\\s+', ' ', 'g')")
+    return f"""WITH {CONTENTS_SQL}, k AS ({CLEAN_SQL}), j AS (SELECT contents.*, clean FROM contents JOIN k ON k.id = contents.id WHERE {WORTH_SQL}),
+      s AS (SELECT *, coalesce(CASE platform {fits} ELSE false END, false) AS specific FROM j),
+      t AS (SELECT *, CASE WHEN specific THEN CASE platform {tags} END ELSE {GENERAL_TAGS_SQL} END AS found FROM s WHERE specific OR length(clean) >= 30)
+    SELECT id, platform, specific, {title} AS title, substring(clean, 1, {records.MOST_CONTENT}) AS content,
+      CASE WHEN specific THEN CASE platform {author} END ELSE '未知作者' END AS author, {distinct_sql("found")} AS tags, {distinct_sql(images, 5)} AS images,
+      CASE WHEN specific AND platform = 'bilibili' THEN coalesce({videos}, CASE WHEN contains(url, '/video/') THEN url END) END AS video_url FROM t"""
+
+
+@query(_parse_sql())
 def platform_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.parsed(contents(spark, sf_dir))
+    found = records.parsed(contents(spark, sf_dir))
+    return found.withColumns({c: F.array_join(c, "|") for c in ("tags", "images")})
 
 
 @query()
@@ -126,7 +147,7 @@ def status_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed,
       round(count(*) FILTER (event_type <> 'error')::DOUBLE / count(*), 6) AS success_rate, round(avg(value), 4) AS mean_duration,
-      CAST(sum(event_id % 3) AS BIGINT) AS posts FROM events"""
+      CAST(sum(event_id % 3) AS BIGINT) AS posts, round(sum(event_id % 3) / sum(value), 4) AS posts_per_second FROM events"""
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "events").select(
@@ -151,9 +172,9 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT request, bool_and(l_orderkey IS NOT NULL) AS complete FROM w LEFT JOIN k ON l_orderkey = o_orderkey GROUP BY 1"""
 )
 def all_posts_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("request")).agg(F.collect_list("o_orderkey").alias("ids"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("post_id"))
     known = table(spark, sf_dir, "lineitem").filter("l_quantity > 2").select(F.col("l_orderkey").alias("post_id"))
-    return records.all_there(asked, known, "request", "ids", "post_id")
+    return records.all_pairs_there(asked, known, "request", "post_id")
 
 
 @query(
