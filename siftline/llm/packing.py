@@ -38,6 +38,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 SHARD_TOKENS = 1_500_000
 K1, B = 1.2, 0.75
+#: Terms of more than one in so many documents of a shard are kept as rows over all documents.
+OFTEN = 10
 CACHE_WORDS = 300_000
 #: So much text is tokenized at a time.
 PART_BYTES = 4 << 20
@@ -227,24 +229,38 @@ class Shard:
         del found
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.end[doc] / mean_length))
         order = np.argsort(term, kind="stable")
-        self.posted, self.posted_weight = doc[order], weight[order]
+        doc, weight = doc[order], weight[order]
         self.terms, at = np.unique(term[order], return_index=True)
-        self.at = np.append(at, len(order))
+        at = np.append(at, len(order))
+        # terms of many documents are rows with a weight for each document, others are postings
+        often = np.diff(at) * OFTEN > n
+        self.rows: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(often).tolist():
+            self.rows[k] = np.bincount(doc[at[k] : at[k + 1]], weight[at[k] : at[k + 1]], n)
+        rare = ~np.repeat(often, np.diff(at))
+        self.posted, self.posted_weight = doc[rare], weight[rare]
+        self.at = np.concatenate([[0], np.cumsum(rare)])[at]
         self.unused = np.ones(n, bool)
-        self.indexed = n
+        self.columns = np.arange(n)
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share one of the seed's words, best first, scored by all words of the seed."""
-        unused = int(self.unused.sum())
-        if 4 * unused < 3 * self.indexed:  # used documents leave the index
+        if 4 * int(self.unused.sum()) < 3 * len(self.columns):  # used documents leave the index
             keep = self.unused[self.posted]
             self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
-            self.posted, self.posted_weight, self.indexed = self.posted[keep], self.posted_weight[keep], unused
+            self.posted, self.posted_weight = self.posted[keep], self.posted_weight[keep]
+            keep = self.unused[self.columns]
+            self.columns = self.columns[keep]
+            self.rows = {k: row[keep] for k, row in self.rows.items()}
         places = np.searchsorted(self.terms, self.term[self.first[seed] : self.first[seed + 1]])
-        ranges = list(zip(self.at[places].tolist(), self.at[places + 1].tolist(), strict=True))
-        docs = np.concatenate([self.posted[a:b] for a, b in ranges])
-        weights = np.concatenate([self.posted_weight[a:b] for a, b in ranges])
-        score = np.bincount(docs, weights, len(self.rests))
+        starts, sizes = self.at[places], self.at[places + 1] - self.at[places]
+        within = np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        score = np.bincount(self.posted[within], self.posted_weight[within], len(self.rests)).astype(float)  # of nothing it is whole numbers
+        common = np.zeros(len(self.columns))
+        for k in places.tolist():
+            if k in self.rows:
+                common += self.rows[k]
+        score[self.columns] += common
         score[~self.unused] = 0
         score[seed] = 0
         found = np.flatnonzero(score)
