@@ -24,9 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write rows to this application's part of the shared folder, which goes when the process ends, and read them again."""
+    """Write rows to this application's part of the shared folder, which goes when the process ends, and read them again.
+
+    This cuts lineage, so that a lost executor costs only the tasks it ran, and makes several readers share one
+    computation. Columns that a reader doesn't want are not read.
+    """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/siftline-rows-{spark.sparkContext.applicationId}"
+    folder = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
     if folder not in _own:
         _own.add(folder)
         atexit.register(_removed, spark, folder)
@@ -36,6 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, by whatever file system has it."""
     context = spark.sparkContext
     if context._jsc is not None:  # a stopped context can't reach the file system any more
         folder = context._jvm.org.apache.hadoop.fs.Path(path)

@@ -21,6 +21,8 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     context = session.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(f"{session.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/siftline-{context.applicationId}")
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    shared = session.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{shared}/siftline-{context.applicationId}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
     session.stop()

@@ -162,6 +162,22 @@ def test_page_extract(spark):
     assert (two["title"], two["content"], two["links"]) == ("", "", [])
 
 
+@pytest.mark.parametrize(
+    ("page", "css", "content"),
+    [
+        ("<article>a</article><main>m</main>", None, "m"),
+        ("<div class=post>p</div><div class=news-content>n</div><div id=content>c</div>", None, "n"),
+        ("<nav><main>no</main></nav><div class='post-body'>b<aside>x</aside></div>", None, "b"),
+        ("<body><header>h</header>t<footer>f</footer></body>", None, "t"),
+        ("<main>m</main><p class=x>1 </p><p class=x> 2</p>", ".x", "1 2"),
+        ("<main>m</main>", ".missing", "m"),
+        ("", None, ""),
+    ],
+)
+def test_main_text(page, css, content):
+    assert html.main_text(html.Tree(page).root, css) == content
+
+
 def test_selectors_results_and_markdown():
     page = '<div class="r a"><h3><a href="http://x">T</a></h3><p class="s">S</p></div><div class="r"><h3>none</h3></div>'
     assert html.results(page, "div.r", "h3", "p.s") == [{"title": "T", "url": "http://x", "snippet": "S"}]
