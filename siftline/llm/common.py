@@ -1,78 +1,28 @@
-"""What the corpus operators share: reading tables, shared storage, words, batches."""
+"""What the corpus operators share: words, batches, what a worker keeps; tables and shared storage are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftline.sources.shared import stored  # noqa: F401  the operators import it from here
+from siftline.sources.tables import table  # noqa: F401
+
 #: The six characters that end a word: \x20 and \x09-\x0D. ``bytes.split()`` cuts at just these.
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_own_dirs: set[str] = set()
 _owner: str | None = None
 _dropped_by: list[Callable[[], object]] = []
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of ``sf_dir``, read by Spark alone (any file system will do)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a local folder is set if the master is local (tests, notebooks on one machine).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; it goes when the process ends in order."""
-    path = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
-    if path not in _own_dirs:
-        _own_dirs.add(path)
-        atexit.register(_removed, spark, path)
-    return path
-
-
-def _removed(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None:  # a stopped context can't reach the file system any more
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def stored(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts lineage, so that a lost executor costs only the tasks it ran, and makes
-    several readers share one computation. Columns that a reader doesn't want are not read.
-    """
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped_by(drop: Callable[[], object]) -> None:
     """Have ``drop`` called when this process begins to work for another operator."""
     _dropped_by.append(drop)
