@@ -209,6 +209,19 @@ def per_page(pages: DataFrame, read: Callable[[str, str], object], kind: str) ->
     return pages.select("page_id", "url", "html").mapInArrow(rows, schema)
 
 
+def attempted(pages: DataFrame, read: Callable[[str, str], object], kind: str) -> DataFrame:
+    """(page_id, found, error): as ``per_page``; a page that can't be read gives a row with what was wrong instead."""
+
+    def safely(page: str, url: str) -> dict:
+        try:
+            return {"found": read(page, url), "error": None}
+        except Exception as e:
+            return {"found": None, "error": str(e)}
+
+    found = per_page(pages, safely, f"struct<found:{kind},error:string>")
+    return found.select("page_id", "found.*")
+
+
 def page_fields(pages: DataFrame, selectors: dict[str, str], many: tuple[str, ...] = ("images", "comments", "tags")) -> DataFrame:
     """(page_id, one, many): maps of what each selector finds, the fields of ``many`` as arrays."""
 

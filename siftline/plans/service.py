@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions import text
+from siftline.functions import html, text
 from siftline.operators import records, sessions, stats, store, windows
 from siftline.plans.registry import AS_OF, CONTENTS_SQL, as_of, contents, query
 from siftline.plans.tables import PLATFORM_OF, SESSIONS_SQL, TASKS_SQL, platform_by, tasks
 from siftline.plans.tables import sessions as session_rows
-from siftline.sources.tables import by_hash_in_path, listing, response_posts, with_prefix, with_task_defaults
+from siftline.sources.shared import own_path
+from siftline.sources.tables import backed_up, by_content_hash, by_hash_in_path, listing, response_posts, restored, seeded, with_prefix, with_task_defaults
 from siftline.sources.tables import table as read
 from siftline.streaming import requests
 
@@ -516,3 +517,61 @@ def labels_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = (F.col("event_id") % 90 + 60) * 60_000
     every = text.interval_label(ms, F.lit(""), F.lit(False))
     return read(spark, sf_dir, "events").select("event_id", text.engagement_bucket(F.col("value")).alias("bucket"), every.alias("every"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{n}', '{h}')" for p, n, h in sessions.PLATFORMS) + ") t(platform, display_name, home)")
+def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.platforms(spark)
+
+
+@query(
+    """WITH f AS (SELECT '/in/' || doc_id || '.txt' AS path, md5(text) AS hash FROM documents),
+      n AS (SELECT * FROM f WHERE hash NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY path) = 1)
+    SELECT path, hash, 'media/' || hash || '_17.txt' AS key FROM n"""
+)
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    given = read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.encode("text", "utf-8").alias("content"))
+    known = given.filter("doc_id % 10 = 0").select(F.md5("content").alias("hash")).distinct()
+    return by_content_hash(given.drop("doc_id"), known, "media", 17).select("path", "hash", "key")
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at, o_orderdate + INTERVAL 1 DAY AS ended_at, o_orderstatus AS status FROM orders")
+def backup_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON and restored, a time in a nested document too."""
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("created_at"),
+        F.struct((F.col("o_orderdate") + F.expr("interval 1 day")).alias("ended_at"), F.col("o_orderstatus").alias("status")).alias("run"),
+    )
+    path = own_path(spark, "backup")
+    backed_up(rows, path)
+    return restored(spark, path, rows.schema).select("id", "created_at", "run.ended_at", "run.status")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey < 5 UNION ALL SELECT r_regionkey + 100 FROM region")
+def seeded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seed goes where there are no rows, and nowhere else."""
+    nations = read(spark, sf_dir, "nation").select("n_nationkey")
+    regions = read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("n_nationkey"))
+    kept = seeded(nations.filter("n_nationkey < 5"), regions)
+    return kept.union(seeded(nations.filter("n_nationkey < 0"), regions))
+
+
+@query(
+    f"""WITH {SESSIONS_SQL} SELECT platform, count(*) AS total, count(*) FILTER (coalesce(is_active AND expires_at > {AS_OF_SQL}, false)) AS active,
+    count(*) FILTER (coalesce(is_logged_in, false)) AS logged_in FROM (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN is_logged_in END AS is_logged_in) FROM sessions) GROUP BY ROLLUP (platform)"""
+)
+def instance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instances = session_rows(spark, sf_dir).withColumn("is_logged_in", F.when(F.col("user_id") % 2 == 0, F.col("is_logged_in")))
+    return stats.session_stats(instances, as_of())
+
+
+@query("SELECT page_id, CASE WHEN length(html) % 2 = 0 THEN CAST(length(html) AS BIGINT) END AS found, CASE WHEN length(html) % 2 = 1 THEN 'odd' END AS error FROM pages")
+def page_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def even(page: str, _: str) -> int:
+        if len(page) % 2:
+            raise ValueError("odd")
+        return len(page)
+
+    return html.attempted(read(spark, sf_dir, "pages"), even, "bigint")

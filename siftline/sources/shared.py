@@ -23,18 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in this application's part of the shared folder, which goes when the process ends."""
+    folder = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own.add(folder)
+        atexit.register(_removed, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write rows to this application's part of the shared folder, which goes when the process ends, and read them again.
+    """Write rows to the shared folder and read them again.
 
     This cuts lineage, so that a lost executor costs only the tasks it ran, and makes several readers share one
     computation. Columns that a reader doesn't want are not read.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
-    if folder not in _own:
-        _own.add(folder)
-        atexit.register(_removed, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = own_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
