@@ -306,3 +306,17 @@ def saved_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, history = rows.filter("pos % 3 <> 0"), rows.filter("pos % 3 = 0")
     fresh = dedup.saved(batch, history, 17)
     return fresh.select("pos", "origin_id").crossJoin(F.broadcast(dedup.save_counts(batch, fresh)))  # one row
+
+
+#: What stands between tags, stripped, without anything between; the entities are those that the pages hold.
+TEXT_SQL = r"""array_to_string(list_transform(string_split_regex({}, '<[^>]*>'),
+  lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'),
+    '&quot;', '"'), '&#39;', chr(39)), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), '')"""
+
+
+@query(
+    f"""SELECT page_id, regexp_replace({TEXT_SQL.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '^\\s+|\\s+$', '', 'g') AS title,
+      {TEXT_SQL.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS content FROM pages"""
+)
+def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_extract(table(spark, sf_dir, "pages")).select("page_id", "title", "content")

@@ -105,12 +105,24 @@ def html_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+CREATOR_PAGES_SQL = """WITH c AS (SELECT c_custkey, list_extract(['weibo', 'bilibili', 'xiaohongshu', 'douyin', 'news'], CAST(c_custkey % 5 AS INTEGER) + 1) AS platform,
+    CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE replace(c_name, '#', '_') END AS creator, c_custkey % 2 = 0 AS number FROM customer)
+SELECT c_custkey, platform, creator, CASE
+  WHEN platform = 'weibo' AND number THEN 'https://weibo.com/u/' || creator || '/home|https://weibo.com/u/' || creator || '?tabtype=feed|https://weibo.com/' || creator || '?is_all=1'
+  WHEN platform = 'weibo' THEN 'https://weibo.com/' || creator || '?tabtype=feed|https://weibo.com/u/' || creator || '?tabtype=feed|https://weibo.com/' || creator || '?is_all=1'
+  WHEN platform = 'bilibili' AND number THEN 'https://space.bilibili.com/' || creator || '/dynamic|https://space.bilibili.com/' || creator || '/video|https://space.bilibili.com/' || creator
+  WHEN platform = 'bilibili' THEN 'https://www.bilibili.com/v/popular/all|https://t.bilibili.com|https://www.bilibili.com/v/popular/weekly'
+  WHEN platform = 'xiaohongshu' THEN 'https://www.xiaohongshu.com/explore|https://www.xiaohongshu.com/explore/homefeed.json|https://www.xiaohongshu.com/user/profile/' || creator
+  WHEN platform = 'douyin' THEN 'https://www.douyin.com/recommend|https://www.douyin.com/hot|https://www.douyin.com/search/' || creator
+  ELSE 'https://www.zhihu.com/hot|https://www.bilibili.com/v/popular/all' END AS pages FROM c"""
+
+
+@query(CREATOR_PAGES_SQL)
 def creator_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     creator = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise(F.replace("c_name", F.lit("#"), F.lit("_")))
     platform = F.get(F.array(*map(F.lit, ["weibo", "bilibili", "xiaohongshu", "douyin", "news"])), (F.col("c_custkey") % 5).cast("int"))
     found = table(spark, sf_dir, "customer").select("c_custkey", platform.alias("platform"), creator.alias("creator"))
-    return found.withColumn("pages", urls.platform_pages(F.col("creator"), F.col("platform")))
+    return found.withColumn("pages", F.array_join(urls.platform_pages(F.col("creator"), F.col("platform")), "|"))
 
 
 @query(
