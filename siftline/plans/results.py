@@ -311,7 +311,7 @@ def saved_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What stands between tags, stripped, without anything between; the entities are those that the pages hold.
 TEXT_SQL = r"""array_to_string(list_transform(string_split_regex({}, '<[^>]*>'),
   lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'),
-    '&quot;', '"'), '&#39;', chr(39)), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), '')"""
+    '&quot;', '"'), '&#39;', chr(39)), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '&amp', '&'), '^\s+|\s+$', '', 'g')), '')"""
 
 
 @query(
