@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat_format import ORACLE as CHAT_FORMAT
 from .embedding_dedup import THRESHOLD
+from .merkle import ORACLE as MERKLE_MANIFEST
+from .phrases import ORACLE as COLLOCATIONS
 from .quality_rules import MARKS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MENU, MIN_WORDS, PHRASES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,4 +71,6 @@ ORACLES = {
     "op3_chat_format": CHAT_FORMAT,
     "op5_embedding_dedup": EMBEDDING_DEDUP,
     "op7_quality_rules": QUALITY_RULES,
+    "op12_collocations": COLLOCATIONS,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }

@@ -9,12 +9,15 @@ from .common import table
 from .embedding_dedup import embedding_groups
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
+from .merkle import merkle_manifest
 from .oracles import ORACLES
 from .packing import pack
+from .phrases import collocations
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .sentencepiece_nbest import encode_nbest
+from .sharding import shard_map
 from .simhash import simhash_groups
 
 
@@ -58,6 +61,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_map(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -73,5 +88,8 @@ QUERIES = {
         op8_packing,
         op9_secret_scan,
         op10_quality_classifier,
+        op11_hilbert_shards,
+        op12_collocations,
+        op13_merkle_manifest,
     )
 }
