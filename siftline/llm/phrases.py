@@ -10,7 +10,7 @@ by a bit of another is counted in full like any other and fails by its own count
 are exact at any fill. Phrases are counted by their words, never by hashes: in a task once a batch, then by Spark.
 
 No key holds more rows than there are batches, since batches count before rows are shuffled, and languages are never
-grouped whole: the best of each are cut in each part before they meet.
+grouped whole: candidates are ranked by ranges of language and score.
 
 Defined results: a null text is empty, a null language ``und``. Texts without words, and languages without candidates,
 have no rows. Repeated rows count as often as they stand. Phrases never cross the end of a piece or a text.
@@ -18,17 +18,18 @@ have no rows. Repeated rows count as often as they stand. Phrases never cross th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.operators.windows import row_numbers
+
 from .common import as_bytes, as_text, in_batches, stored
 
 MIN_COUNT = 30
@@ -39,13 +40,27 @@ CONTAINED = 80
 SCALE = 2_000_000
 BITMAP_BITS = 1 << 27
 NO_LANG = "und"
+#: So many phrases leave a task at a time.
+OUT_ROWS = 1 << 18
 
-#: Ends of pieces become line feeds.
-ENDS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-TOKEN = re.compile(rb"[^ \t\n]+|\n")
+#: A-Z become lower, ends of pieces line feeds, tabs spaces.
+PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 LEVEL = "lang string, phrase string, n long"
 
 
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts as numbers, and the words by number; 0 is the end of a piece. All texts at once, byte by byte."""
+    data = np.frombuffer(b"\n" + b"\n".join(texts).translate(PLAIN), np.uint8)
+    used, end = data != 32, data == 10
+    starts = used.copy()
+    starts[1:] &= ~used[:-1] | end[1:] | end[:-1]
+    packed, places = data[used], np.flatnonzero(starts[used])
+    offsets = np.append(places, len(packed)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_utf8(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    known = words.dictionary_encode()
+    return known.indices.to_numpy(), known.dictionary.cast(pa.string())
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -63,37 +78,35 @@ def held(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def counted(lang: str, texts: list[bytes], size: int, bitmap: np.ndarray | None) -> Iterator[tuple[str | None, int]]:
-    """(phrase, occurrences) of the phrases of ``size`` words in some texts whose parts are in the bitmap.
+def counted(lang: str, texts: list[bytes], size: int, bitmap: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The phrases of ``size`` words in some texts whose parts are in the bitmap, and how often each stands there.
 
-    For single words all, and a row without a phrase for the number of words.
+    For single words all, and null for the number of words.
     """
-    known: dict[bytes, int] = {b"\n": 0}
-    ids = np.fromiter((known.setdefault(t, len(known)) for t in TOKEN.findall(b"\n".join(texts).lower().translate(ENDS))), np.int64)
-    words = list(known)
+    ids, words = words_of(texts)
     if size == 1:
         found = np.bincount(ids, minlength=len(words))
-        found[0] = 0
-        yield None, int(found.sum())
-        yield from ((words[k].decode(), int(found[k])) for k in found.nonzero()[0].tolist())
+        found[0] = len(ids) - found[0]
+        yield pa.concat_arrays([pa.nulls(1, pa.string()), words[1:]]), found
         return
-    if len(ids) < size:
-        return
-    hashes = word_hashes(words)[ids]
-    inside = ids[: len(ids) - size + 2] > 0  # a phrase of size - 1 words starts here
+    here = max(len(ids) - size + 2, 0)
+    inside = ids[:here] > 0  # a phrase of size - 1 words starts here
     for k in range(1, size - 1):
-        inside = inside & (ids[k : len(ids) - size + 2 + k] > 0)
-    starts = inside.nonzero()[0]
-    frequent = np.zeros(len(inside), bool)
-    frequent[starts[held(bitmap, gram_bits(lang, hashes, starts, size - 1))]] = True
-    starts = (frequent[:-1] & frequent[1:]).nonzero()[0]
-    if not len(starts):
-        return
-    place = ids[starts]
+        inside = inside & (ids[k : here + k] > 0)
+    starts = np.flatnonzero(inside)
+    frequent = np.zeros(here, bool)
+    frequent[starts[held(bitmap, gram_bits(lang, word_hashes(as_bytes(words))[ids], starts, size - 1))]] = True
+    starts = np.flatnonzero(frequent[:-1] & frequent[1:])
+    place = ids[starts].astype(np.int64)
     for k in range(1, size):  # equal phrases get equal numbers, exactly
-        _, first, place, total = np.unique(place * len(words) + ids[starts + k], return_index=True, return_inverse=True, return_counts=True)
-    for at, n in zip(starts[first].tolist(), total.tolist(), strict=True):
-        yield b" ".join(words[i] for i in ids[at : at + size].tolist()).decode(), n
+        numbered = pa.array(place * len(words) + ids[starts + k]).dictionary_encode()
+        place = numbered.indices.to_numpy().astype(np.int64)
+    at = np.zeros(len(numbered.dictionary), np.int64)
+    at[place] = starts  # one place of each phrase
+    total = np.bincount(place, minlength=len(at))
+    for k in range(0, len(at), OUT_ROWS):
+        some = at[k : k + OUT_ROWS]
+        yield pc.binary_join_element_wise(*(words.take(pa.array(ids[some + j])) for j in range(size)), " "), total[k : k + OUT_ROWS]
 
 
 def level(docs: DataFrame, size: int, bitmap: Broadcast | None) -> DataFrame:
@@ -104,9 +117,8 @@ def level(docs: DataFrame, size: int, bitmap: Broadcast | None) -> DataFrame:
         for lang, text in zip(as_text(batch.column(0)), as_bytes(batch.column(1)), strict=True):
             by_lang.setdefault(lang, []).append(text)
         for lang, texts in by_lang.items():
-            found = list(counted(lang, texts, size, bitmap.value if bitmap else None))
-            phrases, sums = pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), phrases, sums], names=["lang", "phrase", "n"])
+            for phrases, n in counted(lang, texts, size, bitmap.value if bitmap else None):
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     return in_batches(given, rows, LEVEL, __name__).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -178,9 +190,9 @@ def collocations(docs: DataFrame, top: int = TOP, most_words: int = MAX_WORDS, l
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
     found, totals = levels(docs, most_words, least)
     alone = standing_alone(scored(found), percent)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = alone.withColumn("rank", rank).filter(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    falling = alone.selectExpr("*", "-score low", "-a rare")
+    best = row_numbers(falling, ["low", "rare", "phrase"], ["lang"]).filter(F.col("__n") <= top)
+    return best.join(totals, "lang").select("lang", F.col("__n").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 #: The same in DuckDB: every phrase counted, nothing pruned.
