@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.plans import cases, content, results, rules, service, tables  # noqa: F401  they register their queries
+from siftline.plans import cases, content, editing, results, rules, service, tables  # noqa: F401  they register their queries
 from siftline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

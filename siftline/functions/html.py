@@ -1,7 +1,7 @@
 """Extraction from HTML columns where regular expressions won't do.
 
 Pages are parsed by the standard library into a small tree; void and unclosed tags are borne. Selectors
-are tags, .class, #id, [attr], [attr*="x"] and descendants of them.
+are tags, .class, #id, [attr], [attr*="x"] and descendants of them; a user's own may be any that ``selectors`` knows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
 from . import vocabulary as V
+from .selectors import matcher
 
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
@@ -140,7 +141,7 @@ def prune(root: Node, dropped: list[str]) -> None:
 
 def main_text(root: Node, css: str | None = None) -> str:
     """The text of all that a selector finds, else of the first place of content; then what is no content is gone from the tree."""
-    found = list(select(root, css)) if css else []
+    found = matcher((css,)).hits(root)[0] if css else []
     if found:
         return " ".join(map(joined_text, found))
     prune(root, V.NO_CONTENT)
@@ -181,14 +182,20 @@ def extracted(html: str | None, url: str | None, css: str | None = None, pruned:
 
 
 def page_extract(pages: DataFrame, css: str | None = None, pruned: bool = False) -> DataFrame:
-    """page_id, url and the columns of SCHEMA. text: all text by lines; of pruned pages without anything between its pieces."""
+    """page_id, url and the columns of SCHEMA. text: all text by lines; of pruned pages without anything between its pieces.
+
+    A page that can't be read has nulls in them.
+    """
     struct = {k: pa.list_(pa.struct([(n, pa.string()) for n in names])) for k, names in (("links", ("url", "text", "title")), ("images", ("url", "alt", "title")))}
     kinds = [pa.string()] * 3 + [struct["links"], struct["images"], pa.map_(pa.string(), pa.string())]
     names = ["page_id", "url", "title", "content", "text", "links", "images", "metadata"]
+    if css:
+        matcher((css,))  # what is wrong with a selector is said before a job begins
+    read, nothing = or_none(lambda page, url: extracted(page, url, css, pruned)), (None,) * len(kinds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [extracted(h, u, css, pruned) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [read(h, u) or nothing for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = list(zip(*made, strict=True)) or [[] for _ in kinds]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=names)
@@ -196,8 +203,24 @@ def page_extract(pages: DataFrame, css: str | None = None, pruned: bool = False)
     return pages.select("page_id", "url", "html").mapInArrow(rows, f"page_id long, url string, {SCHEMA}")
 
 
+def or_none(read: Callable[..., object]) -> Callable[..., object]:
+    """``read``, but null for a page that it fails on."""
+
+    def tried(*given: object) -> object:
+        try:
+            return read(*given)
+        except Exception:
+            return None
+
+    return tried
+
+
 def per_page(pages: DataFrame, read: Callable[[str, str], object], kind: str) -> DataFrame:
-    """(page_id, found): what ``read`` makes of each page's HTML and address, both empty for null; of the SQL type ``kind``."""
+    """(page_id, found): what ``read`` makes of each page's HTML and address, both empty for null; of the SQL type ``kind``.
+
+    A page that can't be read gives null, and the others are none the worse; ``attempted`` tells what was wrong with it.
+    """
+    read = or_none(read)
     schema = StructType().add("page_id", pages.schema["page_id"].dataType).add("found", DataType.fromDDL(kind))
     arrow = to_arrow_type(schema["found"].dataType)
 
@@ -264,12 +287,7 @@ def markdown(html: str) -> str:
     """Headings, paragraphs, links, lists and emphasis of a page as Markdown."""
     marks = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
 
-    def of(node: Node | str) -> str:
-        if isinstance(node, str):
-            return re.sub(r"\s+", " ", node)
-        if node.tag in ("script", "style", "title", "head"):
-            return ""
-        inner = "".join(map(of, node.children))
+    def marked(node: Node, inner: str) -> str:
         if re.fullmatch("h[1-6]", node.tag):
             return f"\n\n{'#' * int(node.tag[1])} {inner.strip()}\n\n"
         if node.tag == "a" and node.attrs.get("href"):
@@ -282,4 +300,17 @@ def markdown(html: str) -> str:
             return "\n"
         return f"{marks[node.tag]}{inner.strip()}{marks[node.tag]}" if node.tag in marks and inner.strip() else inner
 
-    return re.sub(r"\n{3,}", "\n\n", of(Tree(html).root)).strip()
+    out: list[str] = []
+    begun: list[tuple[Node, int]] = []  # elements that aren't over, with the place where what they hold begins
+    todo: list[Node | str | None] = [Tree(html).root]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            node, at = begun.pop()
+            out[at:] = [marked(node, "".join(out[at:]))]
+        elif isinstance(x, str):
+            out.append(re.sub(r"\s+", " ", x))
+        elif x.tag not in ("script", "style", "title", "head"):
+            begun.append((x, len(out)))
+            todo += [None, *reversed(x.children)]
+    return re.sub(r"\n{3,}", "\n\n", out[0]).strip()

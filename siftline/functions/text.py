@@ -38,15 +38,19 @@ def collapse_ws(c: Column) -> Column:
     return trim_ws(let(c, collapsed))
 
 
+def or_empty(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
 def content_sha256(title: Column, content: Column) -> Column:
-    """Of ``title|content`` on one line, trimmed."""
-    line = F.replace(F.concat(title, F.lit("|"), content), F.lit("\n"), F.lit(" "))
+    """Of ``title|content`` on one line, trimmed; null is as empty."""
+    line = F.replace(F.concat(or_empty(title), F.lit("|"), or_empty(content)), F.lit("\n"), F.lit(" "))
     return F.sha2(F.replace(trim_ws(line), F.lit("\r"), F.lit("")), 256)
 
 
 def content_md5(title: Column, content: Column, cut: int | None = None) -> Column:
-    """Of title and content, cut first, then trimmed and lower-cased."""
-    both = F.concat(title, content)
+    """Of title and content, cut first, then trimmed and lower-cased; null is as empty."""
+    both = F.concat(or_empty(title), or_empty(content))
     return F.md5(F.lower(trim_ws(F.substring(both, 1, cut) if cut else both)))
 
 
@@ -130,9 +134,12 @@ def _mentions(c: Column, pattern: str) -> Column:
     return F.transform(_all(c, pattern), lambda x: F.concat(F.lit("@"), x))
 
 
+HASHTAG = r"#([^#\s]+)#?"
+
+
 def hashtags(c: Column) -> Column:
     """Hashtags, then mentions with their @, distinct in order of appearance, ten at most."""
-    return F.slice(F.array_distinct(F.concat(_all(c, r"#([^#\s]+)#?"), _mentions(c, r"@([^\s@]+)"))), 1, 10)
+    return F.slice(F.array_distinct(F.concat(_all(c, HASHTAG), _mentions(c, r"@([^\s@]+)"))), 1, 10)
 
 
 def topics(c: Column) -> Column:
@@ -146,7 +153,8 @@ def platform_tags(c: Column, platform: str) -> Column:
         known = F.filter(F.array(*map(F.lit, V.XHS_TAG_WORDS)), lambda k: F.contains(c, k))
         found = F.concat(topics(c), known)
     elif platform == "bilibili":
-        found = F.concat(F.array(*map(F.lit, V.BILIBILI_TAGS)), topics(c))
+        named = [_all(c, p) for p in (HASHTAG, *V.BILIBILI_CATEGORIES)]
+        found = F.concat(F.array(*map(F.lit, V.BILIBILI_TAGS)), *named)
     else:
         found = F.concat(topics(c), _mentions(c, r"@([^\s]+)"))
     return F.slice(F.array_distinct(found), 1, 10)

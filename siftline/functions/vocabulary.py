@@ -355,6 +355,7 @@ AUTHORS = {
 }
 XHS_TAG_WORDS = ["种草", "好物", "推荐", "测评", "攻略", "教程", "分享"]
 BILIBILI_TAGS = ["bilibili", "B站", "哔哩哔哩"]
+BILIBILI_CATEGORIES = [r"(游戏|科技|生活|娱乐|音乐|舞蹈|动画|番剧|电影|电视剧)", r"(UP主|直播|投稿|原创|转载)"]
 BILIBILI_VIDEOS = [r"https?://www\.bilibili\.com/video/[^\s]+", r"https?://b23\.tv/[^\s]+", r"BV[0-9A-Za-z]+", r"av\d+"]
 IMAGE_URL = r"https?://[^\s]+\.(?:jpg|jpeg|png|gif|webp)"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.classify import basic_quality, relevance
-from siftline.functions.text import content_md5, edge_hash
+from siftline.functions.text import content_md5, edge_hash, or_empty
 
 YEAR = "interval 365 days"
 
@@ -68,12 +68,15 @@ def greedy(posts: DataFrame, batch: str = "batch_id") -> DataFrame:
     return posts.groupBy(batch).applyInPandas(scan, schema)
 
 
-def new_contents(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows of a batch whose hash history doesn't have, nor, if they have a url, their (url, platform); each hash once."""
+def new_contents(batch: DataFrame, history: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Rows of a batch whose hash history doesn't have, nor, if they have a url, their (url, platform); each hash once.
+
+    A row without a hash is like no other by it. ``addresses`` has history's (url, platform), where they are kept apart.
+    """
     by_hash = batch.join(history.select("content_hash"), "content_hash", "left_anti")
-    known = history.filter("url <> ''").select("url", "platform")
+    known = (history if addresses is None else addresses).filter("url <> ''").select("url", "platform")
     by_url = by_hash.join(known, ["url", "platform"], "left_anti")
-    once = keep_first(by_url, ["content_hash"], ["pos"])
+    once = keep_first(by_url.filter("content_hash is not null"), ["content_hash"], ["pos"]).unionByName(by_url.filter("content_hash is null"))
     named = once.filter("url <> ''")
     return keep_first(named, ["url", "platform"], ["pos"]).unionByName(once.filter("coalesce(url, '') = ''"))
 
@@ -97,7 +100,7 @@ def incremental(posts: DataFrame, history: DataFrame) -> DataFrame:
 
     Columns of posts: pos, creator_id, post_id, title, content; of history: creator_id, post_id, content_hash.
     """
-    hashed = posts.withColumn("content_hash", edge_hash(F.concat_ws("|", "title", "content")))
+    hashed = posts.withColumn("content_hash", edge_hash(F.concat(or_empty(F.col("title")), F.lit("|"), or_empty(F.col("content")))))
     by_hash = hashed.join(history.select("content_hash"), "content_hash", "left_anti")
     known = history.filter("post_id <> ''").select("creator_id", "post_id")
     fresh = keep_first(by_hash.join(known, ["creator_id", "post_id"], "left_anti"), ["content_hash"], ["pos"])

@@ -42,7 +42,8 @@ def linked_titles(page: Column, most: int = 10) -> Column:
 
     def described(x: Column) -> Column:
         # what follows the first place of the title from which such a text can be reached on the same line
-        after = F.concat(F.lit("\\Q"), x["title"], F.lit("\\E.*?<[^>]*>([^<]{20,200})<"))
+        quoted = F.replace(x["title"], F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # a quotation ends at \E, wherever it stands
+        after = F.concat(F.lit("\\Q"), quoted, F.lit("\\E.*?<[^>]*>([^<]{20,200})<"))
         text = F.call_function("regexp_extract", page, after, F.lit(1))
         return F.struct(x["title"].alias("title"), x["url"].alias("url"), F.trim(text).alias("snippet"))
 

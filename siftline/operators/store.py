@@ -7,6 +7,7 @@ a condition never deletes a row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OBJECT_ID = "^[0-9a-fA-F]{24}$"
@@ -81,9 +82,14 @@ def cascaded(tasks: DataFrame, contents: DataFrame, gone: DataFrame, key: str) -
     return tasks.join(gone, key, "left_anti"), contents.join(gone, key, "left_anti")
 
 
-def updated(old: DataFrame, new: DataFrame, key: str, columns: list[str], clear_empty: bool = False) -> DataFrame:
-    """New values over old ones. An empty or missing new value keeps the old one; with ``clear_empty`` it removes it."""
-    renamed = new.select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
+def updated(old: DataFrame, new: DataFrame, key: str, columns: list[str], clear_empty: bool = False, order: str | None = None) -> DataFrame:
+    """New values over old ones. An empty or missing new value keeps the old one; with ``clear_empty`` it removes it.
+
+    Of new rows with equal keys the last in ``order`` counts, without an order any one; no row of ``old`` is multiplied.
+    """
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order) if order else F.lit(0)))
+    last = new.select("*", place.alias("__place")).filter("__place = 1")
+    renamed = last.select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
     joined = old.join(renamed, key, "left")
     for c in columns:
         value = F.nullif(F.col(f"__{c}"), F.lit("")) if dict(old.dtypes)[c] == "string" else F.col(f"__{c}")

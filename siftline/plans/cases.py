@@ -135,7 +135,7 @@ literal("case_topics", "s string", [("#a b# x # #", "a b"), ("#a", "")], lambda:
 literal(
     "case_tags_xiaohongshu", "s string", [("#a# 种草 好物", "a|种草|好物"), ("x", "")], lambda: text.platform_tags(c("s"), "xiaohongshu")
 )
-literal("case_tags_bilibili", "s string", [("#a# x", "bilibili|B站|哔哩哔哩|a")], lambda: text.platform_tags(c("s"), "bilibili"))
+literal("case_tags_bilibili", "s string", [("#a# x", "bilibili|B站|哔哩哔哩|a"), ("今天聊聊 #黑神话 的游戏 直播 #科技#", "bilibili|B站|哔哩哔哩|黑神话|科技|游戏|直播"), ("#a b# 投稿", "bilibili|B站|哔哩哔哩|a|投稿")], lambda: text.platform_tags(c("s"), "bilibili"))
 literal("case_tags_weibo", "s string", [("#a# @b c", "a|@b")], lambda: text.platform_tags(c("s"), "weibo"))
 literal(
     "case_leading_tags",

@@ -153,7 +153,8 @@ MENTIONS_SQL = "list_transform(regexp_extract_all(content, '@{}', 1), lambda x:
 XHS_SQL = "list_filter([" + ", ".join(f"'{w}'" for w in V.XHS_TAG_WORDS) + "], lambda x: contains(content, x))"
 TAGS_SQL = {
     "xiaohongshu": f"list_concat({TOPICS_SQL}, {XHS_SQL})",
-    "bilibili": "list_concat([" + ", ".join(f"'{w}'" for w in V.BILIBILI_TAGS) + f"], {TOPICS_SQL})",
+    "bilibili": "list_concat([" + ", ".join(f"'{w}'" for w in V.BILIBILI_TAGS)
+    + "], regexp_extract_all(content, '#([^#\\s]+)#?', 1), regexp_extract_all(content, '(游戏|科技|生活|娱乐|音乐|舞蹈|动画|番剧|电影|电视剧)', 1), regexp_extract_all(content, '(UP主|直播|投稿|原创|转载)', 1))",
     "weibo": f"list_concat({TOPICS_SQL}, {MENTIONS_SQL.format(chr(40) + '[^' + chr(92) + 's]+)')})",
 }
 TAGS_SQL["douyin"] = TAGS_SQL["weibo"]
