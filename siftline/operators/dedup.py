@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.classify import basic_quality, relevance
 from siftline.functions.text import content_md5, edge_hash, or_empty
+from siftline.sources.shared import stored
 
 YEAR = "interval 365 days"
 
@@ -47,25 +47,35 @@ def newest(posts: DataFrame, as_of: Column, most: int, pos: str = "pos") -> Data
 
 
 def greedy(posts: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Row by row within a batch: skip a row whose url or hash is that of a kept row; else keep it.
+    """Row by row within a batch, by ``pos``: skip a row whose url or hash is that of a kept row; else keep it.
 
-    Rows that fail the quality test must be filtered before: only kept rows leave their keys. A batch is
-    a page of results; the order makes it sequential, so batches, not rows, are what is spread.
+    Rows that fail the quality test must be filtered before: only kept rows leave their keys. A null is a key like any other;
+    of rows at the same place any may be first.
+
+    The order doesn't make it sequential: a row is kept as soon as no undecided row before it shares its url or its
+    hash, and then the rows that share one with it go. Rounds of this give the same rows as the loop. A key's rows are summed
+    up before they are shuffled, so neither a batch nor a key is one task's. There are as many rounds as the longest
+    chain of rows each of which waits for the one before, few where keys don't follow the order.
     """
     schema = posts.schema
-
-    def scan(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values("pos")
-        urls, hashes, kept = set(), set(), []
-        for url, content_hash in zip(frames["url"], frames["content_hash"], strict=True):
-            new = url not in urls and content_hash not in hashes
-            kept.append(new)
-            if new:
-                urls.add(url)
-                hashes.add(content_hash)
-        return frames[kept]
-
-    return posts.groupBy(batch).applyInPandas(scan, schema)
+    keys = {k: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in (batch, "url", "content_hash")}
+    numbered = posts.withColumn("__id", F.monotonically_increasing_id())
+    rows = stored(numbered.select("*", *(v.alias(f"__{k}") for k, v in keys.items())), "posts")
+    sides = [[f"__{batch}", f"__{k}"] for k in ("url", "content_hash")]
+    order = F.struct("pos", "__id")
+    undecided = rows.select("__id", "pos", *(f"__{k}" for k in keys))
+    kept = undecided.select("__id").limit(0)
+    while not undecided.isEmpty():
+        first = undecided
+        for k, side in enumerate(sides):
+            first = first.join(undecided.groupBy(*side).agg(F.min(order).alias(f"__first{k}")), side)
+        last = [F.col("__first0.__id") == F.col("__id"), F.col("__first1.__id") == F.col("__id")]
+        fresh = stored(first.filter(last[0] & last[1]).select(undecided.columns), "kept")
+        kept = kept.union(fresh.select("__id"))
+        for side in sides:
+            undecided = undecided.join(fresh.select(*side), side, "left_anti")
+        undecided = stored(undecided.select("__id", "pos", *(f"__{k}" for k in keys)), "undecided")
+    return rows.join(kept, "__id", "left_semi").select(schema.names)
 
 
 def new_contents(batch: DataFrame, history: DataFrame, addresses: DataFrame | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def own_path(spark: SparkSession, name: str) -> str:
     folder = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
     if folder not in _own:
         _own.add(folder)
-        atexit.register(_removed, spark, folder)
+        atexit.register(removed, spark, folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _removed(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder, by whatever file system has it."""
     context = spark.sparkContext
     if context._jsc is not None:  # a stopped context can't reach the file system any more
