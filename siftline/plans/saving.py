@@ -27,12 +27,12 @@ def saved_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.rows(spark).select("id", "content_hash", "batch_id")
 
 
-SPENT_SQL = "spent AS (SELECT o_custkey, max(o_orderdate) AS at, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1)"
+SPENT_SQL = "spent AS (SELECT o_custkey, max(o_orderdate) AS latest, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1)"
 
 
 @query(
     f"""WITH {SPENT_SQL}, b AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, TIMESTAMP '1996-06-01' AS updated_at, CAST(0 AS BIGINT) AS cents FROM customer),
-      n AS (SELECT o_custkey AS id, 'name ' || o_custkey AS name, '' AS segment, at AS updated_at, CAST(cents AS BIGINT) AS cents FROM spent WHERE o_custkey % 50 = 1),
+      n AS (SELECT o_custkey AS id, 'name ' || o_custkey AS name, '' AS segment, latest AS updated_at, CAST(cents AS BIGINT) AS cents FROM spent WHERE o_custkey % 50 = 1),
       u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, new DESC) AS k FROM (SELECT *, 0 AS new FROM b UNION ALL SELECT *, 1 AS new FROM n))
     SELECT id, CASE WHEN id % 40 = 3 THEN 'renamed' ELSE name END AS name, segment, updated_at, cents FROM u WHERE k = 1 AND id % 30 <> 7"""
 )
