@@ -41,6 +41,36 @@ def moving_mean(df: DataFrame, value: str, order: list[str], rows: int = 1000, b
     return found.filter("__own").drop("__n", "__block", "__own")
 
 
+def _ranged(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    """Rows sorted by ranges of ``by`` and ``order`` and written, with ``__id``, whose high bits are the range's number."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    return stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "sorted")
+
+
+def _same(by: list[str]) -> Column:
+    """Joins what is known of a part and group, ``__p`` and ``__`` each of ``by``, to its rows."""
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return same
+
+
+def totals_before(df: DataFrame, value: str, order: list[str], by: list[str] = ()) -> DataFrame:
+    """``__before``: the sum of a value over the rows that come before, of all or of those equal in ``by``; nulls come first.
+
+    As in ``row_numbers``, no task holds all rows, nor all of a group.
+    """
+    by = list(by)
+    ranged = _ranged(df, order, by).withColumn("__part", F.shiftright("__id", 33))
+    sums = ranged.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"), *(F.col(c).alias(f"__{c}") for c in by))
+    within = W.partitionBy("__part", *by).orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
+    running = ranged.withColumn("__running", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return running.join(offsets, _same(by)).select(*df.columns, (F.col("__offset") + F.col("__running")).alias("__before"))
+
+
 def row_numbers(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFrame:
     """``__n``: each row's place in an order, of all rows or of those equal in ``by``, from 1; nulls come first.
 
@@ -48,20 +78,14 @@ def row_numbers(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFram
     place is that within its part, after what earlier parts hold of its group. The sorted rows are written
     to the shared folder first, so that counting and numbering see the same parts.
     """
-    spark = df.sparkSession
     by = list(by)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
-    ranged = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    ranged = _ranged(df, order, by)
     part, place = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.select(*by, part, place.alias("__place")).groupBy(*by, "__part").agg(F.count("*").alias("__size"), F.min("__place").alias("__first"))
     before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a part and group
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
     renamed = offsets.select(F.col("__part").alias("__p"), "__first", "__before", *(F.col(c).alias(f"__{c}") for c in by))
-    same = F.col("__part") == F.col("__p")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    joined = ranged.withColumn("__part", part).join(renamed, same)
+    joined = ranged.withColumn("__part", part).join(renamed, _same(by))
     return joined.withColumn("__n", F.col("__before") + place - F.col("__first") + 1).select(*df.columns, "__n")
 
 
@@ -98,13 +122,66 @@ def dated(df: DataFrame, time: str, as_of: Column, pos: str, batch: str) -> Data
     return placed.withColumn(time, F.coalesce(F.col(time), as_of - hours)).drop("__n")
 
 
-def rate_limited(df: DataFrame, client: str, rate: int, window: timedelta) -> DataFrame:
+def rate_limited(df: DataFrame, client: str, rate: int, window: timedelta, most: int = 1_000_000) -> DataFrame:
     """(client, event_id, accepted): fixed windows of ``rate`` requests a client; one too many blocks it for a window.
 
-    The limiter is sequential by nature: a client's requests stream through one task in order, with a
-    state of three values, so that no client's requests are held together.
+    A client's requests stream through one task in order, with a state of three values, so that they are never held
+    together. Clients of more than ``most`` requests are spread over all tasks instead, see ``limited_by_jumps``; which
+    way a client goes makes no difference to the result.
+    """
+    rows = df.select(client, "ts", "event_id")
+    busy = stored(rows.groupBy(client).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > most).select(client), "busy")
+    if busy.isEmpty():
+        return _limited_in_order(rows, client, rate, window)
+    hot = rows.join(busy, rows[client].eqNullSafe(busy[client]), "left_semi")
+    rest = rows.join(busy, rows[client].eqNullSafe(busy[client]), "left_anti")
+    return _limited_in_order(rest, client, rate, window).unionByName(limited_by_jumps(hot, client, rate, window))
+
+
+def limited_by_jumps(rows: DataFrame, client: str, rate: int, window: timedelta) -> DataFrame:
+    """(client, event_id, accepted), as by the sequential limiter, without its sequence.
+
+    Whichever request begins a window, the one that begins the next follows from the times alone: the first that comes a
+    window's length after the request too many, or after the window's own begin if there is none. So each request gets its
+    jump, and those that do begin windows are what the client's first one reaches by jumps. They are found by
+    doubling: in a round jumps of twice the length are joined, so there are as many rounds as the logarithm of the number
+    of windows. Joins are on a client and a place, so a client's rows are spread like any.
     """
-    rows = df.select(client, "ts", "event_id").repartition(client).sortWithinPartitions(client, "ts", "event_id")
+    length = F.make_dt_interval(secs=F.lit(window.total_seconds()))
+    numbered = row_numbers(rows.select("*", _as_key(client)), ["ts", "event_id"], ["__client"])
+    placed = stored(numbered.withColumnRenamed("__n", "n"), "requests")
+    at = ["__client", "n"]
+    over = placed.select("__client", (F.col("n") - rate).alias("n"), F.col("ts").alias("over"))
+    free = F.when(F.col("over") < F.col("ts") + length, F.col("over") + length).otherwise(F.col("ts") + length)
+    probes = placed.join(over, at, "left").select(*at, free.alias("time"), F.lit(0).alias("is_request"))
+    both = probes.unionByName(placed.select(*at, F.col("ts").alias("time"), F.lit(1).alias("is_request")))
+    found = totals_before(both, "is_request", ["time", "is_request"], ["__client"])
+    first = stored(found.filter("is_request = 0").select(*at, (F.col("__before") + 1).alias("next")), "jumps")
+    jumps, begun = first, placed.filter("n = 1").select(*at)
+    while True:
+        begun = stored(begun, "begun")
+        more = begun.join(jumps, at).select("__client", F.col("next").alias("n")).join(placed.select(*at), at, "left_semi")
+        if more.isEmpty():
+            break
+        begun = begun.unionByName(more)
+        further = jumps.select("__client", F.col("n").alias("next"), F.col("next").alias("further"))
+        jumps = stored(jumps.join(further, ["__client", "next"]).select(*at, F.col("further").alias("next")), "jumps")
+    # the requests of a window, as many as are let through
+    spans = begun.join(first, at).join(placed.select(*at, F.col("ts").alias("began")), at)
+    places = F.explode(F.sequence("n", F.least(F.col("n") + rate, F.col("next")) - 1))
+    within = spans.select("__client", "began", places.alias("n"))
+    judged = placed.join(within, at, "left")
+    return judged.select(client, "event_id", F.coalesce(F.col("ts") < F.col("began") + length, F.lit(False)).alias("accepted"))
+
+
+def _as_key(client: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(client).cast("string")), F.lit("")).alias("__client")
+
+
+def _limited_in_order(rows: DataFrame, client: str, rate: int, window: timedelta) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    # clients go as text, the empty one for null, for pandas knows no whole numbers with nulls among them
+    rows = rows.select(_as_key(client), "ts", "event_id").repartition("__client").sortWithinPartitions("__client", "ts", "event_id")
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = object()
@@ -112,7 +189,7 @@ def rate_limited(df: DataFrame, client: str, rate: int, window: timedelta) -> Da
         n = 0
         for frame in frames:
             accepted = []
-            for who, ts in zip(frame[client], frame["ts"], strict=True):
+            for who, ts in zip(frame["__client"], frame["ts"], strict=True):
                 if who != now:
                     now, start, until, n = who, ts, None, 1
                     accepted.append(True)
@@ -126,7 +203,8 @@ def rate_limited(df: DataFrame, client: str, rate: int, window: timedelta) -> Da
                     if n > rate:
                         until = ts + window
                     accepted.append(n <= rate)
-            yield frame.assign(accepted=accepted)[[client, "event_id", "accepted"]]
+            yield frame.assign(accepted=accepted)[["__client", "event_id", "accepted"]]
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInPandas(scan, f"{client} {kinds[client]}, event_id {kinds['event_id']}, accepted boolean")
+    found = rows.mapInPandas(scan, f"__client string, event_id {kinds['event_id']}, accepted boolean")
+    given = F.when(F.col("__client") != "", F.substring("__client", 2, 1 << 20)).cast(kinds[client])
+    return found.select(given.alias(client), "event_id", "accepted")

@@ -109,6 +109,18 @@ def test_rate_limit_against_a_loop(spark):
     assert got == limiter(rows, 3, window) and not all(got.values())
 
 
+@pytest.mark.parametrize(("seed", "rate", "hours"), [(2, 3, 2), (3, 1, 1), (4, 20, 30), (5, 4, 200)])
+def test_busy_clients_are_limited_alike(spark, seed, rate, hours):
+    rows, df = events_of(spark, random.Random(seed))
+    rows = [*rows, *((1000 + k, AT + dt.timedelta(minutes=k // 3), None, "view", 0.0, "") for k in range(60))]
+    df = spark.createDataFrame(rows, requests.EVENTS).repartition(3)
+    window = dt.timedelta(hours=hours)
+    for most in (0, 55, 1000):  # all clients, those with more requests than some, none
+        got = {r["event_id"]: r["accepted"] for r in windows.rate_limited(df, "user_id", rate, window, most).collect()}
+        assert got == limiter(rows, rate, window) and not all(got.values())
+    assert windows.limited_by_jumps(df.limit(0).select("user_id", "ts", "event_id"), "user_id", rate, window).collect() == []
+
+
 def test_rate_limit_blocks_and_resets(spark):
     minutes = [0, 1, 2, 3, 64]
     rows = [(k, AT + dt.timedelta(minutes=m), 1, "view", 0.0, "") for k, m in enumerate(minutes)]
