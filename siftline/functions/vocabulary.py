@@ -636,3 +636,51 @@ RETRY_TIMEOUTS = {
 OTHER_TIMEOUTS = [(90_000, 5), (180_000, 20), (240_000, 30)]
 SLOW_PLATFORMS = ["weibo", "xiaohongshu", "douyin", "bilibili"]
 SLOW_TIMEOUT, SLOW_DELAY = 1.5, 1.2
+
+# Selectors of what only users see, and of what asks to log in, by platform, in the order in which they are tried (fixed values).
+USER_NAMES = [".gn_name", ".username", ".user-name"]
+WEIBO_USER = [".gn_name", ".WB_miniblog", ".gn_usercard"]
+WEIBO_LOGIN = [".loginBtn", ".login", ".WB_login"]
+DOUYIN_USER = [".user-info", ".avatar-wrap", ".user-name"]
+DOUYIN_LOGIN = [".login-button", ".login-text"]
+XHS_AVATARS = [
+    "img[alt*='头像']",
+    "img[alt*='avatar']",
+    ".user-avatar img",
+    ".profile-avatar img",
+    "[data-testid='user-avatar'] img",
+    ".header-user img",
+    ".nav-user img",
+]
+XHS_NAMES = [
+    ".user-name",
+    ".username",
+    ".user-info-name",
+    ".profile-name",
+    "[data-testid='username']",
+    ".header-user-name",
+    ".nav-username",
+]
+XHS_MENUS = [
+    ".user-menu",
+    ".user-dropdown",
+    ".profile-menu",
+    ".header-user-menu",
+    "[data-testid='user-menu']",
+    ".user-actions",
+    ".account-menu",
+]
+XHS_USER_PATHS = ["/user/", "/profile/", "/settings/", "/account/"]
+XHS_INDICATORS = [".user-avatar", '[class*="user"][class*="info"]', 'img[src*="avatar"]']
+XHS_LOGIN = [
+    ".login-btn",
+    ".sign-in",
+    ".login-button",
+    ".signin-btn",
+    "button[type='submit']",
+    "[data-testid='login-btn']",
+    "a[href*='login']",
+    ".auth-btn",
+    ".login-link",
+    ".signin-link",
+]

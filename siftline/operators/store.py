@@ -231,8 +231,40 @@ def publish_errors(video: Column, platforms: Column, description: Column, suppor
     )
 
 
+def with_publish_errors(requests: DataFrame, videos: DataFrame, supported: list[str]) -> DataFrame:
+    """Requests (video_id, platforms, description) with ``error``: what is wrong with them, else with their video, or null.
+
+    Columns of videos: id, status; where an id repeats, one of its rows must be completed. Both sides are shuffled by video
+    unless videos are few; a video that many ask for is split by Spark as a skewed join.
+    """
+    known = videos.groupBy(F.col("id").alias("video_id")).agg(F.max(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("__done"))
+    joined = requests.join(known, "video_id", "left")
+    stored = F.when(F.col("__done").isNull(), "video_missing").when(~F.col("__done"), "video_unfinished")
+    error = F.coalesce(publish_errors(F.col("video_id"), F.col("platforms"), F.col("description"), supported), stored)
+    return joined.withColumn("error", error).select(*requests.columns, "error")
+
+
+def with_registration_errors(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests (username, email, password, confirm) with ``wrong``: field -> what is wrong; if nothing else is, what is taken.
+
+    A name that is a user's name is taken; so is the address if either of the two is a user's address, or it is
+    a user's name. Columns of users: username, email.
+    """
+    names = users.select(F.col("username").alias("__key"), F.lit(True).alias("is_name"))
+    keys = names.union(users.select("email", F.lit(False))).filter("__key is not null").groupBy("__key").agg(F.bool_or("is_name").alias("__is_name"))
+    by_name = keys.select(F.col("__key").alias("username"), F.col("__is_name").alias("__by_name"))
+    by_email = keys.select(F.col("__key").alias("email"), F.lit(True).alias("__by_email"))
+    joined = requests.join(by_name, "username", "left").join(by_email, "email", "left")
+    taken = F.when(F.col("__by_name"), "username").when(F.col("__by_name").isNotNull() | F.col("__by_email").isNotNull(), "email")
+    wrong = registration_errors(*(F.col(c) for c in ("username", "email", "password", "confirm")))
+    found = F.when(F.size(wrong) > 0, wrong).when(taken.isNotNull(), F.create_map(taken, F.lit("taken"))).otherwise(wrong)
+    return joined.withColumn("wrong", found).select(*requests.columns, "wrong")
+
+
 def registration_errors(name: Column, email: Column, password: Column, again: Column) -> Column:
-    """Field -> what is wrong with it; empty if nothing is."""
+    """Field -> what is wrong with it; empty if nothing is. What is missing is as empty."""
+    name, email, password, again = (F.coalesce(c, F.lit("")) for c in (name, email, password, again))
+
     def entry(condition: Column, field: str, what: str) -> Column:
         return F.when(condition, F.struct(F.lit(field).alias("field"), F.lit(what).alias("what")))
 

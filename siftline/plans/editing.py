@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import markup
+from siftline.operators.logins import Sign, Signs, login_states
 from siftline.plans.registry import query
 from siftline.sources.tables import table
 
@@ -66,3 +67,22 @@ def page_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = {x: F.coalesce(F.get(F.col("found")[x], F.lit(0)), F.lit("")).alias(x) for x in ("heading", "second", "last")}
     size = [F.size(F.col("found")[x]).cast("long").alias(f"n_{x}") for x in ("later", "odd", "scripts", "paragraphs")]
     return found.select("page_id", one["heading"], one["second"], *size, one["last"])
+
+
+#: The footer names the user of a blog; a host for phones shows a login by its address; others ask to log in where there is a box.
+PAGE_SIGNS = {
+    "blog": Signs((Sign("menu", "there", (".user-menu",)), Sign("named", "name", (".none", "nav > .none", "footer")))),
+    "m": Signs((Sign("address", "address", ("/fr/", "/de/")),), (".ad",)),
+    "site": Signs((Sign("avatar", "avatar", ("nav a", "img")), Sign("there", "there", ("nav li:nth-child(6)",), ("nav li:nth-child(6)",))), (".none", "div.ad")),
+}
+
+
+@query(
+    f"""WITH {PARTS_SQL}, s AS (SELECT *, first = 'm' AND (contains(url, '/fr/') OR contains(url, '/de/')) AS user_path, first = '' AND len(links) > 5 AS sixth FROM parts)
+    SELECT page_id, first = 'blog' OR user_path OR sixth AS is_logged_in, CASE WHEN first = 'blog' THEN trim({TEXT_SQL.format('footer')}) WHEN sixth THEN trim({TEXT_SQL.format('links[6]')}) END AS login_user,
+      first IN ('m', '') AND NOT user_path AND NOT sixth AS has_login_button,
+      CASE WHEN first = 'blog' THEN 'named:footer' WHEN user_path THEN 'address:' || url WHEN sixth THEN 'there:nav li:nth-child(6)' END AS detection_method FROM s"""
+)
+def page_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pages show a login, by signs of their platform in order."""
+    return login_states(with_platform(table(spark, sf_dir, "pages")), PAGE_SIGNS)

@@ -104,12 +104,13 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SESSIONS_SQL}, gone AS (SELECT DISTINCT user_id FROM sessions WHERE coalesce(expires_at < {AS_OF_SQL}, false))
-    SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM gone)"""
+    f"""WITH {SESSIONS_SQL}, gone AS (SELECT DISTINCT session_id FROM sessions WHERE coalesce(expires_at < {AS_OF_SQL}, false))
+    SELECT event_id FROM events WHERE CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) NOT IN (SELECT session_id FROM gone)"""
 )
 def without_expired_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = session_rows(spark, sf_dir).filter(F.col("expires_at") < as_of()).select(F.col("user_id").alias("session_id"))
-    events = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"))
+    gone = session_rows(spark, sf_dir).filter(F.col("expires_at") < as_of()).select("session_id")
+    name = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.to_date("ts").cast("string"))
+    events = read(spark, sf_dir, "events").select("event_id", name.alias("session_id"))
     return sessions.without_sessions(events, gone).select("event_id")
 
 
@@ -283,6 +284,42 @@ def publish_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 5 THEN '' ELSE CAST(l_partkey * 9 AS VARCHAR) END AS video_id, l_returnflag AS flag, trim(l_linestatus) AS description FROM lineitem),
+      v AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus = 'F' AS done FROM orders)
+    SELECT CASE WHEN video_id = '' THEN 'video_required' WHEN flag = 'A' THEN 'platform_required' WHEN flag = 'R' THEN 'platform_unsupported'
+      WHEN id IS NULL THEN 'video_missing' WHEN NOT done THEN 'video_unfinished' ELSE 'none' END AS error, count(*) AS n, CAST(sum(l_orderkey * 10 + l_linenumber) AS BIGINT) AS total
+    FROM r LEFT JOIN v ON id = video_id GROUP BY 1"""
+)
+def publish_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to publish against the videos that are stored: lines as requests, orders as videos."""
+    platforms = F.when(F.col("l_returnflag") == "A", F.array().cast("array<string>")).when(F.col("l_returnflag") == "R", F.array(F.lit("weibo"), F.lit("myspace"))).otherwise(F.array(F.lit("weibo")))
+    video = F.when(F.col("l_linenumber") > 5, "").otherwise((F.col("l_partkey") * 9).cast("string"))
+    asked = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), video.alias("video_id"), platforms.alias("platforms"), F.col("l_linestatus").alias("description")
+    )
+    videos = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"))
+    found = store.with_publish_errors(asked, videos, ["weibo", "douyin", "xiaohongshu", "bilibili"])
+    return found.groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+@query(
+    """WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE c_name END AS username,
+        CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey || '@x.org' WHEN c_custkey % 4 = 1 THEN 'no address' ELSE 'c' || c_custkey || '@x.org' END AS email FROM customer),
+      u AS (SELECT s_name AS username, 's' || s_suppkey || '@x.org' AS email FROM supplier)
+    SELECT id, CASE WHEN email = 'no address' THEN 'email:malformed' WHEN username IN (SELECT username FROM u) THEN 'username:taken' WHEN email IN (SELECT email FROM u) THEN 'email:taken' ELSE '' END AS wrong FROM r"""
+)
+def registration_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrations against the users that are stored: customers ask, suppliers are users."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0"))).otherwise(F.col("c_name"))
+    email = F.when(k % 4 == 0, F.concat(F.lit("s"), k, F.lit("@x.org"))).when(k % 4 == 1, "no address").otherwise(F.concat(F.lit("c"), k, F.lit("@x.org")))
+    asked = read(spark, sf_dir, "customer").select(k.alias("id"), name.alias("username"), email.alias("email"), F.lit("abc123").alias("password"), F.lit("abc123").alias("confirm"))
+    users = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("username"), F.concat(F.lit("s"), "s_suppkey", F.lit("@x.org")).alias("email"))
+    listed = F.array_join(F.transform(F.map_entries("wrong"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), "|")
+    return store.with_registration_errors(asked, users).select("id", listed.alias("wrong"))
+
+
 @query(
     f"""WITH {TASKS_SQL} SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'published' WHEN task_id % 2 = 0 THEN 'processing' ELSE 'pending' END AS status FROM tasks"""
 )

@@ -6,7 +6,7 @@ import pytest
 
 from siftline.functions import html, markup
 from siftline.functions.selectors import matcher
-from siftline.operators import search, store
+from siftline.operators import logins, search, store
 
 PAGE = """<!DOCTYPE html><html><body><nav><ul><li><a href="/1">a</a></li><li class="x  y">b<li>c</ul></nav><!-- ad -->
 <div class="WB_text">T &amp; <b title='say "x"'>bold</b><br>x<span class="WB_expand">no</span></div><p>1<p>2</p><script>if(a<b&&c)</script></body></html>"""
@@ -115,3 +115,37 @@ def test_updates_that_repeat_a_key(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string")
     new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "", 0)], "id long, status string, at long")
     assert sorted(map(tuple, store.updated(old, new, "id", ["status"], order="at").collect())) == [(1, "y"), (2, "b")]
+
+
+def test_login_states_by_platform(spark):
+    pages = [
+        ("weibo", "u", "<a class=login>in</a><b class='gn_name x'> Li </b>", (True, "Li", False, "selector:.gn_name")),
+        ("weibo", "u", "<b class=WB_miniblog>x</b><b class=gn_usercard></b>", (True, None, False, "selector:.WB_miniblog")),
+        ("weibo", "u", "<a class=login>in</a>", (False, None, True, None)),
+        ("xiaohongshu", "u", "<i class=user-avatar><img src=/avatar/1></i><b class=username>w</b>", (True, None, False, "avatar_detected:.user-avatar img")),
+        ("xiaohongshu", "u", "<i class=user-avatar><img src=/avatar/Default></i><b class=user-name> </b><b class=username>w</b>", (True, "w", False, "username_detected:.username")),
+        ("xiaohongshu", "u", "<i class=account-menu></i><a href=/login>", (True, None, False, "menu_detected:.account-menu")),
+        ("xiaohongshu", "h/user/1", "<a href=/login>", (True, None, False, "url_pattern_detected:h/user/1")),
+        ("xiaohongshu", "u", "<p class='a-user b-info'>", (True, None, False, 'indicator:[class*="user"][class*="info"]')),
+        ("xiaohongshu", "u", "<a href=/login>", (False, None, True, None)),
+        ("other", "u", "<b class=gn_name>x</b>", (False, None, False, None)),
+        ("weibo", None, None, (False, None, False, None)),
+        ("weibo", "u", "<![x[a", (None, None, None, None)),
+    ]
+    df = spark.createDataFrame([(k, p, u, h) for k, (p, u, h, _) in enumerate(pages)], "page_id int, platform string, url string, html string")
+    found = {r[0]: tuple(r)[1:] for r in logins.login_states(df).collect()}
+    assert found == {k: x[3] for k, x in enumerate(pages)}
+
+
+def test_requests_against_what_is_stored(spark):
+    videos = spark.createDataFrame([("v1", "completed"), ("v2", "pending"), ("v2", None), ("v3", "pending"), ("v3", "completed")], "id string, status string")
+    kind = "k int, video_id string, platforms array<string>, description string"
+    asked = spark.createDataFrame([(0, "v1", ["weibo"], "d"), (1, "v2", ["weibo"], "d"), (2, "v9", ["weibo"], "d"), (3, "v9", [], "d"), (4, "v3", ["weibo"], "d"), (5, None, ["weibo"], "d")], kind)
+    found = {r["k"]: r["error"] for r in store.with_publish_errors(asked, videos, ["weibo"]).collect()}
+    assert found == {0: None, 1: "video_unfinished", 2: "video_missing", 3: "platform_required", 4: None, 5: "video_required"}
+    users = spark.createDataFrame([("ann", "a@b.c"), ("b@b.c", None), ("ann", "x@y.z")], "username string, email string")
+    kind = "k int, username string, email string, password string, confirm string"
+    asked = spark.createDataFrame([(k, n, e, "abc123", "abc123") for k, (n, e) in enumerate([("ann", "a@b.c"), ("bob", "x@y.z"), ("a@b.c", "n@n.n"), ("new", "b@b.c"), ("new", "n@n.n"), ("x", "a@b.c"), (None, None)])], kind)
+    found = {r["k"]: r["wrong"] for r in store.with_registration_errors(asked, users).collect()}
+    taken = lambda field: {field: "taken"}
+    assert found == {0: taken("username"), 1: taken("email"), 2: taken("email"), 3: taken("email"), 4: {}, 5: {"username": "too_short"}, 6: {"username": "too_short", "email": "malformed"}}
