@@ -4,7 +4,9 @@ Base patterns find assignments, access keys and long hexadecimal runs. The metho
 that stands in a credential context and finds the cheapest way to guess it: a minimum-cost
 segmentation into words, dates, repeats, keyboard walks and brute-force spans. A value that would
 take at least ``10 ** MIN_LOG10_GUESSES`` guesses is a secret (kind ``guess``) unless base spans
-cover the whole of it.
+cover the whole of it. A quoted value runs to its quote on the same line, whatever signs it holds; with blanks in it,
+what stands before the first one is judged, and all goes or stays with that. An address is no value, but the password
+before its host is one, and so are values of cues within it.
 
 Defined results: a null text is an empty one and has no spans; spans are in code points, end
 exclusive; equal spans of several kinds all stay; repeated rows give repeated results; a null doc_id
@@ -38,15 +40,21 @@ ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 KINDS = ("assign", "access", "hex", "guess")
 
 #: A text without any of these (in lower case) has neither an assignment nor a credential context.
-CUES = ("pass", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "login")
+CUES = ("pass", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "login", "://")
 #: A cue, whatever letters or digits stand before it, and what leads to its value of at least six characters.
 CONTEXT = re.compile(
     r"(?i:(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|"
     r"api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?|auth|authorization|login)"
-    r"[\"']?\x20*(?:=>|:=|[:=]|\x20is\x20)\x20*(?:bearer\x20|basic\x20)?|\bbearer\x20)[\"']?(?=[^\s\"'<>,;]{6})",
+    r"[\"']?\x20*(?:=>|:=|[:=]|\x20is\x20)\x20*(?:bearer\x20|basic\x20)?|\bbearer\x20)(?:([\"'])(?=[^\s\"']{6})|(?=[^\s\"'<>,;]{6}))",
     re.ASCII,
 )
 VALUE = re.compile(r"[^\s\"'<>,;]+", re.ASCII)
+#: What a quoted value holds up to its quote, a quote after a backslash included.
+QUOTED = {q: re.compile(rf"(?:[^\\\n{q}]|\\[^\n])*(?={q})") for q in "\"'"}
+BLANK = re.compile(r"\s", re.ASCII)
+ADDRESS = re.compile(r"(?i:[a-z][a-z0-9+.-]*://|www\.)", re.ASCII)
+#: The password of an address: between the user's colon and the last @ before the path.
+LINK = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"'<>]{6,})@", re.ASCII)
 
 # Common words of passwords, most common first.
 WORDS = [
@@ -211,19 +219,34 @@ def covered(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
     return a >= b
 
 
-def values(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of values in credential contexts. A cue may stand in a value ahead of another; a value in a value is passed over."""
+def value_at(text: str, a: int, quote: str | None) -> tuple[int, int]:
+    """(end of what is judged, end) of the value that begins at ``a``."""
+    whole = QUOTED[quote].match(text, a) if quote else None
+    if whole is None:
+        end = VALUE.match(text, a)
+        return (end.end(), end.end()) if end else (a, a)
+    blank = BLANK.search(text, a, whole.end())
+    return (blank.start() if blank else whole.end()), whole.end()
+
+
+def values(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end of what is judged, end) of values in credential contexts.
+
+    A cue may stand in a value ahead of another; a value in a value is passed over.
+    """
+    found = [(m.end(), *value_at(text, m.end(), m[1])) for m in CONTEXT.finditer(text) if not ADDRESS.match(text, m.end())]
+    found += [(m.start(1), m.end(1), m.end(1)) for m in LINK.finditer(text)]
     last = 0
-    for m in CONTEXT.finditer(text):
-        if m.end() >= last:
-            last = VALUE.match(text, m.end()).end()
-            yield m.end(), last
+    for a, b, end in sorted(found):
+        if a >= last:
+            last = end
+            yield a, b, end
 
 
 def guess_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(x in low for x in CUES):
         return []
-    return [(a, 3, b) for a, b in values(text) if log10_guesses(text[a:b]) >= MIN_LOG10_GUESSES and not covered(a, b, base)]
+    return [(a, 3, end) for a, b, end in values(text) if log10_guesses(text[a:b]) >= MIN_LOG10_GUESSES and not covered(a, end, base)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
