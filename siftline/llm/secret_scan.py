@@ -54,7 +54,7 @@ QUOTED = {q: re.compile(rf"(?:[^\\\n{q}]|\\[^\n])*(?={q})") for q in "\"'"}
 BLANK = re.compile(r"\s", re.ASCII)
 ADDRESS = re.compile(r"(?i:[a-z][a-z0-9+.-]*://|www\.)", re.ASCII)
 #: The password of an address: between the user's colon and the last @ before the path.
-LINK = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"'<>]{6,})@", re.ASCII)
+LINK = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"']{6,})@", re.ASCII)
 
 # Common words of passwords, most common first.
 WORDS = [
