@@ -110,7 +110,7 @@ def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.collapse_ws(F.col("text")).alias("clean"))
 
 
-def _noise_sql(c: str, patterns: list[str], by: str = " ") -> str:
+def noise_sql(c: str, patterns: list[str], by: str = " ") -> str:
     for p in patterns:
         c = f"regexp_replace({c}, '(?i){p}', '{by}', 'g')"
     return c
@@ -118,9 +118,9 @@ def _noise_sql(c: str, patterns: list[str], by: str = " ") -> str:
 
 CLEAN_SQL = (
     f"WITH {CONTENTS_SQL}, g AS (SELECT id, platform, "
-    + _noise_sql(STRIP_SQL.replace("html", "content"), V.NOISE)
+    + noise_sql(STRIP_SQL.replace("html", "content"), V.NOISE)
     + " AS c FROM contents), p AS (SELECT id, CASE platform "
-    + " ".join(f"WHEN '{k}' THEN {_noise_sql('c', v)}" for k, v in V.PLATFORM_NOISE.items())
+    + " ".join(f"WHEN '{k}' THEN {noise_sql('c', v)}" for k, v in V.PLATFORM_NOISE.items())
     + " ELSE c END AS c FROM g), t AS (SELECT id, "
     + trimmed(r"regexp_replace(c, '\s+', ' ', 'g')")
     + " AS c FROM p) SELECT id, CASE WHEN length(c) < 10 THEN '' ELSE c END AS clean FROM t"

@@ -556,9 +556,14 @@ def labels_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", text.engagement_bucket(F.col("value")).alias("bucket"), every.alias("every"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{n}', '{h}')" for p, n, h in sessions.PLATFORMS) + ") t(platform, display_name, home)")
+@query(
+    f"""WITH {CONTENTS_SQL}, p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', '{n}', '{h}')" for p, n, h in sessions.PLATFORMS) + """) t(platform, display_name, home))
+    SELECT platform, display_name, home, count(id) AS n_contents FROM p LEFT JOIN contents USING (platform) GROUP BY ALL"""
+)
 def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.platforms(spark)
+    """The platforms that are known, each with the number of its contents."""
+    n = contents(spark, sf_dir).groupBy("platform").agg(F.count("*").alias("n_contents"))
+    return sessions.platforms(spark).join(n, "platform", "left").na.fill(0, ["n_contents"])
 
 
 @query(

@@ -1,34 +1,22 @@
-"""Rules on literal cases, for texts that the tables don't hold: each query gives a rule's results for its inputs.
-
-The SQL of such a query is the list of results that the rule is specified to give.
-"""
+"""Rules on literal cases, for texts that the tables don't hold: what each rule is specified to give for its inputs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline.functions import classify, text, times, urls
 from siftline.operators import search
-from siftline.plans.registry import ORACLES, QUERIES
-
-def literal(name: str, columns: str, cases: Sequence[tuple], make: Callable[[], Column]) -> None:
-    """Register ``name``: (k, found) for cases of inputs and the result as text; arrays joined by |."""
-    inputs = [(k, *x) for k, (*x, _) in enumerate(cases)]
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = spark.createDataFrame(inputs, f"k long, {columns}").select("k", make().alias("found"))
-        kind = dict(found.dtypes)["found"]
-        return found.withColumn("found", F.array_join("found", "|") if kind.startswith("array") else F.col("found").cast("string"))
+CASES: dict[str, tuple[str, Sequence[tuple], Callable[[], Column]]] = {}
 
-    def quoted(x: object) -> str:
-        return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
 
-    rows = ", ".join(f"({k}, {quoted(x)})" for k, (*_, x) in enumerate(cases))
-    QUERIES[name] = run
-    ORACLES[name] = f"SELECT CAST(k AS BIGINT) AS k, CAST(found AS VARCHAR) AS found FROM (VALUES {rows}) t(k, found)"
+def literal(name: str, columns: str, cases: Sequence[tuple], make: Callable[[], Column]) -> None:
+    """Cases of inputs, each with the result as text; arrays are joined by |."""
+    CASES[name] = columns, cases, make
 
 
 def at() -> Column:
@@ -40,26 +28,26 @@ def c(name: str) -> Column:
 
 
 literal(
-    "case_queries",
+    "queries",
     "s string",
     [("https://weibo.com/u/123", "weibo.com"), ("科技", "科技"), ("", "热门微博")],
     lambda: urls.query_of(c("s"), "weibo"),
 )
-literal("case_news_queries", "s string", [("https://a.b/x/news/y", "news"), ("https://a.b/", None)], lambda: urls.news_query(c("s")))
+literal("news_queries", "s string", [("https://a.b/x/news/y", "news"), ("https://a.b/", None)], lambda: urls.news_query(c("s")))
 literal(
-    "case_chinese_queries",
+    "chinese_queries",
     "s string",
     [("https://a.b/x/热点新闻", "热点新闻"), ("https://a.b", "default"), ("https://a.b/12345/新闻", "default")],
     lambda: urls.chinese_query(c("s"), "default"),
 )
 literal(
-    "case_service_hosts",
+    "service_hosts",
     "s string",
     [("https://b23.tv/x", "bilibili"), ("https://xhs.cn/a", "general"), ("https://weibo.cn/1", "weibo"), ("https://xhslink.com/q", "xiaohongshu")],
     lambda: urls.service_of(c("s")),
 )
 literal(
-    "case_url_types",
+    "url_types",
     "s string",
     [
         ("https://weibo.com/u/1", "微博用户页面"),
@@ -73,7 +61,7 @@ literal(
     lambda: urls.url_type(c("s")),
 )
 literal(
-    "case_identifiers",
+    "identifiers",
     "s string",
     [
         ("https://weibo.com/u/1195230310", "1195230310"),
@@ -87,7 +75,7 @@ literal(
     lambda: urls.weibo_identifier(c("s")),
 )
 literal(
-    "case_user_pages",
+    "user_pages",
     "s string, p string",
     [
         ("123", "weibo", "https://weibo.com/u/123/home|https://weibo.com/u/123?tabtype=feed|https://weibo.com/123?is_all=1"),
@@ -100,20 +88,20 @@ literal(
     lambda: urls.platform_pages(c("s"), c("p")),
 )
 literal(
-    "case_links",
+    "links",
     "s string, base string",
     [("//c.d/x", "https://a.b/p", "https://c.d/x"), ("/x?y", "https://a.b/p/q", "https://a.b/x?y"), ("http://e.f", "https://a.b", "http://e.f")],
     lambda: urls.absolute(c("s"), c("base")),
 )
 literal(
-    "case_search_addresses",
+    "search_addresses",
     "s string",
     [("科技", "https://www.baidu.com/s?wd=%E7%A7%91%E6%8A%80+site%3Aweibo.com|https://www.sogou.com/web?query=%E7%A7%91%E6%8A%80+site%3Aweibo.com|https://www.bing.com/search?q=%E7%A7%91%E6%8A%80+site%3Aweibo.com")],
     lambda: urls.search_addresses(c("s"), "weibo"),
 )
-literal("case_titles", "s string", [("标题 - 微博正文", "标题"), ("a_b", "a_b"), ("x | 抖音", "x")], lambda: text.clean_title(c("s")))
+literal("titles", "s string", [("标题 - 微博正文", "标题"), ("a_b", "a_b"), ("x | 抖音", "x")], lambda: text.clean_title(c("s")))
 literal(
-    "case_clean_content",
+    "clean_content",
     "s string, p string",
     [
         ("<p>好物 广告</p>", "news", ""),
@@ -123,34 +111,34 @@ literal(
     lambda: text.clean_content(c("s"), c("p")),
 )
 literal(
-    "case_clean_spans",
+    "clean_spans",
     "s string",
     [("三连一下支持 这是一个很长很长的视频简介内容", "这是一个很长很长的视频简介内容")],
     lambda: text.clean_bilibili(c("s")),
 )
-literal("case_line_breaks", "s string", [("a<br/>b <i>c</i>", "a b <i>c</i>"), ("x<BR>y", "x<BR>y")], lambda: text.break_lines(c("s")))
-literal("case_text_lines", "s string", [(" a  b \n\n c ", "a\nb\nc"), ("", "")], lambda: text.text_lines(c("s")))
-literal("case_hashtags", "s string", [("#a #b# @c @c x", "a|b|@c"), ("none", "")], lambda: text.hashtags(c("s")))
-literal("case_topics", "s string", [("#a b# x # #", "a b"), ("#a", "")], lambda: text.topics(c("s")))
+literal("line_breaks", "s string", [("a<br/>b <i>c</i>", "a b <i>c</i>"), ("x<BR>y", "x<BR>y")], lambda: text.break_lines(c("s")))
+literal("text_lines", "s string", [(" a  b \n\n c ", "a\nb\nc"), ("", "")], lambda: text.text_lines(c("s")))
+literal("hashtags", "s string", [("#a #b# @c @c x", "a|b|@c"), ("none", "")], lambda: text.hashtags(c("s")))
+literal("topics", "s string", [("#a b# x # #", "a b"), ("#a", "")], lambda: text.topics(c("s")))
 literal(
-    "case_tags_xiaohongshu", "s string", [("#a# 种草 好物", "a|种草|好物"), ("x", "")], lambda: text.platform_tags(c("s"), "xiaohongshu")
+    "tags_xiaohongshu", "s string", [("#a# 种草 好物", "a|种草|好物"), ("x", "")], lambda: text.platform_tags(c("s"), "xiaohongshu")
 )
-literal("case_tags_bilibili", "s string", [("#a# x", "bilibili|B站|哔哩哔哩|a"), ("今天聊聊 #黑神话 的游戏 直播 #科技#", "bilibili|B站|哔哩哔哩|黑神话|科技|游戏|直播"), ("#a b# 投稿", "bilibili|B站|哔哩哔哩|a|投稿")], lambda: text.platform_tags(c("s"), "bilibili"))
-literal("case_tags_weibo", "s string", [("#a# @b c", "a|@b")], lambda: text.platform_tags(c("s"), "weibo"))
+literal("tags_bilibili", "s string", [("#a# x", "bilibili|B站|哔哩哔哩|a"), ("今天聊聊 #黑神话 的游戏 直播 #科技#", "bilibili|B站|哔哩哔哩|黑神话|科技|游戏|直播"), ("#a b# 投稿", "bilibili|B站|哔哩哔哩|a|投稿")], lambda: text.platform_tags(c("s"), "bilibili"))
+literal("tags_weibo", "s string", [("#a# @b c", "a|@b")], lambda: text.platform_tags(c("s"), "weibo"))
 literal(
-    "case_leading_tags",
+    "leading_tags",
     "s string, q string",
     [("#x #微博", "q", "微博|社交媒体|q|x")],
     lambda: text.leading_tags(c("s"), c("q"), "weibo"),
 )
 literal(
-    "case_authors",
+    "authors",
     "s string, u string",
     [("博主：张三 @x", "u", "张三"), ("没有", "https://weibo.com/u/42", "微博用户_42"), ("没有", "u", "微博用户")],
     lambda: text.author(c("s"), c("u"), "weibo"),
 )
 literal(
-    "case_service_authors",
+    "service_authors",
     "t string, s string, p string",
     [
         ("见 @甲 x", "@乙", "weibo", "@甲"),
@@ -161,13 +149,13 @@ literal(
     lambda: search.service_author(c("t"), c("s"), c("p")),
 )
 literal(
-    "case_title_authors",
+    "title_authors",
     "t string",
     [("看 @甲 的视频", "@甲"), ("UP主小红 新作", "UP主小红"), ("没有", "B站UP主")],
     lambda: search.title_author(c("t"), "bilibili"),
 )
 literal(
-    "case_videos",
+    "videos",
     "s string, u string",
     [
         ("看 BV1xx", "u", "https://www.bilibili.com/video/BV1xx"),
@@ -177,31 +165,31 @@ literal(
     lambda: text.bilibili_video(c("s"), c("u")),
 )
 literal(
-    "case_video_files",
+    "video_files",
     "s string",
     [("a https://a.b/x.MP4 b", "https://a.b/x.MP4"), ("https://v.douyin.com/q/ x", "https://v.douyin.com/q/"), ("none", None)],
     lambda: text.video_url(c("s")),
 )
 literal(
-    "case_result_videos",
+    "result_videos",
     "u string, p string",
     [("https://www.bilibili.com/x", "bilibili", "https://www.bilibili.com/x"), ("https://a.b/Video/1", "douyin", "https://a.b/Video/1"), ("https://a.b/video", "weibo", "")],
     lambda: text.result_video(c("u"), c("p")),
 )
 literal(
-    "case_images",
+    "images",
     "s string",
     [("https://a.b/1.jpg x https://a.b/1.jpg https://a.b/2.PNG", "https://a.b/1.jpg|https://a.b/2.PNG")],
     lambda: text.image_urls(c("s")),
 )
 literal(
-    "case_best_titles",
+    "best_titles",
     "t string, h string",
     [("a long title", "<title>x</title>", "a long title"), ("ab", "<title>Page title - 微博</title>", "Page title"), ("", "", "未知标题")],
     lambda: text.best_title(c("t"), c("h")),
 )
 literal(
-    "case_url_titles",
+    "url_titles",
     "u string",
     [
         ("https://weibo.com/u/1", "微博用户动态"),
@@ -212,13 +200,13 @@ literal(
     lambda: search.url_title(c("u"), "weibo"),
 )
 literal(
-    "case_best_contents",
+    "best_contents",
     "a string, m string, h string",
     [("x" * 120, "m", "h", "x" * 120), ("x" * 60, "m", "h", "h"), ("a", "y" * 120, "h", "y" * 120), ("a", "m", "<p>" + "z" * 110 + "</p>", "z" * 110), ("a", "m", "<p>short</p>", "<p>short</p>")],
     lambda: text.best_content(c("a"), c("m"), c("h")),
 )
 literal(
-    "case_times",
+    "times",
     "s string",
     [
         ("2024-01-02 03:04:05", "2024-01-02 03:04:05"),
@@ -233,13 +221,13 @@ literal(
     lambda: times.parse_time(c("s")),
 )
 literal(
-    "case_zoned_times",
+    "zoned_times",
     "s string",
     [("2024-01-02T03:04:05+08:00", "2024-01-01 19:04:05"), ("2024-01-02T03:04:05Z", "2024-01-02 03:04:05"), ("2024-01-02 03:04:05", None)],
     lambda: times.zoned_time(c("s")),
 )
 literal(
-    "case_relative_times",
+    "relative_times",
     "s string",
     [
         ("5分钟前", "2024-06-15 11:55:00"),
@@ -256,20 +244,20 @@ literal(
     lambda: times.relative_time(c("s"), at()),
 )
 literal(
-    "case_cache_seconds",
+    "cache_seconds",
     "s string",
     [("2024-06-15 12:00:10", 60), ("2024-06-15 13:00:00", 3600), (None, 86400)],
     lambda: times.cache_seconds(c("s").cast("timestamp_ntz"), at()),
 )
 literal(
-    "case_interval_labels",
+    "interval_labels",
     "ms long, cron string, once boolean",
     [(3_600_000, None, False, "每1小时"), (1_800_000, None, False, "每30分钟"), (0, "0 0 * * *", False, "0 0 * * *"), (0, None, True, "一次性")],
     lambda: text.interval_label(c("ms"), c("cron"), c("once")),
 )
 CLEAN = "干净的内容" * 40
 literal(
-    "case_page_errors",
+    "page_errors",
     "t string, s string, p string",
     [
         ("请登录", CLEAN, "weibo", "需要登录/请登录"),
@@ -281,7 +269,7 @@ literal(
     lambda: F.concat_ws("/", classify.page_error(c("t"), c("s"), c("p"))["kind"], classify.page_error(c("t"), c("s"), c("p"))["indicator"]),
 )
 literal(
-    "case_crawl_errors",
+    "crawl_errors",
     "s string, p string",
     [
         ("navigation timeout", "weibo", "navigation/微博页面导航复杂，建议增加等待时间"),
@@ -292,13 +280,13 @@ literal(
     lambda: F.concat_ws("/", classify.crawl_error(c("s"), c("p"))["type"], classify.crawl_error(c("s"), c("p"))["suggestion"]),
 )
 literal(
-    "case_retry_waits",
+    "retry_waits",
     "s string, n int",
     [("stealth_retry", 0, 10), ("stealth_retry", 9, 30), ("none", 1, 10), ("parsing_retry", 2, 8)],
     lambda: classify.retry_wait(c("s"), c("n")),
 )
 literal(
-    "case_retry_limits",
+    "retry_limits",
     "s string, n int, p string",
     [
         ("network", 1, "x", "180000 15.0"),
@@ -310,7 +298,7 @@ literal(
     lambda: F.concat_ws(" ", *(classify.retry_limits(c("s"), c("n"), c("p"))[x].cast("string") for x in ("timeout_ms", "delay_s"))),
 )
 literal(
-    "case_fetch_services",
+    "fetch_services",
     "script boolean, css string, host string, failed boolean",
     [
         (True, None, "a.b", False, "browser"),
@@ -329,7 +317,7 @@ def fetched(first: Column) -> Column:
 
 
 literal(
-    "case_login_states",
+    "login_states",
     "h string, u string",
     [
         ("<img class=user-avatar>", "https://a.b/login", "logged_in"),
@@ -340,7 +328,7 @@ literal(
     lambda: classify.login_state(c("h"), c("u"), ["user-avatar"], ["请登录"], ["/login"]),
 )
 literal(
-    "case_news_related",
+    "news_related",
     "t string, s string",
     [("how to read this thing", "d", "false"), ("the finest thing of all", "d", "true"), ("thing", "d", "false")],
     lambda: classify.news_related(c("t"), c("s"), "thing"),
@@ -351,4 +339,13 @@ for platform, cases in {
     "xiaohongshu": [("好物", "x", "https://a.b/", "true"), ("好物", "登录", "https://a.b/1", "false"), ("x", "y", "https://a.b/1", "false")],
     "bilibili": [("UP主", "x", "https://a.b/1", "true"), ("游", "戏", "https://a.b/1", "true"), ("游戏", "x", "https://a.b/main", "false")],
 }.items():
-    literal(f"case_results_{platform}", "t string, s string, u string", cases, lambda platform=platform: classify.dynamic_result(c("t"), c("s"), c("u"), platform))
+    literal(f"results_{platform}", "t string, s string, u string", cases, lambda platform=platform: classify.dynamic_result(c("t"), c("s"), c("u"), platform))
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_rule_on_literal_cases(spark, name):
+    columns, cases, make = CASES[name]
+    given = spark.createDataFrame([(k, *x) for k, (*x, _) in enumerate(cases)], f"k long, {columns}").select("k", make().alias("found"))
+    kind = dict(given.dtypes)["found"]
+    found = given.withColumn("found", F.array_join("found", "|") if kind.startswith("array") else F.col("found").cast("string"))
+    assert [r["found"] for r in found.orderBy("k").collect()] == [None if x is None else str(x) for *_, x in cases]
