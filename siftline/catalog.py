@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.plans import addresses, alerting, content, editing, results, rules, saving, service, tables  # noqa: F401  they register their queries
+from siftline.plans import addresses, alerting, content, editing, records, results, rules, saving, service, tables  # noqa: F401  they register their queries
 from siftline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

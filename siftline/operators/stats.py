@@ -69,6 +69,41 @@ def overview(events: DataFrame, as_of: Column, days: int) -> DataFrame:
     return found.withColumn("growth", growth)
 
 
+def overviews(posts: DataFrame, as_of: Column, ranges: tuple[int, ...] = (1, 7, 30, 90)) -> DataFrame:
+    """By range of days and platform, and over all platforms (null): posts, views, engagement, revenue, and their growth in percent.
+
+    Growth is against the range of equal length before; null where that has none. A post is sent once into each range
+    that it belongs to, summed before the shuffle. Columns: platform, at, views, engagement, revenue (exact numbers).
+    """
+    age = F.timestamp_diff("SECOND", F.col("at"), as_of)
+    spread = posts.filter((age >= 0) & (age < 2 * max(ranges) * 86_400)).withColumn("days", F.explode(F.array(*map(F.lit, ranges))))
+    spread = spread.filter(age < 2 * F.col("days") * 86_400)
+    now = age < F.col("days") * 86_400
+    sums = {"views": "views", "engagement": "engagement", "revenue": "revenue"}
+    found = spread.groupingSets([["days", "platform"], ["days"]], "days", "platform").agg(
+        F.count_if(now).alias("posts"), F.count_if(~now).alias("posts_before"),
+        *(F.coalesce(F.sum(F.when(now, F.col(c))), F.lit(0)).alias(n) for n, c in sums.items()),
+        *(F.sum(F.when(~now, F.col(c))).alias(f"{n}_before") for n, c in sums.items()),
+    )
+
+    def growth(name: str) -> Column:
+        new, old = F.col(name).cast("double"), F.nullif(F.col(f"{name}_before").cast("double"), F.lit(0.0))
+        return F.round((new - old) * 100 / old, 4).alias(f"{name}_growth")
+
+    rate = F.round(F.col("engagement").cast("double") * 100 / F.nullif(F.col("views").cast("double"), F.lit(0.0)), 4)
+    return found.select(
+        "days", "platform", "posts", "views", "engagement", "revenue", rate.alias("engagement_rate"),
+        *(growth(n) for n in ("posts", "views", "engagement", "revenue")),
+    )
+
+
+def database_status(tables: dict[str, DataFrame], creators: DataFrame, key: str, name: str, first: int = 3) -> DataFrame:
+    """The number of rows of each table, then the first creators by their key."""
+    counts = table_counts(tables).select(F.lit("count").alias("kind"), "name", F.col("n").alias("value"))
+    some = creators.orderBy(key).limit(first).select(F.lit("creator").alias("kind"), F.col(name).alias("name"), F.col(key).cast("long").alias("value"))
+    return counts.union(some)
+
+
 def _held(c: Column, parts: list[str]) -> Column:
     return has_any(F.lower(c), parts)
 

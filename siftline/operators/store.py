@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType, TimestampNTZType, TimestampType
 
 OBJECT_ID = "^[0-9a-fA-F]{24}$"
 
@@ -112,6 +113,37 @@ def marked_read(notes: DataFrame, sessions: DataFrame, as_of: Column) -> DataFra
     ).select(notes.columns)
 
 
+def modified(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many rows an update matched by their keys, and how many of them it changed."""
+    columns = [c for c in before.columns if c not in keys]
+    new = after.select(*keys, F.struct(*columns).alias("__new"))
+    both = before.select(*keys, F.struct(*columns).alias("__old")).join(new, keys)
+    return both.agg(F.count("*").alias("matched"), F.count_if(~F.col("__old").eqNullSafe(F.col("__new"))).alias("modified"))
+
+
+def without_owned(df: DataFrame, row: object, user: object, key: str = "id", owner: str = "user_id") -> DataFrame:
+    """All but one row, which goes only if it is the user's own."""
+    return without(df, (F.col(key) == F.lit(row)) & (F.col(owner) == F.lit(user)))
+
+
+def without_instance(df: DataFrame, instance: object, platform: str | None = None, key: str = "instance_id") -> DataFrame:
+    """All but the rows of an instance, or only of one of its platforms if that is named."""
+    gone = F.col(key) == F.lit(instance)
+    return without(df, gone if platform is None else gone & (F.col("platform") == platform))
+
+
+def searched_videos(videos: DataFrame, text: str = "", status: str = "all", creator: str = "all") -> DataFrame:
+    """Videos whose title holds the text, of one status and of one creator if they are named."""
+    wanted = {k: v for k, v in (("status", status), ("creator_id", creator)) if v != "all"}
+    return equal_where_given(videos, **wanted).filter(matches(text, F.col("title")))
+
+
+def searched_items(items: DataFrame, text: str = "", category: str = "all") -> DataFrame:
+    """Items whose name or description holds the text, of one category if it is named."""
+    wanted = {} if category == "all" else {"category": category}
+    return equal_where_given(items, **wanted).filter(matches(text, F.col("name"), F.col("description")))
+
+
 def expired_tasks(tasks: DataFrame, as_of: Column, days: int = 7) -> Column:
     ended = F.col("status").isin("completed", "failed", "cancelled")
     return ended & (F.col("completed_at") < as_of - F.make_dt_interval(days=F.lit(days)))
@@ -166,6 +198,32 @@ def as_texts(df: DataFrame) -> DataFrame:
     return df.select(*(text(n, k).alias(n) for n, k in df.dtypes))
 
 
+def iso_text(c: Column) -> Column:
+    """A time as ISO text, with a fraction of a second if there is one."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.concat(whole, F.date_format(c, ".SSSSSS")))
+
+
+def texted(df: DataFrame) -> DataFrame:
+    """Times as ISO text and binary ids as hexadecimal text at any depth; all else stays as it is, in its place.
+
+    The walk is over the schema, so rows are never read one by one: structs, arrays and maps are rebuilt by
+    expressions. A null at any depth stays null.
+    """
+    def walked(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*(walked(c.getField(f.name), f.dataType).alias(f.name) for f in kind)))
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: walked(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(c, lambda _, v: walked(v, kind.valueType))
+        if isinstance(kind, TimestampType | TimestampNTZType):
+            return iso_text(c)
+        return F.lower(F.hex(c)) if isinstance(kind, BinaryType) else c
+
+    return df.select(*(walked(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
+
+
 def enabled(configurations: DataFrame, platform: str | None = None) -> DataFrame:
     """Configurations that are enabled, of one platform if it is named."""
     return equal_where_given(configurations.filter(F.coalesce("enabled", F.lit(False))), platform=platform)

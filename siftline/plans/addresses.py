@@ -23,7 +23,7 @@ SITES = [
 
 
 def listed_sql(values: list[str], k: str) -> str:
-    return f"list_extract([{', '.join(repr(v) for v in values)}], CAST({k} % {len(values)} AS INTEGER) + 1)"
+    return f"list_extract([{', '.join(repr(v) for v in values)}], CAST(({k}) % {len(values)} AS INTEGER) + 1)"
 
 
 def listed(values: list[str], k: Column) -> Column:

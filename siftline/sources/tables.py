@@ -104,6 +104,24 @@ def restored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return found.select(*(_with_times(F.col(f.name), f.dataType, f.name).alias(f.name) for f in schema))
 
 
+def bad_times(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """What of a backup was to be a time and is none, kept as it was: the keys, the field's path and its text."""
+    found = spark.read.schema(_as_text(schema)).json(path)
+
+    def times(kind: StructType, before: str = "") -> list[str]:
+        inner = [f"{before}{f.name}" for f in kind if _is_time(f.name)]
+        return inner + [x for f in kind if isinstance(f.dataType, StructType) for x in times(f.dataType, f"{before}{f.name}.")]
+
+    fields = [F.struct(F.lit(x).alias("field"), F.col(x).alias("text")) for x in times(schema)]
+    each = found.select(*keys, F.inline(F.array(*fields)))
+    return each.filter(F.col("text").isNotNull() & F.try_to_timestamp("text").isNull())
+
+
+def restored_into(spark: SparkSession, path: str, target: str, schema: StructType, clear: bool = False) -> None:
+    """A backup added to a stored table, or put in its place if that is to be cleared first."""
+    restored(spark, path, schema).write.mode("overwrite" if clear else "append").parquet(target)
+
+
 def _is_time(name: str) -> bool:
     return name.endswith(("_at", "At"))
 
