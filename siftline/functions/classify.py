@@ -122,6 +122,11 @@ def feature_score(title: Column, content: Column, platform: str) -> Column:
     return count_of(V.FEATURES[platform][0], F.lower(title), F.lower(content))
 
 
+def has_features_in(low_title: Column, low_content: Column, platform: str) -> Column:
+    """``has_features`` of a title and content that are in lower case already."""
+    return count_of(V.FEATURES[platform][0], low_title, low_content) >= V.FEATURES[platform][1]
+
+
 def has_features(title: Column, content: Column, platform: str) -> Column:
     return feature_score(title, content, platform) >= V.FEATURES[platform][1]
 

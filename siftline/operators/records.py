@@ -25,16 +25,18 @@ def parsed(contents: DataFrame) -> DataFrame:
     """
     title, content, url, platform = (F.col(c) for c in ("title", "content", "url", "platform"))
     worth = contents.filter(classify.worth_processing(title, content))
-    # a generated column is worked out once; a plain one would be again in every filter that is pushed down
-    cleaned = worth.select("*", F.explode(F.array(text.clean_content(content, platform))).alias("clean"))
-    fits = F.when(F.lit(False), F.lit(False))
+    # a generated column is worked out once; a plain one would be again in every filter that is pushed down, and for every word that is sought
+    low = worth.select("*", F.inline(F.array(F.struct(F.lower(title).alias("__title"), F.lower(content).alias("__content")))))
+    featured = fits = F.lit(False)
     author = tags = F.lit(None)
     for p, least in LEAST_CONTENT.items():
         here = platform == p
-        fits = fits.when(here, classify.has_features(title, content, p) & (F.char_length("clean") >= least))
+        featured = F.when(here, classify.has_features_in(F.col("__title"), F.col("__content"), p)).otherwise(featured)
+        fits = F.when(here, F.char_length("clean") >= least).otherwise(fits)
         author = F.when(here, text.author(content, url, p)).otherwise(author)
         tags = F.when(here, text.platform_tags(content, p)).otherwise(tags)
-    found = cleaned.withColumn("specific", F.coalesce(fits, F.lit(False)))
+    once = F.struct(text.clean_content(content, platform).alias("clean"), F.coalesce(featured, F.lit(False)).alias("featured"))
+    found = low.select("*", F.inline(F.array(once))).withColumn("specific", F.coalesce(F.col("featured") & fits, F.lit(False)))
     general = F.char_length("clean") >= 30
     video = F.when(F.col("specific") & (platform == "bilibili"), text.bilibili_video(content, url))
     return found.filter(F.col("specific") | general).select(
