@@ -10,7 +10,7 @@ of powers of two, so that no sequence needs padding.
 
 Shards are ranges of a min-hash sketch of the ids, so documents that share words meet, and
 equal documents beyond one shard's size run on into the next. A shard's size is bounded in tokens, not
-by any key. Word ids come from a cache: the tokenizer never joins text across white space.
+by any key, and a task holds one shard at a time, however many fall to it. Word ids come from a cache: the tokenizer never joins text across white space.
 
 Defined results: a null text is an empty one, which is its end id alone. Repeated rows and repeated
 ids are packed row by row; a null doc_id is passed on; special tokens in a text become what the
@@ -37,6 +37,8 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 SHARD_TOKENS = 1_500_000
+#: Beyond so many partitions a task packs several shards, one after the other.
+MOST_PARTITIONS = 20_000
 K1, B = 1.2, 0.75
 #: Terms of more than one in so many documents of a shard are kept as rows over all documents.
 OFTEN = 10
@@ -384,8 +386,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
         pieces.filter("term is null")
         .select("doc_id", "start", "length", "crc", "doc_tokens", "sketch", "ids")
         .withColumn("place", order)
-        .withColumn("tie", F.xxhash64("doc_id"))
-        .repartitionByRange(max(1, -(-tokens // SHARD_TOKENS)), "place", "tie")
+        .withColumn("tie", F.xxhash64("doc_id", F.crc32("ids")))
+        .repartitionByRange(min(MOST_PARTITIONS, max(1, -(-tokens // SHARD_TOKENS))), "place", "tie")
         .sortWithinPartitions("place", "tie", "doc_id", "start", "crc")
     )
     schema = ", ".join(f"{c} long" for c in PIECE_COLUMNS) + (", ids binary" if with_ids else "")
