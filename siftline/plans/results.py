@@ -5,7 +5,7 @@ Result pages are made of documents: a title of letters and blanks, an address an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import classify, html
@@ -15,26 +15,42 @@ from siftline.plans.content import any_sql, count_sql
 from siftline.plans.registry import AS_OF, as_of, query
 from siftline.sources.tables import table
 
-#: Titles and snippets without any sign of markup, and an address by the id.
-PLAIN_SQL = r"trim(regexp_replace(substring(text, {}, {}), '[^A-Za-z0-9#@]+', ' ', 'g'))"
-RESULTS_SQL = f"""results AS (SELECT doc_id AS page_id, {PLAIN_SQL.format(1, 60)} AS title, 'https://example.com/video/' || doc_id AS url,
-  {PLAIN_SQL.format(61, 150)} AS snippet, list_extract(['weibo', 'douyin', 'xiaohongshu', 'bilibili'], CAST(doc_id % 4 AS INTEGER) + 1) AS platform FROM documents)"""
+#: Titles of 60 characters and all the rest, without any sign of markup, and an address by the id.
+PLAIN_SQL = r"trim(regexp_replace({}, '[^A-Za-z0-9#@]+', ' ', 'g'))"
+RESULTS_SQL = f"""results AS (SELECT doc_id AS page_id, {PLAIN_SQL.format("substring(text, 1, 60)")} AS title, 'https://example.com/video/' || doc_id AS url,
+  {PLAIN_SQL.format("substring(text, 61)")} AS snippet, list_extract(['weibo', 'douyin', 'xiaohongshu', 'bilibili'], CAST(doc_id % 4 AS INTEGER) + 1) AS platform FROM documents)"""
+#: Every 210 characters of a text are a result: 60 of title, 150 of snippet.
+PASSAGES_SQL = f"""cuts AS (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0) // 210)) AS part FROM documents),
+  passages AS (SELECT doc_id AS page_id, {PLAIN_SQL.format("substring(text, part * 210 + 1, 60)")} AS title, 'https://example.com/video/' || doc_id || '-' || part AS url,
+  {PLAIN_SQL.format("substring(text, part * 210 + 61, 150)")} AS snippet FROM cuts)"""
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def plain(at: int, size: int):
-        return F.trim(F.regexp_replace(F.substring("text", at, size), "[^A-Za-z0-9#@]+", " "))
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[^A-Za-z0-9#@]+", " "))
+
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ["weibo", "douyin", "xiaohongshu", "bilibili"]))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("page_id"),
-        plain(1, 60).alias("title"),
+        _plain(F.substring("text", 1, 60)).alias("title"),
         F.concat(F.lit("https://example.com/video/"), F.col("doc_id").cast("string")).alias("url"),
-        plain(61, 150).alias("snippet"),
+        _plain(F.expr("substring(text, 61)")).alias("snippet"),
         F.get(names, (F.col("doc_id") % 4).cast("int")).alias("platform"),
     )
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # cut by one match after another: by places, every cut would walk the text from its beginning
+    each = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).{1,210}|^$"), 0)).alias("part", "cut")
+    return table(spark, sf_dir, "documents").select("doc_id", each).select(
+        F.col("doc_id").alias("page_id"),
+        _plain(F.substring("cut", 1, 60)).alias("title"),
+        F.concat_ws("-", F.concat(F.lit("https://example.com/video/"), F.col("doc_id").cast("string")), F.col("part").cast("string")).alias("url"),
+        _plain(F.expr("substring(cut, 61)")).alias("snippet"),
+    )
+
+
 def _page(body: str):
     """HTML by a template in which {title}, {url} and {snippet} stand for columns."""
     page = F.lit(body)
@@ -68,19 +84,19 @@ for _engine in ENGINE_PAGES:
 
 
 @query(
-    rf"""WITH {RESULTS_SQL} SELECT page_id, title, url, CASE WHEN length(snippet) >= 20 THEN snippet ELSE '' END AS snippet FROM results WHERE title <> ''"""
+    rf"""WITH {PASSAGES_SQL} SELECT page_id, title, url, CASE WHEN length(snippet) >= 20 THEN snippet ELSE '' END AS snippet FROM passages WHERE title <> ''"""
 )
 def linked_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = results(spark, sf_dir).filter("title <> ''").withColumn("html", _page('<h3 class=x><a href="{url}" target=y>{title}</a></h3><p>{snippet}</p>'))
+    pages = passages(spark, sf_dir).filter("title <> ''").withColumn("html", _page('<h3 class=x><a href="{url}" target=y>{title}</a></h3><p>{snippet}</p>'))
     found = pages.select("page_id", F.inline(search.linked_titles(F.col("html"))))
     return found.select("page_id", "title", "url", "snippet")
 
 
 @query(
-    rf"""WITH {RESULTS_SQL} SELECT page_id, title, url, '{V.RESULT_TEXT}' AS snippet FROM results WHERE length(title) > 5"""
+    rf"""WITH {PASSAGES_SQL} SELECT page_id, title, url, '{V.RESULT_TEXT}' AS snippet FROM passages WHERE length(title) > 5"""
 )
 def linked_titles_without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = results(spark, sf_dir).withColumn("html", _page('<p><a href="{url}">{title}</a><a href="/x">登录 {title}</a></p>'))
+    pages = passages(spark, sf_dir).withColumn("html", _page('<p><a href="{url}">{title}</a><a href="/x">登录 {title}</a></p>'))
     found = pages.select("page_id", F.inline(search.linked_titles(F.col("html"))))
     return found.select("page_id", "title", "url", "snippet")
 
@@ -96,7 +112,7 @@ def _records_sql() -> str:
         video = "url" if p in ("douyin", "bilibili") else "CAST(NULL AS VARCHAR)"
         parts.append(
             f"""SELECT page_id, '{p}' AS platform, title, coalesce(nullif(regexp_extract(title, '{name}'), ''), '{V.RESULT_AUTHORS[p]}') AS author,
-      CASE WHEN snippet <> '' THEN snippet ELSE '{V.RESULT_LEADS[p]}' || title END AS content, {found} AS tags, {video} AS video_url
+      substring(CASE WHEN snippet <> '' THEN snippet ELSE '{V.RESULT_LEADS[p]}' || title END, 1, 800) AS content, {found} AS tags, {video} AS video_url
     FROM results WHERE platform = '{p}' AND NOT {any_sql(static, both)} AND NOT {any_sql(paths, "lower(url)")} AND {count_sql(dynamic, both)} >= {least}{related}"""
         )
     rows = " UNION ALL ".join(parts)
@@ -119,7 +135,7 @@ def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {RESULTS_SQL}, n AS (SELECT *, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Daily' ELSE repeat('x', 60) END AS source,
       CASE WHEN page_id % 2 = 0 THEN '3小时前' ELSE '' END AS time FROM results)
     SELECT page_id, title, url, CASE source WHEN '' THEN '{V.NEWS_SOURCES["without"]}' WHEN 'Daily' THEN source ELSE '{V.NEWS_SOURCES["too_long"]}' END AS author,
-      CASE WHEN snippet <> '' THEN snippet ELSE '{V.RESULT_LEADS["news"]}' || title END AS content, '新闻|资讯|the' AS tags,
+      substring(CASE WHEN snippet <> '' THEN snippet ELSE '{V.RESULT_LEADS["news"]}' || title END, 1, 1000) AS content, '新闻|资讯|the' AS tags,
       CASE WHEN time <> '' THEN TIMESTAMP '{AS_OF}' - INTERVAL 3 HOUR END AS published_at
     FROM n WHERE length(title) > 10 AND NOT {any_sql(V.NEWS_EXCLUDED, "lower(title)")}"""
 )
@@ -135,7 +151,7 @@ def news_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE length(title) > 10 AND length(title) < 100 AND contains(lower(title), 'the')"""
 )
 def news_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit('<a href="https://x.y">short</a><a href="/n/'), F.col("page_id").cast("string"), F.lit('"> '), "title", F.lit(" </a>"), F.lit("<a href=q>the the the the</a>"))
+    body = F.concat(F.lit('<a href="https://x.y">short</a><a href="/n/'), F.col("page_id").cast("string"), F.lit('"> '), "title", F.lit(" </a><p>"), "snippet", F.lit("</p><a href=q>the the the the</a>"))
     pages = results(spark, sf_dir).select("page_id", F.lit("https://site.com/a/b").alias("url"), body.alias("html"))
     return search.news_links(pages, "the").select("page_id", F.col("rank").cast("long").alias("rank"), "title", "url")
 
@@ -145,7 +161,7 @@ def news_links(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN page_id % 2 = 0 THEN '微博用户' ELSE '未知作者' END AS author FROM results"""
 )
 def page_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<b class=author>"), "title", F.lit("</b>"))).when(
+    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<p>"), "snippet", F.lit("</p><b class=author>"), "title", F.lit("</b>"))).when(
         F.col("page_id") % 3 == 1, F.lit("<i class='x co-writer'>By</i><a rel=author> By Name</a>")
     ).otherwise("<p>none</p>")
     url = F.when(F.col("page_id") % 2 == 0, "https://weibo.com/1").otherwise("https://a.b")
@@ -153,12 +169,12 @@ def page_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RESULTS_SQL} SELECT page_id, title, 'a|b' AS tags, '' AS missing, '## ' || title || chr(10) || chr(10) || 'x **y** [z](/q)' || chr(10) || chr(10) || '- i' AS markdown
-    FROM results WHERE title <> ''"""
+    f"""WITH {RESULTS_SQL} SELECT page_id, title, 'a|b' AS tags, '' AS missing, '## ' || title || chr(10) || chr(10) || 'x **y** [z](/q) ' || snippet || chr(10) || chr(10) || '- i' AS markdown
+    FROM results WHERE title <> '' AND snippet <> ''"""
 )
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = results(spark, sf_dir).filter("title <> ''").withColumn(
-        "html", F.concat(F.lit("<h2>"), "title", F.lit("</h2><p>x <b>y</b> <a href=/q>z</a></p><ul class=s><li>i</li></ul>"))
+    pages = results(spark, sf_dir).filter("title <> '' and snippet <> ''").withColumn(
+        "html", F.concat(F.lit("<h2>"), "title", F.lit("</h2><p>x <b>y</b> <a href=/q>z</a> "), "snippet", F.lit("</p><ul class=s><li>i</li></ul>"))
     )
     tagged = pages.withColumn("html", F.concat("html", F.lit("<script>var a</script>")))
     fields = html.page_fields(pages.withColumn("html", F.concat("html", F.lit("<i class=t>a</i><i class=t>b</i>"))), {"title": "h2", "tags": ".t", "missing": "#no"})
@@ -166,33 +182,32 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(html.page_markdown(tagged), "page_id")
 
 
-@query(f"WITH {RESULTS_SQL} SELECT page_id, title AS content FROM results WHERE title <> ''")
+@query(f"WITH {RESULTS_SQL} SELECT page_id, snippet AS content FROM results WHERE snippet <> ''")
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place of content by the fixed order, whatever stands before it; a selector without a hit changes nothing."""
-    body = F.concat(F.lit("<div class=content>no</div><nav><main>no</main></nav><article>no</article><main><header>no</header>"), "title", F.lit("<aside>no</aside></main>"))
-    pages = results(spark, sf_dir).filter("title <> ''").select("page_id", "url", body.alias("html"))
+    body = F.concat(F.lit("<div class=content>no</div><nav><main>no</main></nav><article>no</article><main><header>no</header>"), "snippet", F.lit("<aside>no</aside></main>"))
+    pages = results(spark, sf_dir).filter("snippet <> ''").select("page_id", "url", body.alias("html"))
     return html.page_extract(pages, css=".nothing").select("page_id", "content")
 
 
 @query(
-    f"""WITH {RESULTS_SQL} SELECT page_id, title || ' ' || title AS content FROM results WHERE title <> ''"""
+    f"""WITH {RESULTS_SQL} SELECT page_id, title || ' ' || snippet AS content FROM results WHERE title <> '' AND snippet <> ''"""
 )
 def page_selected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("<main>no</main><p class='a pick'> "), "title", F.lit(" </p><p class=pick>"), "title", F.lit("</p><p class=pick2>no</p>"))
-    pages = results(spark, sf_dir).filter("title <> ''").select("page_id", "url", body.alias("html"))
+    body = F.concat(F.lit("<main>no</main><p class='a pick'> "), "title", F.lit(" </p><p class=pick>"), "snippet", F.lit("</p><p class=pick2>no</p>"))
+    pages = results(spark, sf_dir).filter("title <> '' and snippet <> ''").select("page_id", "url", body.alias("html"))
     return html.page_extract(pages, css="p.pick").select("page_id", "content")
 
 
 @query(
-    f"""WITH {RESULTS_SQL} SELECT page_id, title || 'k' || title AS content, CAST(1 AS BIGINT) AS n_links FROM results
-    WHERE title <> '' AND len(string_split(title, ' ')) < 10"""
+    f"""WITH {RESULTS_SQL} SELECT page_id, title || 'k' || CASE WHEN len(string_split(title, ' ')) < 10 THEN snippet ELSE '' END AS content, CAST(1 AS BIGINT) AS n_links FROM results"""
 )
 def page_crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short content gives way to all that is left of the page, and links are those left."""
     from siftline.operators import records
 
-    body = F.concat(F.lit("<nav><a href=/n>no</a></nav><main>"), "title", F.lit("<a href=/k>k</a></main><p>"), "title", F.lit("</p><footer>no</footer>"))
-    pages = results(spark, sf_dir).filter("title <> '' and size(split(title, ' ')) < 10").select("page_id", "url", body.alias("html"))
+    body = F.concat(F.lit("<nav><a href=/n>no</a></nav><main>"), "title", F.lit("<a href=/k>k</a></main><p>"), "snippet", F.lit("</p><footer>no</footer>"))
+    pages = results(spark, sf_dir).select("page_id", "url", body.alias("html"))
     return records.crawled(pages).select("page_id", "content", F.size("links").cast("long").alias("n_links"))
 
 
@@ -292,7 +307,7 @@ def incremental_save(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RESULTS_SQL}, h AS (SELECT page_id AS pos, url, platform, sha256(title) AS content_hash, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'o' || page_id END AS origin_id FROM results),
+    f"""WITH {RESULTS_SQL}, h AS (SELECT page_id AS pos, url, platform, sha256(title || '|' || snippet) AS content_hash, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'o' || page_id END AS origin_id FROM results),
       n AS (SELECT * FROM h WHERE pos % 3 <> 0 AND content_hash NOT IN (SELECT content_hash FROM h WHERE pos % 3 = 0)
         QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY pos) = 1)
     SELECT pos, coalesce(nullif(origin_id, ''), substring(content_hash, 1, 8) || '_17') AS origin_id, (SELECT count(*) FROM h WHERE pos % 3 <> 0) AS total,
@@ -301,7 +316,7 @@ def incremental_save(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.col("page_id")
     rows = results(spark, sf_dir).select(
-        pos.alias("pos"), "url", "platform", F.sha2("title", 256).alias("content_hash"), F.when(pos % 2 == 0, "").otherwise(F.concat(F.lit("o"), pos.cast("string"))).alias("origin_id")
+        pos.alias("pos"), "url", "platform", F.sha2(F.concat("title", F.lit("|"), "snippet"), 256).alias("content_hash"), F.when(pos % 2 == 0, "").otherwise(F.concat(F.lit("o"), pos.cast("string"))).alias("origin_id")
     )
     batch, history = rows.filter("pos % 3 <> 0"), rows.filter("pos % 3 = 0")
     fresh = dedup.saved(batch, history, 17)
