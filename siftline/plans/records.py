@@ -11,7 +11,7 @@ from siftline.operators import stats, store
 from siftline.plans.addresses import listed, listed_sql
 from siftline.plans.registry import PLATFORMS, as_of, query
 from siftline.sources.shared import own_path
-from siftline.sources.tables import backed_up, bad_times, restored
+from siftline.sources.tables import backed_up, bad_times, listing, objects, restored
 from siftline.sources.tables import table as read
 
 
@@ -184,3 +184,36 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.col("metadata")
     names = {"description": "meta_description", "og_url": "meta_og:url", "url": "url", "domain": "domain"}
     return html.page_extract(pictured(spark, sf_dir)).select("page_id", *(meta[key].alias(name) for name, key in names.items()))
+
+
+def written_events(spark: SparkSession, sf_dir: str) -> str:
+    """Events in the shared folder, in a folder by kind and one by day below it."""
+    path = own_path(spark, "objects")
+    read(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day")).write.partitionBy("event_type", "day").parquet(path)
+    return path
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT 'event_type=click/day=' || strftime(ts, '%Y-%m-%d') AS folder FROM events WHERE event_type = 'click')
+    SELECT folder, true AS is_folder, CAST(0 AS BIGINT) AS size, (SELECT count(*) FROM d) AS total_count FROM d"""
+)
+def stored_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies right in one folder of real files: a folder for each day, of size 0."""
+    path = written_events(spark, sf_dir)
+    files = objects(spark, path, prefix="event_type=click/")
+    at = F.expr("substring(path, 1, instr(path, '/event_type=') - 1)")
+    rooted = files.withColumn("path", F.replace("path", at, F.lit("")))
+    return listing(rooted, "/event_type=click").select(F.substring("path", 2, 1 << 20).alias("folder"), "is_folder", "size", "total_count")
+
+
+@query(
+    """SELECT DISTINCT event_type, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error' AND strftime(ts, '%d') < '10' AND
+    strftime(ts, '%Y-%m') = (SELECT min(strftime(ts, '%Y-%m')) FROM events)"""
+)
+def objects_with_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folders of stored files that one prefix finds: errors of the first nine days of the first month."""
+    path = written_events(spark, sf_dir)
+    month = read(spark, sf_dir, "events").agg(F.min(F.date_format("ts", "yyyy-MM"))).first()[0]
+    files = objects(spark, path, prefix=f"event_type=error/day={month}-0")
+    parts = (F.regexp_extract("path", f"/{name}=([^/]+)/", 1).alias(name) for name in ("event_type", "day"))
+    return files.select(*parts).distinct()

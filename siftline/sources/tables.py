@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
+from .listings import Listing
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,10 +55,14 @@ def seeded(old: DataFrame, seed: DataFrame) -> DataFrame:
     return seed if old.isEmpty() else old
 
 
-def objects(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files below a path: path, size, modified; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+def objects(spark: SparkSession, path: str, recursive: bool = True, prefix: str = "") -> DataFrame:
+    """Files below a path: path, size, modified; contents aren't read.
+
+    Only folders that can hold a path with the ``prefix`` (which starts below ``path``) are listed. Where nothing matches
+    there are no rows.
+    """
+    spark.dataSource.register(Listing)
+    return spark.read.format("listing").options(path=path, prefix=prefix, recursive=str(recursive).lower()).load()
 
 
 def with_prefix(files: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
