@@ -92,6 +92,13 @@ def test_edited_pages(spark):
     assert found[7] == (f"<html><body>{'<b>1</b>' * 4000}</body></html>", 4000)
 
 
+@pytest.mark.parametrize("text", ["The&a", "a&amp;&", "AT&T &amp; x&amp", "&#38", "1 & 2 &lt; 3"])
+def test_references_that_were_cut_off_are_written_as_they_stood(text):
+    page = f"<html><body><b title='a&amp;b'>{text}</b><script>a&b</script></body></html>"
+    want = page.replace("'", '"')
+    assert markup.edited(page, ("b, script",), ()) == (want, 2)
+
+
 def test_what_is_dropped_first_changes_what_is_first():
     assert markup.edited("<p class=a>1</p><p>2</p><p>3</p>", ("p",), (".a", "p:first-child")) == ("<html><body><p>3</p></body></html>", 1)
 
