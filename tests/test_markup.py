@@ -99,6 +99,12 @@ def test_references_that_were_cut_off_are_written_as_they_stood(text):
     assert markup.edited(page, ("b, script",), ()) == (want, 2)
 
 
+def test_picked_texts_read_whole_references_only(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x&amp;&amp;&amp</p><p>&a</p><p>&lt;b&gt; &#65;&#x42; &am</p><a href='?a=1&copy=2'>q</a>")], "page_id long, url string, html string")
+    found = markup.picked(pages, {"p": "p", "a": "[href='?a=1&copy=2']"}).first()["found"]
+    assert found == {"p": ["x&&&amp", "&a", "<b> AB &am"], "a": ["q"]}
+
+
 def test_what_is_dropped_first_changes_what_is_first():
     assert markup.edited("<p class=a>1</p><p>2</p><p>3</p>", ("p",), (".a", "p:first-child")) == ("<html><body><p>3</p></body></html>", 1)
 
