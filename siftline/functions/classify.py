@@ -203,9 +203,14 @@ RESULT_RULES = {
 
 def dynamic_result(title: Column, description: Column, url: Column, platform: str = "weibo") -> Column:
     """A search result with no static word or address and enough dynamic words, by the platform's own lists."""
-    static_words, paths, root, dynamic_words, least, between = RESULT_RULES[platform]
-    both = F.lower(F.concat(title, F.lit(between), description))
-    static = has_any(both, static_words) | has_any(F.lower(url), paths)
+    both = F.lower(F.concat(title, F.lit(RESULT_RULES[platform][5]), description))
+    return dynamic_result_in(both, F.lower(url), url, platform)
+
+
+def dynamic_result_in(both: Column, low_url: Column, url: Column, platform: str) -> Column:
+    """The same of what is already in lower case: title and description, with what the platform puts between them, and the address."""
+    static_words, paths, root, dynamic_words, least, _ = RESULT_RULES[platform]
+    static = has_any(both, static_words) | has_any(low_url, paths)
     if root:
         static = static | url.rlike("^https?://[^/]+/?$")
     return ~F.coalesce(static, F.lit(False)) & (count_of(dynamic_words, both) >= least)

@@ -103,9 +103,13 @@ def posts_of(results: DataFrame, platform: str, query: str) -> DataFrame:
     A time is not made up: ``published_at`` is null until records get their default times.
     """
     title, text, url = (F.coalesce(c, F.lit("")) for c in ("title", "snippet", "url"))
-    wanted = results.filter(classify.dynamic_result(title, text, url, platform))
+    # generated columns are worked out once, plain ones for every word that is sought
+    both = F.concat(title, F.lit(classify.RESULT_RULES[platform][5]), text)
+    low = {"__both": F.lower(both), "__all": F.lower(F.concat(title, text)), "__url": F.lower(url)}
+    judged = results.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in low.items())))))
+    wanted = judged.filter(classify.dynamic_result_in(F.col("__both"), F.col("__url"), url, platform))
     if platform in V.RESULT_WORDS:
-        wanted = wanted.filter(has_any(F.lower(F.concat(title, text)), [*V.RESULT_WORDS[platform], query.lower()]))
+        wanted = wanted.filter(has_any(F.col("__all"), [*V.RESULT_WORDS[platform], query.lower()]))
     tags = F.array(*map(F.lit, [*V.RESULT_TAGS[platform], query]))
     if platform != "bilibili":
         tags = F.concat(tags, F.slice(F.regexp_extract_all(F.concat(title, text), F.lit(HASHTAG), F.lit(1)), 1, MOST_TAGS))
@@ -121,7 +125,7 @@ def posts_of(results: DataFrame, platform: str, query: str) -> DataFrame:
             "published_at": F.lit(None).cast("timestamp_ntz"),
             "title": F.substring(title, 1, MOST_TITLE),
         }
-    ).drop("snippet")
+    ).drop("snippet", *low)
 
 
 def news_posts(results: DataFrame, query: str, as_of: Column) -> DataFrame:

@@ -5,6 +5,8 @@ Result pages are made of documents: a title of letters and blanks, an address an
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from siftline.functions import vocabulary as V
 from siftline.operators import dedup, search, stats
 from siftline.plans.content import any_sql, count_sql
 from siftline.plans.registry import AS_OF, as_of, query
+from siftline.sources.shared import stored
 from siftline.sources.tables import table
 
 #: Titles of 60 characters and all the rest, without any sign of markup, and an address by the id.
@@ -25,17 +28,23 @@ PASSAGES_SQL = f"""cuts AS (SELECT doc_id, text, unnest(generate_series(0, great
   {PLAIN_SQL.format("substring(text, part * 210 + 61, 150)")} AS snippet FROM cuts)"""
 
 
+#: Letters one by one: of such a class Java makes a table of bits, of ranges a chain of tests, which took nine times as long.
+NO_SIGN = f"[^{string.ascii_letters}{string.digits}#@]+"
+
+
 def _plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[^A-Za-z0-9#@]+", " "))
+    return F.trim(F.regexp_replace(text, NO_SIGN, " "))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ["weibo", "douyin", "xiaohongshu", "bilibili"]))
-    return table(spark, sf_dir, "documents").select(
+    # generated columns are worked out once; plain ones would be again wherever a filter or a rule reads them
+    plain = F.inline(F.array(F.struct(_plain(F.substring("text", 1, 60)).alias("title"), _plain(F.expr("substring(text, 61)")).alias("snippet"))))
+    return table(spark, sf_dir, "documents").select("doc_id", plain).select(
         F.col("doc_id").alias("page_id"),
-        _plain(F.substring("text", 1, 60)).alias("title"),
+        "title",
         F.concat(F.lit("https://example.com/video/"), F.col("doc_id").cast("string")).alias("url"),
-        _plain(F.expr("substring(text, 61)")).alias("snippet"),
+        "snippet",
         F.get(names, (F.col("doc_id") % 4).cast("int")).alias("platform"),
     )
 
@@ -318,8 +327,9 @@ def saved_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results(spark, sf_dir).select(
         pos.alias("pos"), "url", "platform", F.sha2(F.concat("title", F.lit("|"), "snippet"), 256).alias("content_hash"), F.when(pos % 2 == 0, "").otherwise(F.concat(F.lit("o"), pos.cast("string"))).alias("origin_id")
     )
+    rows = stored(rows, "hashed")  # batch and history read it, and so do the counts; texts stay behind
     batch, history = rows.filter("pos % 3 <> 0"), rows.filter("pos % 3 = 0")
-    fresh = dedup.saved(batch, history, 17)
+    fresh = stored(dedup.saved(batch, history, 17), "saved")
     return fresh.select("pos", "origin_id").crossJoin(F.broadcast(dedup.save_counts(batch, fresh)))  # one row
 
 
