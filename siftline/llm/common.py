@@ -1,4 +1,4 @@
-"""What the corpus operators share: words, batches, what a worker keeps; tables and shared storage are the library's."""
+"""What the corpus operators share: words, batches, what a worker keeps; tables, shared storage and pieces of batches are the library's."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftline.functions.batches import pieces_of  # noqa: F401
 from siftline.sources.shared import stored  # noqa: F401  the operators import it from here
 from siftline.sources.tables import table  # noqa: F401
 
@@ -97,15 +98,6 @@ def per_text(
     return in_batches(given, work, schema, rows.__module__)
 
 
-def pieces_of(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``most_bytes``, so that long texts don't pile up in Python."""
-    if batch.num_rows == 0:
-        return
-    rows = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def remainder(doc_id: object, modulus: int) -> int:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import vocabulary as V
+from siftline.functions.batches import in_pieces
 from siftline.functions.html import Node
 from siftline.functions.markup import Page
 from siftline.functions.selectors import matcher
@@ -104,7 +105,7 @@ def login_states(pages: DataFrame, signs: dict[str, Signs] = PLATFORM_SIGNS, pla
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.bool_(), pa.string(), pa.bool_(), pa.string()]
-        for batch in batches:
+        for batch in in_pieces(batches):
             made = [one(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
             columns = list(zip(*made, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)

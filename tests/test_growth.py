@@ -1,6 +1,11 @@
 """What keeps work and memory in proportion to the tables: columns made once, pages in pieces, rows that need no join."""
 
+import pyarrow as pa
+import pytest
+
 from siftline import catalog
+from siftline.functions import html, markup
+from siftline.operators import logins, records, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +16,26 @@ def plan(df):
 
 def test_result_texts_are_made_once_for_each_platform(spark):
     assert plan(catalog.QUERIES["result_records"](spark, SF)).count("regexp_replace(") <= 8
+
+
+def pages_batch(spark, df):
+    """What an operator gives to ``mapInArrow``, in this process, over a batch of 64 pages of 0.25 MB, as rows a batch."""
+    page = "<p>" + "word " * 50_000 + "</p>"
+    given = {"page_id": list(range(64)), "url": ["https://a.b"] * 64, "__platform": ["p"] * 64, "platform": ["p"] * 64, "html": [page] * 64}
+    return pa.RecordBatch.from_pydict({c: given[c] for c in df.columns})
+
+
+@pytest.mark.parametrize("operator", [html.page_extract, records.crawled, html.page_markdown, lambda x: html.page_fields(x, {"t": "p"}), lambda x: search.results_of(x, "bing"), lambda x: markup.edited_pages(x, {"p": (["p"], [])}), logins.login_states])
+def test_pages_are_read_in_pieces(spark, monkeypatch, operator):
+    sizes = []
+
+    def watched(df, rows, schema):
+        sizes.extend(x.num_rows for x in rows(iter([pages_batch(spark, df)])))
+        return whole(df, rows, schema)
+
+    pages = spark.createDataFrame([(1, "u", "p", "<p>x</p>")], "page_id long, url string, platform string, html string")
+    whole = type(pages).mapInArrow
+    monkeypatch.setattr(type(pages), "mapInArrow", watched)
+    operator(pages)
+    assert sum(sizes) == 64
+    assert max(sizes) <= 8
