@@ -83,12 +83,14 @@ def new_contents(batch: DataFrame, history: DataFrame, addresses: DataFrame | No
 
     A row without a hash is like no other by it. ``addresses`` has history's (url, platform), where they are kept apart.
     """
-    by_hash = batch.join(history.select("content_hash"), "content_hash", "left_anti")
-    known = (history if addresses is None else addresses).filter("url <> ''").select("url", "platform")
-    by_url = by_hash.join(known, ["url", "platform"], "left_anti")
-    once = keep_first(by_url.filter("content_hash is not null"), ["content_hash"], ["pos"]).unionByName(by_url.filter("content_hash is null"))
-    named = once.filter("url <> ''")
-    return keep_first(named, ["url", "platform"], ["pos"]).unionByName(once.filter("coalesce(url, '') = ''"))
+    by_hash = batch.join(history.select("content_hash").distinct(), "content_hash", "left_anti")
+    known = (history if addresses is None else addresses).filter("url <> ''").select("url", "platform").distinct()
+    by_url = by_hash.join(known, ["url", "platform"], "left_anti").withColumn("__alone", F.monotonically_increasing_id())
+    # a row that is like no other is a group of its own, so that no branch of the plan makes the rows again
+    hash_key = F.when(F.col("content_hash").isNull(), F.col("__alone"))
+    once = keep_first(by_url.withColumn("__key", hash_key), ["content_hash", "__key"], ["pos"])
+    url_key = F.when(F.coalesce("url", F.lit("")) == "", F.col("__alone"))
+    return keep_first(once.withColumn("__key", url_key), ["url", "platform", "__key"], ["pos"]).drop("__key", "__alone")
 
 
 def saved(batch: DataFrame, history: DataFrame, as_of: int) -> DataFrame:

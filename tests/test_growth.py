@@ -2,10 +2,11 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siftline import catalog
 from siftline.functions import html, markup
-from siftline.operators import logins, records, search
+from siftline.operators import dedup, logins, records, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,13 @@ def test_pages_are_read_in_pieces(spark, monkeypatch, operator):
     operator(pages)
     assert sum(sizes) == 64
     assert max(sizes) <= 8
+
+
+def test_new_contents_makes_a_batch_once(spark):
+    kind = "pos int, content_hash string, url string, platform string"
+    made = spark.createDataFrame([(1, "a", "u", "p"), (2, "a", "v", "p"), (3, None, "u", "p"), (4, None, "", None), (5, None, None, "p"), (6, "b", "", "p"), (7, "c", "w", None), (8, "d", "w", None), (9, "h", "x", "p")], kind)
+    history = made.filter("pos = 9")
+    found = dedup.new_contents(made.withColumn("url", F.concat("url", F.lit("~"))).withColumn("url", F.rtrim(F.col("url"), F.lit("~"))), history)
+    assert [r["pos"] for r in found.orderBy("pos").collect()] == [1, 4, 5, 6, 7]
+    assert found.columns == made.columns
+    assert plan(found).count("concat(url") <= 1
