@@ -292,14 +292,17 @@ def publish_errors(video: Column, platforms: Column, description: Column, suppor
 def with_publish_errors(requests: DataFrame, videos: DataFrame, supported: list[str]) -> DataFrame:
     """Requests (video_id, platforms, description) with ``error``: what is wrong with them, else with their video, or null.
 
-    Columns of videos: id, status; where an id repeats, one of its rows must be completed. Both sides are shuffled by video
-    unless videos are few; a video that many ask for is split by Spark as a skewed join.
+    Columns of videos: id, status; where an id repeats, one of its rows must be completed. Only requests that are right by
+    themselves are joined, so that those without a video, however many, aren't gathered under one key. Both sides are shuffled
+    by video, for a size guessed from compressed files would broadcast millions of videos; a video that many ask for is split
+    by Spark as a skewed join.
     """
     known = videos.groupBy(F.col("id").alias("video_id")).agg(F.max(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("__done"))
-    joined = requests.join(known, "video_id", "left")
+    judged = requests.withColumn("error", publish_errors(F.col("video_id"), F.col("platforms"), F.col("description"), supported))
+    joined = judged.filter("error is null").drop("error").join(known.hint("merge"), "video_id", "left")
     stored = F.when(F.col("__done").isNull(), "video_missing").when(~F.col("__done"), "video_unfinished")
-    error = F.coalesce(publish_errors(F.col("video_id"), F.col("platforms"), F.col("description"), supported), stored)
-    return joined.withColumn("error", error).select(*requests.columns, "error")
+    checked = joined.withColumn("error", stored).select(*requests.columns, "error")
+    return judged.filter("error is not null").select(*requests.columns, "error").union(checked)
 
 
 def with_registration_errors(requests: DataFrame, users: DataFrame) -> DataFrame:

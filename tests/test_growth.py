@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline import catalog
 from siftline.functions import html, markup
-from siftline.operators import dedup, logins, records, search
+from siftline.operators import dedup, logins, records, search, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,13 @@ def test_new_contents_makes_a_batch_once(spark):
     assert [r["pos"] for r in found.orderBy("pos").collect()] == [1, 4, 5, 6, 7]
     assert found.columns == made.columns
     assert plan(found).count("concat(url") <= 1
+
+
+def test_requests_without_a_video_are_not_joined_and_videos_not_broadcast(spark):
+    videos = spark.createDataFrame([("v1", "completed")], "id string, status string")
+    asked = spark.createDataFrame([(0, "v1", ["weibo"], "d"), (1, "", ["weibo"], "d"), (2, "v2", ["weibo"], "d")], "k int, video_id string, platforms array<string>, description string")
+    found = store.with_publish_errors(asked, videos, ["weibo"])
+    assert {r["k"]: r["error"] for r in found.collect()} == {0: None, 1: "video_required", 2: "video_missing"}
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in joins
+    assert "Union" in joins
