@@ -60,3 +60,14 @@ def test_requests_without_a_video_are_not_joined_and_videos_not_broadcast(spark)
     joins = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in joins
     assert "Union" in joins
+
+
+@pytest.mark.parametrize("css", [None, "p", ".none"])
+def test_a_page_is_parsed_once(monkeypatch, css):
+    parsed, plain = [], html.Tree
+    monkeypatch.setattr(html, "Tree", lambda page: parsed.append(page) or plain(page))
+    found = html.extracted("<title>t</title><nav>n</nav><a href=/k>k</a><main>m<header>h</header></main><p>x</p>", "https://a.b", css)
+    assert found[1] == ("x" if css == "p" else "m")
+    assert found[2] == "tnkmhx"
+    assert [x["url"] for x in found[3]] == ["https://a.b/k"]
+    assert len(parsed) == 1
