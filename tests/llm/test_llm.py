@@ -1,6 +1,7 @@
 """The corpus operators against brute-force versions, round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import heapq
 import itertools
 import math
 import random
@@ -688,6 +689,37 @@ def all_segmentations(lattice, text):
     return [(-u * sentencepiece_nbest.UNIT, n, ids) for u, n, ids in sorted(found)]
 
 
+def test_words_met_again_are_not_worked_on_again(lattice, monkeypatch):
+    monkeypatch.setattr(sentencepiece_nbest, "CACHE_WORDS", 2)
+    monkeypatch.setattr(sentencepiece_nbest, "CACHE_SEARCHED", 1)
+    monkeypatch.setattr(lattice, "cache", {})
+    monkeypatch.setattr(lattice, "searched", {})
+    worked, searched = [], []
+    monkeypatch.setattr(lattice, "best", lambda words, f=lattice.best: [worked.extend(words), f(words)][1])
+    monkeypatch.setattr(lattice, "searched_words", lambda words, f=lattice.searched_words: [searched.extend(words), f(words)][1])
+    first, second, third = (lattice.looked_up(x.split()) for x in ("a b c d", "b c e", "b e a"))
+    assert worked == ["a", "b", "c", "d", "e", "a"] and second[0] == first[1] and third[2] == first[0]
+    every = [lattice.choices(set(x)) for x in ("ab", "bc", "b")]
+    assert searched == ["a", "b", "c"] and every[2]["b"] == every[0]["b"]
+
+
+def test_edges_are_sorted_alike_in_words_of_any_length(lattice, monkeypatch):
+    words = ["internationalization" * 30, "x", "\u4f60\u597dthe", "aaaa"]
+    short = lattice.best(words)
+    monkeypatch.setattr(sentencepiece_nbest, "MOST_NODES", 0)
+    assert lattice.best(words) == short
+
+
+@pytest.mark.parametrize("sizes", [(), (1,), (4,), (4, 4), (4, 1, 3), (4, 4, 4)])
+def test_no_choice_beyond_the_tried_ones_is_among_the_best(sizes):
+    rng = random.Random(5)
+    for _ in range(50):
+        losses = [[0, *sorted(rng.choice([0, 1, 1, 2, 5]) for _ in range(k - 1))] for k in sizes]
+        best = [heapq.nsmallest(4, ((sum(x[c] for x, c in zip(losses, choice, strict=True)), choice) for choice in tried))
+                for tried in (itertools.product(*map(range, sizes)), sentencepiece_nbest.chosen(sizes, 4))]
+        assert best[0] == best[1]
+
+
 def test_nbest_against_all_segmentations(lattice):
     rng = random.Random(2)
     texts = ["hello a", "", "x\nth re", "☃ of", " a", "  ", "été à", "一 你好😀", "aaaaaaaaaa"]
