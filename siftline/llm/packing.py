@@ -20,7 +20,7 @@ tokenizer makes of them. An empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -42,17 +42,17 @@ MOST_PARTITIONS = 20_000
 K1, B = 1.2, 0.75
 #: Terms of more than one in so many documents of a shard are kept as rows over all documents.
 OFTEN = 10
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: So much text is tokenized at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 
 CUT_SCHEMA = (
     "doc_id long, start long, length long, crc long, doc_tokens long, sketch long, ids binary, term int, df long"
 )
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-_recent: dict[bytes, bytes] = {}
-_before: dict[bytes, bytes] = {}
+_known: dict[object, Known] = {}
+_unchanging: dict[object, object] = {}
 _tokenizers: dict[str, object] = {}
 _ending: dict[object, np.ndarray] = {}
 
@@ -69,20 +69,21 @@ def tokenizer(path: str | None):
 
             path = public_tokenizers.path(TOKENIZER)
         _tokenizers[key] = Tokenizer.from_file(path)
-        _recent.clear()
-        _before.clear()
+        _known.clear()
     return _tokenizers[key]
 
 
 @dropped_by
 def drop_words() -> None:
     """Forget tokenizers and words."""
-    for kept in (_recent, _before, _tokenizers, _ending):
+    for kept in (_known, _unchanging, _tokenizers, _ending):
         kept.clear()
 
 
 #: Lower-case letters that the tokenizer's normalizer leaves alone: such a word is one run of letters to it.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = "[a-z\u00df-\u00f6\u00f8-\u00ff]+"
+#: After such letters these make a run of their own. An apostrophe may belong to what follows it.
+SIGNS = string.punctuation.replace("'", "")
 
 
 def ending(tool) -> np.ndarray:
@@ -94,81 +95,109 @@ def ending(tool) -> np.ndarray:
     return _ending[tool]
 
 
-def encoded_plain(words: list[str], tool) -> list[bytes]:
-    """The ids of words of PLAIN letters. Many go through the tokenizer as one text; an id that ends a run ends a word."""
-    out: list[bytes] = []
-    ends = ending(tool)
-    for found in tool.encode_batch_fast([" ".join(words[at : at + 500]) for at in range(0, len(words), 500)], add_special_tokens=False):
-        numbers = np.array(found.ids, "<u4")
-        stops = (4 * (np.flatnonzero(ends[numbers]) + 1)).tolist()
-        ids = numbers.tobytes()
-        out += [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-    return out
+def encoded_plain(words: list[str], tool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each word has) of words of PLAIN letters. Many go through the tokenizer as one text; an id that ends a run ends a word."""
+    if tool not in _unchanging:
+        _unchanging[tool] = type(tool).from_str(tool.to_str())
+        _unchanging[tool].normalizer = None
+    texts = [" ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+    found = [np.array(x.ids, "<u4") for x in _unchanging[tool].encode_batch_fast(texts, add_special_tokens=False)]
+    ids = np.concatenate([np.zeros(0, "<u4"), *found])
+    return ids, np.diff(np.flatnonzero(ending(tool)[ids]), prepend=-1)
 
 
-def encoded(words: list[str], tool) -> list[bytes]:
-    """The ids of each word. Many words go through the tokenizer as one text, told apart by their offsets."""
-    out: list[bytes] = []
+def encoded(words: list[str], tool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each word has). Many words go through the tokenizer as one text, told apart by their offsets."""
+    ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
     for at in range(0, len(words), 500):
         some = words[at : at + 500]
         found = tool.encode(" ".join(some), add_special_tokens=False)
         starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
         sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
-        edges = np.searchsorted(starts, np.cumsum(sizes) - sizes, side="left").tolist() + [len(starts)]
-        ids = np.array(found.ids, "<u4").tobytes()
-        out += [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
-    return out
+        edges = np.searchsorted(starts, np.cumsum(sizes) - sizes, side="left")
+        ids.append(np.array(found.ids, "<u4"))
+        counts.append(np.diff(edges, append=len(starts)))
+    return np.concatenate(ids), np.concatenate(counts)
 
 
-def looked_up(words: list[bytes], tool) -> list[bytes]:
-    """The ids of each of some distinct words.
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
 
-    Words' ids are kept in two generations, so that what is frequent stays and memory is bounded. The
-    tokenizer puts text in lower case and never joins letters with what follows them, so a last full
-    stop or comma makes no word of its own here.
+
+class Known:
+    """Distinct words with their ids: those of word k are the ``sizes[k]`` from ``starts[k]`` on in ``ids``."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray):
+        self.words, self.ids, self.sizes = words, ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+
+def stems_and_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word in two parts, which the tokenizer takes apart too: PLAIN letters and the signs after them, or all and nothing."""
+    stems = pc.ascii_rtrim(words, characters=SIGNS)
+    stems = pc.if_else(pc.match_substring_regex(stems, f"^(?:{PLAIN})$"), stems, words)
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)[1:].astype(np.int64)
+    sizes = (pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy()).astype(np.int64)
+    data = words.buffers()[2] or b""
+    tails = gathered(np.frombuffer(data, np.uint8), ends - sizes, sizes)
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return stems, pa.StringArray.from_buffers(len(words), pa.py_buffer(edges), pa.py_buffer(tails))
+
+
+def looked_up(words: pa.Array, tool) -> Known:
+    """The ids of some distinct words.
+
+    Arrow finds stems that were met before. They are kept up to a number of words; beyond it only these words' stay,
+    so that what is frequent stays and memory is bounded.
     """
-    global _recent, _before
-    if len(_recent) > CACHE_WORDS:
-        _recent, _before = {}, _recent
-    stems, ended = {b".", b","}, []
-    for w, ids in zip(words, map(_recent.get, words), strict=True):
-        if ids is None:
-            if w[-1:] in (b".", b",") and w[-2:-1].isalpha():
-                ended.append(w)
-                w = w[:-1]
-            stems.add(w)
-    kinds: dict[bool, list[tuple[bytes, str]]] = {False: [], True: []}
-    for w in stems.difference(_recent):
-        if (old := _before.get(w)) is not None:
-            _recent[w] = old
-        else:
-            word = w.decode("utf-8", "replace")
-            kinds[PLAIN.fullmatch(word) is not None].append((w, word))
-    for plain, how in ((False, encoded), (True, encoded_plain)):
-        _recent.update(zip([w for w, _ in kinds[plain]], how([word for _, word in kinds[plain]], tool), strict=True))
-    _recent.update((w, _recent[w[:-1]] + _recent[w[-1:]]) for w in ended)
-    return list(map(_recent.__getitem__, words))
+    stems, tails = (x.dictionary_encode() for x in stems_and_tails(words))
+    distinct = stems.dictionary
+    known = _known.get(tool)
+    if known is None:
+        known = Known(distinct.slice(0, 0), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    at = pc.fill_null(pc.index_in(distinct, known.words), -1).to_numpy().copy()
+    fresh = distinct.filter(pa.array(at < 0))
+    plain = pc.match_substring_regex(fresh, f"^(?:{PLAIN})$")
+    others = fresh.filter(pc.invert(plain))
+    # the plain ones first, then the others, after those known
+    rank = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+    place = np.empty(len(rank), at.dtype)
+    place[rank] = len(known.words) + np.arange(len(rank))
+    at[at < 0] = place
+    made = [encoded_plain(fresh.filter(plain).to_pylist(), tool)]
+    made.append(encoded([w.decode("utf-8", "replace") for w in others.view(pa.binary()).to_pylist()], tool))
+    known = Known(
+        pa.concat_arrays([known.words, fresh.filter(plain), others]),
+        np.concatenate([known.ids, *(ids for ids, _ in made)]),
+        np.concatenate([known.sizes, *(sizes for _, sizes in made)]),
+    )
+    if len(known.words) > CACHE_WORDS:
+        known = Known(distinct, gathered(known.ids, known.starts[at], known.sizes[at]), known.sizes[at])
+        at = np.arange(len(distinct))
+    _known[tool] = known
+    signs, counts = encoded(tails.dictionary.to_pylist(), tool)
+    stem, tail = at[stems.indices.to_numpy()], tails.indices.to_numpy()
+    starts = np.stack([known.starts[stem], len(known.ids) + (np.cumsum(counts) - counts)[tail]], axis=1).ravel()
+    sizes = np.stack([known.sizes[stem], counts[tail]], axis=1)
+    return Known(words, gathered(np.concatenate([known.ids, signs]), starts, sizes.ravel()), sizes.sum(1))
 
 
 def ids_of(texts: list[bytes], path: str | None = None) -> list[bytes]:
     """Each text's ids and the end id, as little-endian unsigned 32-bit integers.
 
-    Arrow splits texts and tells distinct words; only these meet the cache and the tokenizer.
+    Arrow splits texts and tells distinct words; only these meet what is known and the tokenizer.
     """
     tool = tokenizer(path)
     # special tokens are matched before lower case is made
     lowered = pa.array([x if b"<|" in x else x.lower() for x in texts], pa.binary())
     words = pc.ascii_split_whitespace(lowered.view(pa.string()))
     coded = words.flatten().dictionary_encode()
-    ids = looked_up(coded.dictionary.view(pa.binary()).to_pylist(), tool)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begins = np.cumsum(sizes) - sizes
+    known = looked_up(coded.dictionary, tool)
     codes = coded.indices.to_numpy()
-    size = sizes[codes]
-    stops = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(stops[-1]) + np.repeat(begins[codes] - stops[:-1], size)
-    found = np.frombuffer(b"".join(ids), "<u4")[place]
-    edges = stops[words.offsets.to_numpy()].tolist()
+    size = known.sizes[codes]
+    found = gathered(known.ids, known.starts[codes], size)
+    edges = np.concatenate([[0], np.cumsum(size)])[words.offsets.to_numpy()].tolist()
     end = np.array([END_ID], "<u4").tobytes()
     return [found[a:b].tobytes() + end for a, b in zip(edges, edges[1:], strict=False)]
 

@@ -470,6 +470,31 @@ def test_words_are_tokenized_alone_as_in_their_text():
         assert np.frombuffer(ids, "<u4").tolist() == [*tool.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_a_word_with_signs_after_it_is_not_tokenized_again(monkeypatch):
+    packing._tokenizers.clear()
+    tool, seen = packing.tokenizer(None), Counter()
+    for name in ("encoded", "encoded_plain"):
+        whole = getattr(packing, name)
+        monkeypatch.setattr(packing, name, lambda words, tool, whole=whole: (seen.update(w for w in words if w[:1].isalpha()), whole(words, tool))[1])
+    texts = ["rösti rösti, rösti$$$ rösti.%%% (rösti) stone!!", "rösti&&& stone?! stone STONE's"]
+    for text in texts:
+        assert np.frombuffer(packing.ids_of([text.encode()])[0], "<u4").tolist() == [*tool.encode(text, add_special_tokens=False).ids, 1]
+    assert seen == {"rösti": 1, "stone": 1, "stone's": 1}
+
+
+@pytest.mark.parametrize("most", [0, 40, 600_000])
+def test_words_of_letters_and_signs_are_tokenized_as_in_their_text(monkeypatch, most):
+    monkeypatch.setattr(packing, "CACHE_WORDS", most)
+    packing._tokenizers.clear()
+    tool, rng = packing.tokenizer(None), random.Random(8)
+    parts = ["a", "the", "stone", "É", "ß", "÷", "e\u0301", "\u0301", "\u0338", "…", "7", "²", "'", "'s", "'ll", "<|", "|>", "<|endoftext|>", "ǆ", "漢", "🙂", "ÿ", *packing.SIGNS]
+    words = ["".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(1500)]
+    for at in range(0, 1500, 100):
+        texts = [" ".join(rng.choices(words[at : at + 150], k=60)) for _ in range(8)] + [" ".join(words[at : at + 100])]
+        for text, ids in zip(texts, packing.ids_of([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*tool.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_neighbours_share_words():
     ids = lambda *x: np.array(x, "<u4").tobytes()
     shard = packing.Shard([(0, 0, 3, ids(5, 6, 1)), (1, 0, 3, ids(7, 8, 1)), (2, 0, 3, ids(5, 9, 1))], np.array([0, 0, *[2.0] * 10]), 3.0)
