@@ -23,19 +23,20 @@ probabilities follow from counts of zero, and the network stays as it starts.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import as_bytes, pieces_of, remainder, remainder_column, stored
+from .common import pieces_of, remainder, remainder_column, stored
 
 HELD_OUT_MODULUS = 10
 ALPHA = 0.1
@@ -51,39 +52,58 @@ CHUNK_TOKENS = 500_000
 #: Documents of so many tokens wait to be scored abreast.
 SCORED_TOKENS = 4_000_000
 PARTS = 16
+#: Words of so many bytes of rows are counted together.
+COUNTED_BYTES = 32 << 20
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]  # of bytes, lower() is for A-Z alone and split() for the six characters
+def split(texts: pa.Array) -> pa.ListArray:
+    """Each text's words, of lower-case letters A-Z, and the end."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    # what the last space is followed by is the end, an empty word
+    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(texts, "", " "))
+    return pc.ascii_split_whitespace(texts)
 
 
 def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % RARE_CLASSES
 
 
+@functools.cache
+def class_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes by a word's only byte, and by its last two as a number."""
+    one = [rare_class(bytes([a])) for a in range(256)]
+    two = [rare_class(bytes([a, b])) for a in range(256) for b in range(256)]
+    return np.array(one, np.int32), np.array(two, np.int32)
+
+
+def rare_classes(words: pa.StringArray) -> np.ndarray:
+    """The class of each word."""
+    edges = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    sizes, last = np.diff(edges), np.maximum(edges[1:] - 1, 0)
+    one, two = class_tables()
+    out = two[256 * data[np.maximum(last - 1, 0)].astype(np.int32) + data[last]]
+    return np.where(sizes > 1, out, np.where(sizes == 1, one[data[last]], rare_class(END))).astype(np.int32)
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (word, class) in texts, summed as far as memory allows."""
-    counts: Counter = Counter()
+    waiting: list[pa.Array] = []
+    held = 0
 
     def out() -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([w.decode("utf-8", "replace") for w in words], pa.string()),
-                pa.array([rare_class(w) for w in words], pa.int32()),
-                pa.array(list(counts.values()), pa.int64()),
-            ],
-            names=["word", "class", "n"],
-        )
+        counts = pa.concat_arrays(waiting).value_counts()
+        words = counts.field("values")
+        return pa.RecordBatch.from_arrays([words, pa.array(rare_classes(words)), counts.field("counts")], names=["word", "class", "n"])
 
     for batch in batches:
         for part in pieces_of(batch):
-            for text in as_bytes(part.column(0)):
-                counts.update(words_of(text))
-            if len(counts) > 300_000:
+            waiting.append(split(part.column(0)).flatten())
+            held += part.nbytes
+            if held >= COUNTED_BYTES:
                 yield out()
-                counts.clear()
-    if counts:
+                waiting, held = [], 0
+    if waiting:
         yield out()
 
 
@@ -113,24 +133,19 @@ class Vocabulary:
         self.shape = gru.Shape(np.append(np.unique(of, return_index=True)[1], size), RARE_CLASSES)
         self.mass = np.concatenate([word_mass, self.rare_mass])
         # by place in the head: the model's id, the count, and log10 of the count with alpha, of the word within its class
-        self.place = {w: k for k, (w, _) in enumerate(head)}
-        self.end = self.place[END]
+        self.words = pa.array([w for w, _ in head], pa.binary()).view(pa.string())
+        self.end = [w for w, _ in head].index(END)
         self.id = np.array([k if k < size else size + rare_class(w) for k, (w, _) in enumerate(head)], np.int32)
         self.count = np.array([n for _, n in head], np.int64)
         self.log = np.log10(self.count + ALPHA)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: pa.StringArray) -> np.ndarray:
         """Where each word stands in the head; -1 for rare words."""
-        get = self.place.get
-        return np.array([get(w, -1) for w in words], np.int64)
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
 
-    def numbers(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+    def numbers(self, words: pa.StringArray, places: np.ndarray) -> np.ndarray:
         """What the model reads: a vocabulary word's id, or the class of another word."""
-        out = self.id[places]
-        first = self.shape.words
-        for k in np.flatnonzero(places < 0).tolist():
-            out[k] = first + rare_class(words[k])
-        return out
+        return np.where(places < 0, self.shape.words + rare_classes(words), self.id[places])
 
 
 def shifted(numbers: np.ndarray, end: int) -> np.ndarray:
@@ -217,36 +232,45 @@ def encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterato
     first = vocabulary.shape.words
     row = TaskContext.get().partitionId() << 40
     rare_log = np.log10(vocabulary.rare_mass)
-    types = [*META_TYPES, pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
     names = [*META, "numbers", "rare_words", "rare_counts"]
     for batch in batches:
         for part in pieces_of(batch):
-            made = []
-            for doc_id, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                words = words_of(text)
-                places = vocabulary.places(words)
-                numbers = vocabulary.numbers(words, places)
-                head = places[places >= 0]
-                rare = Counter(words[k] for k in np.flatnonzero(places < 0).tolist())
-                # a word of the head without a vector has all that its class leaves open; a rare one lacks its count
-                within = vocabulary.log[head[head >= first]].sum() - rare_log[numbers[numbers >= first] - first].sum()
-                made.append(
-                    (
-                        row,
-                        doc_id,
-                        remainder(doc_id, HELD_OUT_MODULUS) == 0,
-                        len(words),
-                        int((vocabulary.count[head] > 0).sum()),
-                        float(vocabulary.log[head].sum()),
-                        float(within),
-                        numbers.astype(NUMBER).tobytes(),
-                        [w.decode("utf-8", "replace") for w in rare],
-                        list(rare.values()),
-                    )
-                )
-                row += 1
-            columns = zip(*made, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            texts = split(part.column(1))
+            # all that depends on the word alone is worked out for distinct words
+            coded = texts.flatten().dictionary_encode()
+            words, codes = coded.dictionary, coded.indices.to_numpy()
+            places = vocabulary.places(words)
+            numbers = vocabulary.numbers(words, places)
+            head, log = places >= 0, vocabulary.log[places]
+            # a word of the head without a vector has all that its class leaves open; a rare one lacks its count
+            within = np.where(places >= first, log, 0)
+            within[numbers >= first] -= rare_log[numbers[numbers >= first] - first]
+            edges = texts.offsets.to_numpy() - texts.offsets[0].as_py()
+            sizes = np.diff(edges)
+
+            def by_text(values: np.ndarray, codes=codes, edges=edges) -> np.ndarray:
+                return np.add.reduceat(values[codes], edges[:-1])  # no text is without its end
+
+            at = np.flatnonzero(~head[codes])
+            pairs, times = np.unique(np.repeat(np.arange(len(sizes)) * len(words), sizes)[at] + codes[at], return_counts=True)
+            rare_edges = pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1) * len(words)), pa.int32())
+            read = numbers.astype(NUMBER)[codes].tobytes()
+            starts = (2 * edges).astype(np.int32)
+            doc_ids = part.column(0)
+            arrays = [
+                pa.array(row + np.arange(len(sizes)), pa.int64()),
+                doc_ids,
+                pa.array([remainder(x, HELD_OUT_MODULUS) == 0 for x in doc_ids.to_pylist()], pa.bool_()),
+                pa.array(sizes, pa.int64()),
+                pa.array(by_text((head & (vocabulary.count[places] > 0)).astype(np.int64))),
+                pa.array(by_text(np.where(head, log, 0))),
+                pa.array(by_text(within)),
+                pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(starts), pa.py_buffer(read)]),
+                pa.ListArray.from_arrays(rare_edges, words.take(pa.array(pairs % max(1, len(words))))),
+                pa.ListArray.from_arrays(rare_edges, pa.array(times, pa.int32())),
+            ]
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -577,6 +578,48 @@ def test_lm_base_scores(docs):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_lm_words_are_numbered_as_one_by_one(monkeypatch):
+    """And work on each occurrence is Arrow's: once tables are made, no class is worked out in Python."""
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 6)
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls()), "partitionId": lambda self: 2}))
+    texts = ["The cat THE cat a", None, "", " \x0b\n", "x\x1cy É é\r É\x0c\x00 \x85\xa0z", "ab b ab zb the end", "漢 字 漢 a\tb  ", *(f"the w{k} cat w{k % 7}" for k in range(300))]
+    words = [[*(w.lower() for w in (t or "").encode().split()), b""] for t in texts]
+    batch = pa.record_batch({"doc_id": pa.array([None, *range(1, len(texts))], pa.int64()), "text": texts})
+    calls, plain = [], lm_scoring.rare_class
+    monkeypatch.setattr(lm_scoring, "rare_class", lambda w: (calls.append(w), plain(w))[1])
+    list(lm_scoring.count_words([batch.select(["text"])]))
+    calls.clear()
+    counted = [r for b in lm_scoring.count_words([batch.select(["text"]).slice(3), batch.select(["text"]).slice(0, 3)]) for r in b.to_pylist()]
+    assert len(calls) < 10
+    counts = Counter(w for ws in words for w in ws)
+    found = Counter()
+    for r in counted:
+        assert r["class"] == plain(r["word"].encode())
+        found[r["word"].encode()] += r["n"]
+    assert found == counts
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]
+    classes: dict = {}
+    for w, n in counts.items():
+        if w not in dict(head[:6]):
+            mass, kinds = classes.get(plain(w), (0, 0))
+            classes[plain(w)] = (mass + n, kinds + 1)
+    vocabulary = lm_scoring.Vocabulary(head, classes, sum(counts.values()), len(counts))
+    calls.clear()
+    got = [r for b in lm_scoring.encode([batch.slice(0, 2), batch.slice(2)], vocabulary) for r in b.to_pylist()]
+    assert len(calls) < 10
+    place = {w: k for k, (w, _) in enumerate(head)}
+    for k, (r, ws) in enumerate(zip(got, words, strict=True)):
+        heads, rare = [w for w in ws if w in place], Counter(w.decode() for w in ws if w not in place)
+        numbers = [place[w] if place.get(w, 6) < 6 else 6 + plain(w) for w in ws]
+        assert np.frombuffer(r["numbers"], "<i2").tolist() == numbers
+        assert (r["row"], r["doc_id"], r["n_tokens"], r["head_known"]) == ((2 << 40) + k, k or None, len(ws), len(heads))
+        assert r["held_out"] == (zlib.crc32(str(k).encode() if k else b"") % 10 == 0)
+        assert dict(zip(r["rare_words"], r["rare_counts"], strict=True)) == rare
+        assert abs(r["head_log"] - sum(math.log10(counts[w] + 0.1) for w in heads)) < 1e-9
+        within = sum((math.log10(counts[w] + 0.1) if w in place else 0) - math.log10(vocabulary.rare_mass[plain(w)]) for w, x in zip(ws, numbers, strict=True) if x >= 6)
+        assert abs(r["within"] - within) < 1e-9
+
+
 def test_lm_learns_what_follows_what(spark):
     rng = random.Random(6)
     rows = []
