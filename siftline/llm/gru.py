@@ -13,6 +13,8 @@ import numpy as np
 HIDDEN = 16
 #: Output logits are worked out for so many tokens at a time, which a processor's cache holds.
 BLOCK = 2048
+#: States are worked out for so many lanes at a time.
+ABREAST = 512
 FLOAT = np.float32
 
 
@@ -64,29 +66,35 @@ def run(p: dict, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None = No
     Returns (states [steps, lanes, hidden], what ``gradients`` needs or None).
     """
     n = HIDDEN
-    # gates are (1 + tanh(a / 2)) / 2, the logistic function, which needs no guard against overflow
-    half = np.repeat(np.array([0.5, 1], FLOAT), [2 * n, n])
-    u = p["u"] * half
-    u_gates, u_new = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
-    given = ((p["x"] + p["b"]) * half)[inputs]
-    states = np.empty((*inputs.shape, n), FLOAT)
-    before, gates, new = (np.empty_like(states), np.empty((*inputs.shape, 2 * n), FLOAT), np.empty_like(states)) if back else (None,) * 3
-    for t in range(len(inputs)):
-        if keep is not None:
-            h = h * keep[t][:, None]
-        g = h @ u_gates
-        g += given[t, :, : 2 * n]
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5
-        r, z = g[:, :n], g[:, n:]
-        c = (r * h) @ u_new
-        c += given[t, :, 2 * n :]
-        c = np.tanh(c, out=c)
-        if back:
-            before[t], gates[t], new[t] = h, g, c
-        h = h + z * (c - h)
-        states[t] = h
+    steps, lanes = inputs.shape
+    u_gates, u_new = -p["u"][:, : 2 * n], np.ascontiguousarray(p["u"][:, 2 * n :])
+    table = p["x"] + p["b"]
+    table[:, : 2 * n] *= -1
+    states = np.empty((steps, lanes, n), FLOAT)
+    before, gates, new = (np.empty_like(states), np.empty((steps, lanes, 2 * n), FLOAT), np.empty_like(states)) if back else (None,) * 3
+    # so many lanes at a time as a processor's cache holds; an exp that overflows makes a gate of 0, as it should
+    with np.errstate(over="ignore"):
+        for at in range(0, lanes, ABREAST):
+            part = slice(at, at + ABREAST)
+            given = table[inputs[:, part]]
+            now = h[part]
+            for t in range(steps):
+                if keep is not None:
+                    now = now * keep[t, part][:, None]
+                g = now @ u_gates
+                g += given[t, :, : 2 * n]
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                r, z = g[:, :n], g[:, n:]
+                c = (r * now) @ u_new
+                c += given[t, :, 2 * n :]
+                np.tanh(c, out=c)
+                if back:
+                    before[t, part], gates[t, part], new[t, part] = now, g, c
+                c -= now
+                c *= z
+                now = np.add(now, c, out=states[t, part])
     return states, (before, gates, new) if back else None
 
 
@@ -108,13 +116,18 @@ def exponentials(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarra
     return logits @ np.ones(logits.shape[1], logits.dtype), top
 
 
+def stable_order(values: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of whole numbers below ``most``; short ones are sorted by their digits."""
+    return np.argsort(values.astype(np.int16) if most < 1 << 15 else values, kind="stable")
+
+
 def outputs(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray, grads: dict | None):
     """(log-probabilities, gradient for the states); sets in ``grads`` the gradients of the output parameters.
 
     Gradients are of the summed log-probability.
     """
     classes = shape.class_of[targets]
-    order = np.argsort(classes, kind="stable")  # from here on tokens of a class stand together
+    order = stable_order(classes, shape.classes)  # from here on tokens of a class stand together
     classes, targets = classes[order], targets[order]
     rows = np.arange(min(len(targets), BLOCK))
     ended = np.ones((len(targets), HIDDEN + 1), FLOAT)
@@ -141,24 +154,29 @@ def outputs(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray, grad
             grads["c"] += h.T @ logits
             np.matmul(logits, p["c"].T, out=d_states[part])
     cuts = np.searchsorted(classes, np.arange(shape.word_classes + 1)).tolist()
+    edges = shape.edges.tolist()
+    within = targets[: cuts[-1]] - shape.edges[classes[: cuts[-1]]]
+    every, sums = np.arange(cuts[-1]), np.ones(cuts[-1], FLOAT)
     for k in range(shape.word_classes):
         mine = slice(cuts[k], cuts[k + 1])
-        a, b = shape.edges[k], shape.edges[k + 1]
+        a, b = edges[k], edges[k + 1]
         if cuts[k] == cuts[k + 1] or b - a == 1:
             continue
         h = ended[mine]
         w = p["w"][a:b]
         inner = h @ w.T
-        at = targets[mine] - a
-        here = np.arange(len(h))
-        picked = inner[here, at]
+        at, here = within[mine], every[: len(h)]
+        found[mine] += inner[here, at]
         total, top = exponentials(inner, small_w)
-        found[mine] += picked - np.log(total) - top
+        sums[mine] = total
+        if not small_w:
+            found[mine] -= top
         if grads is not None:
             inner *= (-1 / total)[:, None]
             inner[here, at] += 1
             np.matmul(inner.T, h, out=grads["w"][a:b])
             d_states[mine] += inner @ w
+    found[: cuts[-1]] -= np.log(sums)
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     return found[back], None if d_states is None else d_states[back, :HIDDEN]
@@ -199,7 +217,7 @@ def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np
         ],
         axis=1,
     )
-    order = np.argsort(inputs.ravel(), kind="stable")
+    order = stable_order(inputs.ravel(), shape.ids)
     ids = inputs.ravel()[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     grads["x"] = (ids[first], np.add.reduceat(flat_given[order], first, axis=0))
@@ -218,9 +236,13 @@ class Trainer:
 
     def step(self, name: str, where, g: np.ndarray) -> None:
         g = np.clip(g, -5, 5)
-        s = self.sums[name]
-        s[where] += g * g
-        self.p[name][where] += self.RATE * g / np.sqrt(s[where])
+        s = self.sums[name][where]
+        s += g * g
+        if not isinstance(where, slice):
+            self.sums[name][where] = s
+        g *= self.RATE
+        g /= np.sqrt(s)
+        self.p[name][where] += g
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray) -> float:
         """One pass over a token stream; starts: where a document begins. Returns the summed log-probability."""
@@ -239,9 +261,10 @@ class Trainer:
             scale = 64 / found.size
             for name in ("u", "b", "c"):
                 self.step(name, slice(None), g[name] * scale)
-            seen = np.unique(grid[1][part])
             # all words of a class that occurred have a gradient
-            rows = np.flatnonzero(np.isin(self.shape.class_of[: self.shape.words], self.shape.class_of[seen]))
+            seen = np.bincount(self.shape.class_of[grid[1][part]].ravel(), minlength=self.shape.classes) > 0
+            words = self.shape.class_of[: self.shape.words]
+            rows = slice(None) if seen[: self.shape.word_classes].all() else np.flatnonzero(seen[words])
             self.step("w", rows, g["w"][rows] * scale)
             self.step("x", g["x"][0], g["x"][1] * scale)
             score += float(found.sum())
