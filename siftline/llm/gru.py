@@ -71,7 +71,7 @@ def run(p: dict, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None = No
     table = p["x"] + p["b"]
     table[:, : 2 * n] *= -1
     states = np.empty((steps, lanes, n), FLOAT)
-    before, gates, new = (np.empty_like(states), np.empty((steps, lanes, 2 * n), FLOAT), np.empty_like(states)) if back else (None,) * 3
+    before, resets, updates, new = (np.empty_like(states) for _ in range(4)) if back else (None,) * 4
     # so many lanes at a time as a processor's cache holds; an exp that overflows makes a gate of 0, as it should
     with np.errstate(over="ignore"):
         for at in range(0, lanes, ABREAST):
@@ -91,11 +91,11 @@ def run(p: dict, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None = No
                 c += given[t, :, 2 * n :]
                 np.tanh(c, out=c)
                 if back:
-                    before[t, part], gates[t, part], new[t, part] = now, g, c
+                    before[t, part], resets[t, part], updates[t, part], new[t, part] = now, r, z, c
                 c -= now
                 c *= z
                 now = np.add(now, c, out=states[t, part])
-    return states, (before, gates, new) if back else None
+    return states, (before, resets, updates, new) if back else None
 
 
 def log_probabilities(p: dict, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -186,13 +186,12 @@ def gradients(p: dict, shape: Shape, inputs, targets, h, keep) -> tuple[dict, np
     """(gradients of the summed log-probability, log-probabilities, last state): back-propagation within the window."""
     n = HIDDEN
     steps, lanes = inputs.shape
-    states, (before, gates, new) = run(p, inputs, h, keep, back=True)
+    states, (before, r_all, z_all, new) = run(p, inputs, h, keep, back=True)
     grads: dict = {}
     found, d_out = outputs(p, shape, states.reshape(-1, n), targets.ravel(), grads)
     d_out = d_out.reshape(steps, lanes, n)
     d_given = np.empty((steps, lanes, 3 * n), FLOAT)
     u_gates_t, u_new_t = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
-    r_all, z_all = gates[:, :, :n], gates[:, :, n:]
     slope_r, slope_z, slope_c = r_all * (1 - r_all) * before, z_all * (1 - z_all) * (new - before), z_all * (1 - new * new)
     stay = 1 - z_all
     d_h = np.zeros((lanes, n), FLOAT)
