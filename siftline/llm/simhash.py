@@ -104,7 +104,10 @@ def frequent_keys(split: DataFrame) -> DataFrame:
 
 
 def links(bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that differ at MAX_DISTANCE bits or fewer. ``bits`` has distinct rows."""
+    """Pairs (a, b) of distinct fingerprints that differ at MAX_DISTANCE bits or fewer. ``bits`` has distinct rows.
+
+    Spark doesn't know that a fingerprint becomes some 35 keys and would broadcast them by the size of one; both sides are shuffled.
+    """
     spark = bits.sparkSession
     split = halves(bits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bits"))
     hot = stored(frequent_keys(split), "frequent-keys")
@@ -112,7 +115,7 @@ def links(bits: DataFrame) -> DataFrame:
     left, right = keys(split, 0), keys(split, 1)
     on = ["key"]
     if n_hot:
-        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot.hint("merge")
         flagged = few.withColumn("hot", F.lit(True))
         quarter = F.explode(F.when(F.col("hot"), F.expr(QUARTERS)).otherwise(F.expr("array(4L)"))).alias("quarter")
         byte = F.expr("if(quarter = 4, 0L, shiftright(other, int(8 * quarter)) & 255L)").alias("byte")
@@ -122,7 +125,7 @@ def links(bits: DataFrame) -> DataFrame:
         )
         on += ["quarter", "byte"]
     near = F.expr(f"bit_count(a ^ b) <= {MAX_DISTANCE} and (shiftright(key, 32) % 33 < 32 or a < b)")
-    pairs = left.select(*on, F.col("bits").alias("a")).join(right.select(*on, F.col("bits").alias("b")), on)
+    pairs = left.select(*on, F.col("bits").alias("a")).join(right.select(*on, F.col("bits").alias("b")).hint("merge"), on)
     return pairs.filter(near).select("a", "b").distinct()
 
 
@@ -132,11 +135,14 @@ def as_hex(bits: Column) -> Column:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+
+    Its joins are shuffles, for sizes guessed from compressed files would broadcast a row for every fingerprint.
+    """
     marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
     distinct = stored(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("bits"))).withColumnRenamed("node", "bits")
-    rooted = distinct.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    rooted = distinct.join(roots.hint("merge"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("bits", "root").join(named, "root").select("bits", "component_id")
-    return marked.join(of, "bits").select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")
+    of = rooted.select("bits", "root").join(named.hint("merge"), "root").select("bits", "component_id")
+    return marked.join(of.hint("merge"), "bits").select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")
