@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MAX_ROUNDS = 60
+#: With so many links at most, what their nodes are linked to is broadcast (32 bytes a node); with more it is joined by a shuffle.
+#: Links are counted, for the size of a compressed file says too little.
+BROADCAST_LINKS = 100_000
 
 
 def digest(edges: DataFrame) -> tuple[int, int]:
@@ -20,17 +23,22 @@ def digest(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` with what ``least`` has for their a, if there are ``n`` links."""
+    return edges.join(F.broadcast(least) if n <= BROADCAST_LINKS else least.hint("merge"), "a")
+
+
+def large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every neighbour greater than a node is linked to the least of the node's neighbours and itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return with_least(both, least, n).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its lesser neighbours are linked to the least of them. Edges point from greater to lesser."""
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    moved = edges.join(least, "a").filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    moved = with_least(edges, least, n).filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
 
 
@@ -45,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = stored(small_star(large_star(edges)), "star")
+        edges = stored(small_star(large_star(edges, before[0]), before[0]), "star")
         after = digest(edges)
         if after == before:
             break

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from siftline.llm import simhash
+from siftline.llm import components, simhash
 
 
 def plan(df):
@@ -35,3 +35,15 @@ def test_groups_are_joined_by_shuffles(spark):
     groups = simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert "Broadcast" not in plan(groups)
     assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+@pytest.mark.parametrize("most", [components.BROADCAST_LINKS, 0])
+def test_links_are_broadcast_by_their_number(spark, monkeypatch, most):
+    plans, kept = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    monkeypatch.setattr(components, "BROADCAST_LINKS", most)
+    links = [(k, k + 1) for k in range(20)] + [(50, k) for k in range(51, 70)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(21)} | {k: 50 for k in range(50, 70)}
+    assert {"BroadcastHashJoin" in p for p in plans[1:]} == {most > 0}
+    assert {"SortMergeJoin" in p for p in plans[1:]} == {most == 0}
