@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline as P
 from siftline.llm import components, simhash
 
 
@@ -47,3 +48,13 @@ def test_links_are_broadcast_by_their_number(spark, monkeypatch, most):
     assert got == {k: 0 for k in range(21)} | {k: 50 for k in range(50, 70)}
     assert {"BroadcastHashJoin" in p for p in plans[1:]} == {most > 0}
     assert {"SortMergeJoin" in p for p in plans[1:]} == {most == 0}
+
+
+@pytest.mark.parametrize("most", [P.BROADCAST_IDS, 0])
+def test_documents_that_go_are_broadcast_by_their_number(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "BROADCAST_IDS", most)
+    texts = ["a b c d e f", "a b c d e f", "g h i j k l", "m n o p q r", "g h i j k l"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = P.one_of_each_group(spark, docs, "")
+    assert ("Broadcast" in plan(found)) == (most > 0)
+    assert {r["doc_id"] for r in found.collect()} == {0, 2, 3}
