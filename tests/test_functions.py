@@ -1,8 +1,10 @@
 """Column functions on literal cases."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import catalog
 from siftline.functions import classify, html, text, times, urls
 
 
@@ -162,6 +164,23 @@ def test_page_extract(spark):
     assert (two["title"], two["content"], two["links"]) == ("", "", [])
 
 
+def test_page_contents_reads_cut_references_as_its_sql_does(spark, tmp_path):
+    parts = ["say &quot", "&quotOne", "a &amp; b &amp", "&ampTwo", "&am", "&a", "x &", "&quo", "&quot;q&quot;", "&copy", "&copy;&middot;", "&#3", "&#38", "&lt", "&lt;b&gt;", "a=1&b=2", "&&amp;&"]
+    rows = [(k, "http://a.b", f"<title>{x}</title><nav>n</nav><article><h1>{x}</h1><p><a href='?a=1&copy;=2'>{x}y</a></p></article>") for k, x in enumerate(parts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(catalog.ORACLES["page_contents"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["page_contents"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert [x[1] for x in sorted(want)][:4] == ["say &quot", "&quotOne", "a & b &", "&Two"]
+
+
+def test_cut_references_leave_attributes_alone():
+    page = "<a title='1>2&3' href='http://c.d/?a=1&b=2&amp;c=3'>x&y &quot</a><script>a&&b</script><img src='http://c.d/?a&b' alt='u>v&w'/>"
+    _, content, text, links, images, _ = html.extracted(page, None)
+    assert (content, text) == ("x&y &quot", "x&y &quot")
+    assert links == [{"url": "http://c.d/?a=1&b=2&c=3", "text": "x&y &quot", "title": "1>2&3"}]
+    assert images == [{"url": "http://c.d/?a&b", "alt": "u>v&w", "title": ""}]
+
+
 @pytest.mark.parametrize(
     ("page", "css", "content"),
     [
