@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import as_bytes, per_text, stored
-from .components import components
+from .components import BROADCAST_LINKS, components
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -137,12 +137,16 @@ def as_hex(bits: Column) -> Column:
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Its joins are shuffles, for sizes guessed from compressed files would broadcast a row for every fingerprint.
+    Its joins are shuffles, for sizes guessed from compressed files would broadcast a row for every fingerprint; only where few have a
+    link their components are broadcast, so that a large one isn't one task.
     """
     marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
     distinct = stored(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("bits"))).withColumnRenamed("node", "bits")
-    rooted = distinct.join(roots.hint("merge"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("bits", "root").join(named.hint("merge"), "root").select("bits", "component_id")
+    linked = stored(distinct.join(roots.hint("merge"), "bits"), "linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = F.broadcast(named) if linked.count() <= BROADCAST_LINKS else named.hint("merge")
+    of = linked.join(named, "root").select("bits", "component_id")
+    of = distinct.join(of.hint("merge"), "bits", "left").select("bits", F.coalesce("component_id", "least").alias("component_id"))
+    of = stored(of, "components")  # read again, so that Spark can split a fingerprint that very many rows have
     return marked.join(of.hint("merge"), "bits").select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")

@@ -31,9 +31,14 @@ def test_frequent_keys_are_broadcast_by_their_number(spark, monkeypatch, most):
     assert found.count() == 28
 
 
-def test_groups_are_joined_by_shuffles(spark):
+@pytest.mark.parametrize("most", [simhash.BROADCAST_LINKS, -1])
+def test_groups_are_joined_by_shuffles_but_for_few_components(spark, monkeypatch, most):
+    plans, kept = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.update({name: plan(df)}) or kept(df, name))
+    monkeypatch.setattr(simhash, "BROADCAST_LINKS", most)
     texts = ["a b c d e f", "a b c d e f", "g h i j k l", None]
     groups = simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [name for name, p in plans.items() if "BroadcastHashJoin" in p] == ["components"] * (most > 0)
     assert "Broadcast" not in plan(groups)
     assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
